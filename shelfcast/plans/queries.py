@@ -76,3 +76,84 @@ def q_monthly_meta(spark, sf_dir) -> DataFrame:
 def q_monthly_meta_gaps(spark, sf_dir) -> DataFrame:
     c = clean_view(spark, sf_dir, "retail_gaps")
     return mo.monthly_meta(c.frame, c.schema.target_column)
+
+
+# ---------------------------------------------------------------- insights
+from shelfcast.operators import insights as ins  # noqa: E402
+from shelfcast.operators import recommend as rec  # noqa: E402
+from shelfcast.plans import sql_insights as si  # noqa: E402
+
+
+def _dense(spark, sf_dir, keys=()):
+    c = clean_view(spark, sf_dir)
+    return mo.monthly_series(c.frame, c.schema.target_column, keys=list(keys))
+
+
+@register("overview", si.OVERVIEW_SQL)
+def q_overview(spark, sf_dir):
+    c = clean_view(spark, sf_dir)
+    return ins.overview(c.frame, c.schema, c.schema.target_column)
+
+
+@register("top_segments", si.TOP_SEGMENTS_SQL)
+def q_top_segments(spark, sf_dir):
+    c = clean_view(spark, sf_dir)
+    return ins.top_segments(c.frame, c.schema, c.schema.target_column)
+
+
+@register("seasonal_pattern", si.seasonal_sql())
+def q_seasonal(spark, sf_dir):
+    return ins.seasonal_pattern(_dense(spark, sf_dir))
+
+
+@register("seasonal_pattern_by_type", si.seasonal_sql(["item_type"]))
+def q_seasonal_by_type(spark, sf_dir):
+    return ins.seasonal_pattern(_dense(spark, sf_dir, ["item_type"]), ["item_type"])
+
+
+@register("iqr_anomalies", si.iqr_sql())
+def q_iqr(spark, sf_dir):
+    return ins.iqr_anomalies(_dense(spark, sf_dir))
+
+
+@register("iqr_anomalies_by_type", si.iqr_sql(["item_type"]))
+def q_iqr_by_type(spark, sf_dir):
+    return ins.iqr_anomalies(_dense(spark, sf_dir, ["item_type"]), ["item_type"])
+
+
+@register("trend_direction", si.trend_sql())
+def q_trend(spark, sf_dir):
+    return ins.trend_direction(_dense(spark, sf_dir))
+
+
+@register("trend_direction_by_type", si.trend_sql(["item_type"]))
+def q_trend_by_type(spark, sf_dir):
+    return ins.trend_direction(_dense(spark, sf_dir, ["item_type"]), ["item_type"])
+
+
+@register("peak_low", si.peak_low_sql())
+def q_peak_low(spark, sf_dir):
+    return ins.peak_low(_dense(spark, sf_dir))
+
+
+@register("peak_low_by_type", si.peak_low_sql(["item_type"]))
+def q_peak_low_by_type(spark, sf_dir):
+    return ins.peak_low(_dense(spark, sf_dir, ["item_type"]), ["item_type"])
+
+
+@register("preview", si.PREVIEW_SQL)
+def q_preview(spark, sf_dir):
+    c = clean_view(spark, sf_dir)
+    return ins.preview(c.frame)
+
+
+@register("recommendations", si.item_risk_sql(top=5))
+def q_recommendations(spark, sf_dir):
+    c = clean_view(spark, sf_dir)
+    return rec.recommendations(c.frame, c.schema, c.schema.target_column)
+
+
+@register("item_risk", si.item_risk_sql())
+def q_item_risk(spark, sf_dir):
+    c = clean_view(spark, sf_dir)
+    return rec.item_risk(c.frame, c.schema, c.schema.target_column).select(*rec.OUTPUT)
