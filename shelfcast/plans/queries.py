@@ -157,3 +157,61 @@ def q_recommendations(spark, sf_dir):
 def q_item_risk(spark, sf_dir):
     c = clean_view(spark, sf_dir)
     return rec.item_risk(c.frame, c.schema, c.schema.target_column).select(*rec.OUTPUT)
+
+
+# ---------------------------------------------------------------- features and baseline (W, M1, M2, M5, M6)
+from shelfcast.functions.exprs import round_half_up  # noqa: E402
+from shelfcast.operators import evaluate as ev  # noqa: E402
+from shelfcast.operators import features as fe  # noqa: E402
+from shelfcast.plans import sql_features as sf_  # noqa: E402
+
+_FEATURE_DOUBLES = ["month_sin", "month_cos", "lag_1", "lag_2", "lag_3", "lag_6", "lag_12", "rolling_mean_3",
+                    "rolling_std_3", "rolling_mean_6", "pct_change_1", "pct_change_3"]
+
+
+def _round_cols(df, cols, digits):
+    return df.select(*[round_half_up(F.col(c), digits).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+@register("features", sf_.features_sql())
+def q_features(spark, sf_dir):
+    return _round_cols(fe.feature_frame(_dense(spark, sf_dir)), _FEATURE_DOUBLES, 6)
+
+
+@register("features_by_type", sf_.features_sql(["item_type"]))
+def q_features_by_type(spark, sf_dir):
+    return _round_cols(fe.feature_frame(_dense(spark, sf_dir, ["item_type"]), ["item_type"]), _FEATURE_DOUBLES, 6)
+
+
+@register("minmax_scale", sf_.minmax_sql())
+def q_minmax(spark, sf_dir):
+    return _round_cols(fe.minmax_scale(_dense(spark, sf_dir).select("date", "target")), ["scaled"], 6)
+
+
+@register("lag_sequences", sf_.lag_sequences_sql())
+def q_lag_sequences(spark, sf_dir):
+    s = fe.minmax_scale(_dense(spark, sf_dir).select("date", "target"))
+    seq = fe.lag_sequences(s)
+    return seq.select("date", F.array_join(F.transform("x", lambda v: F.format_string("%.6f", v)), ",").alias("x"),
+                      round_half_up(F.col("y"), 6).alias("y"), F.col("window").alias("seq_window"))
+
+
+@register("baseline_eval", sf_.baseline_eval_sql())
+def q_baseline_eval(spark, sf_dir):
+    return ev.round_metrics(ev.baseline_eval(_dense(spark, sf_dir).select("date", "target")))
+
+
+@register("baseline_eval_by_type", sf_.baseline_eval_sql(["item_type"]))
+def q_baseline_eval_by_type(spark, sf_dir):
+    return ev.round_metrics(ev.baseline_eval(_dense(spark, sf_dir, ["item_type"]).select("item_type", "date", "target"),
+                                             ["item_type"]))
+
+
+@register("baseline_forecast", sf_.baseline_forecast_sql())
+def q_baseline_forecast(spark, sf_dir):
+    return ev.baseline_forecast(_dense(spark, sf_dir).select("date", "target"))
+
+
+@register("baseline_forecast_by_type", sf_.baseline_forecast_sql(["item_type"]))
+def q_baseline_forecast_by_type(spark, sf_dir):
+    return ev.baseline_forecast(_dense(spark, sf_dir, ["item_type"]).select("item_type", "date", "target"), ["item_type"])
