@@ -215,3 +215,65 @@ def q_baseline_forecast(spark, sf_dir):
 @register("baseline_forecast_by_type", sf_.baseline_forecast_sql(["item_type"]))
 def q_baseline_forecast_by_type(spark, sf_dir):
     return ev.baseline_forecast(_dense(spark, sf_dir, ["item_type"]).select("item_type", "date", "target"), ["item_type"])
+
+
+# ---------------------------------------------------------------- roles (P1-P7) and cleaning
+from shelfcast.operators import roles as ro  # noqa: E402
+from shelfcast.plans import sql_roles as sr  # noqa: E402
+
+
+def _catalog(spark, sf_dir):
+    frames = {t: fx.table(spark, sf_dir, t) for t in fx.TABLES}
+    return ro.catalog_from_frames(spark, frames)
+
+
+@register("normalized_columns", sr.NORMALIZED_SQL)
+def q_normalized_columns(spark, sf_dir):
+    return ro.normalized_catalog(_catalog(spark, sf_dir))
+
+
+@register("role_scores", sr.ROLE_SCORES_SQL)
+def q_role_scores(spark, sf_dir):
+    return ro.role_scores(_catalog(spark, sf_dir))
+
+
+@register("role_detection", sr.ROLE_DETECTION_SQL)
+def q_role_detection(spark, sf_dir):
+    d = ro.detect_roles_catalog(_catalog(spark, sf_dir))
+    lists = ["sales_columns", "date_candidates", "target_candidates", "item_candidates"]
+    return d.select("table_name", "date_column", "year_column", "month_column", "time_column", "target_column",
+                    "item_column", "item_group_column", *[F.array_join(c, ",").alias(c) for c in lists],
+                    "can_auto_detect")
+
+
+@register("context_columns", sr.CONTEXT_SQL)
+def q_context_columns(spark, sf_dir):
+    return ro.context_columns(_catalog(spark, sf_dir)).select(
+        "table_name", "tag", "tag_order", F.array_join("columns", ",").alias("columns"))
+
+
+@register("clean_rows", sr.CLEAN_ROWS_SQL)
+def q_clean_rows(spark, sf_dir):
+    return clean_view(spark, sf_dir, "retail_dirty").frame
+
+
+@register("missing_profile", sr.MISSING_PROFILE_SQL)
+def q_missing_profile(spark, sf_dir):
+    return clean_view(spark, sf_dir, "retail_dirty").missing.where(F.col("stage") == "before")
+
+
+def _map_text(c):
+    return F.array_join(F.transform(F.array_sort(F.map_entries(c)),
+                                    lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+
+
+@register("cleaning_summary", sr.CLEANING_SUMMARY_SQL)
+def q_cleaning_summary(spark, sf_dir):
+    s = clean_view(spark, sf_dir, "retail_dirty").summary
+    return s.select("original_rows", "rows_after_cleaning", "duplicates_removed", "invalid_dates_removed",
+                    "target_values_removed", F.array_join("trimmed_text_columns", ",").alias("trimmed_text_columns"),
+                    _map_text(F.col("missing_values_before")).alias("missing_values_before"),
+                    _map_text(F.col("missing_values_after")).alias("missing_values_after"),
+                    _map_text(F.col("filled_numeric_columns")).alias("filled_numeric_columns"),
+                    _map_text(F.col("filled_categorical_columns")).alias("filled_categorical_columns"),
+                    "cleaning_applied")
