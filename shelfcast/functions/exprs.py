@@ -115,10 +115,8 @@ def compact_number(c: Column) -> Column:
     units = [(1e12, "T"), (1e9, "B"), (1e6, "M"), (1e3, "K")]
 
     def fmt(v: Column) -> Column:
-        r = F.round(v.cast("decimal(38,10)"), 2)
-        txt = F.format_string("%.2f", r)
-        txt = F.regexp_replace(txt, r"\.?0+$", "")
-        return txt
+        txt = F.round(v.cast("decimal(38,10)"), 2).cast("decimal(38,2)").cast("string")
+        return F.regexp_replace(txt, r"\.?0+$", "")
 
     # Pick the unit from the rounded magnitude so that 999.999 -> "1K".
     expr = F.when(a.isNull(), F.lit(None))

@@ -64,18 +64,21 @@ def _thousands(c):
 def cleaning_report(summary: DataFrame, meta: DataFrame) -> DataFrame:
     """label/value rows of the cleaning summary (one-row inputs)."""
     s = summary.withColumn("_j", F.lit(1)).join(meta.withColumn("_j", F.lit(1)), "_j")
+    def row(pos, label, value):
+        return F.struct(F.lit(pos).alias("pos"), F.lit(label).alias("label"), value.alias("value"))
+
     pairs = F.array(
-        F.struct(F.lit(1).alias("pos"), F.lit("Rows before cleaning").alias("label"), _thousands(F.col("original_rows")).alias("value")),
-        F.struct(F.lit(2), F.lit("Rows after cleaning"), _thousands(F.col("rows_after_cleaning"))),
-        F.struct(F.lit(3), F.lit("Duplicates removed"), _thousands(F.col("duplicates_removed"))),
-        F.struct(F.lit(4), F.lit("Invalid dates removed"), _thousands(F.col("invalid_dates_removed"))),
-        F.struct(F.lit(5), F.lit("Invalid target rows removed"), _thousands(F.coalesce(F.col("target_values_removed"), F.lit(0)))),
-        F.struct(F.lit(6), F.lit("Monthly gaps handled"),
-                 F.concat(_thousands(F.col("missing_months_filled")), F.lit(" ("),
-                          F.coalesce(F.col("missing_months_method"), F.lit("not needed")), F.lit(")"))),
-        F.struct(F.lit(7), F.lit("Trimmed text columns"),
-                 F.when(F.size("trimmed_text_columns") > 0, F.array_join("trimmed_text_columns", ", "))
-                 .otherwise(F.lit("None"))),
+        row(1, "Rows before cleaning", _thousands(F.col("original_rows"))),
+        row(2, "Rows after cleaning", _thousands(F.col("rows_after_cleaning"))),
+        row(3, "Duplicates removed", _thousands(F.col("duplicates_removed"))),
+        row(4, "Invalid dates removed", _thousands(F.col("invalid_dates_removed"))),
+        row(5, "Invalid target rows removed", _thousands(F.coalesce(F.col("target_values_removed"), F.lit(0)))),
+        row(6, "Monthly gaps handled",
+            F.concat(_thousands(F.col("missing_months_filled")), F.lit(" ("),
+                     F.coalesce(F.col("missing_months_method"), F.lit("not needed")), F.lit(")"))),
+        row(7, "Trimmed text columns",
+            F.when(F.size("trimmed_text_columns") > 0, F.array_join("trimmed_text_columns", ", "))
+            .otherwise(F.lit("None"))),
     )
     return s.select(F.inline(pairs))
 

@@ -277,3 +277,128 @@ def q_cleaning_summary(spark, sf_dir):
                     _map_text(F.col("filled_numeric_columns")).alias("filled_numeric_columns"),
                     _map_text(F.col("filled_categorical_columns")).alias("filled_categorical_columns"),
                     "cleaning_applied")
+
+
+# ---------------------------------------------------------------- models, choice, reports, chat
+from shelfcast.operators import forecast as fc  # noqa: E402
+from shelfcast.operators import report as rp  # noqa: E402
+from shelfcast.operators import select as sl  # noqa: E402
+from shelfcast.plans import sql_report as sq  # noqa: E402
+
+# Local-mode bound for the registered queries only: Spark's boosting costs a
+# fixed ~0.5 s of job scheduling per round, so the library default (500 rounds,
+# as in the reference) would take ~10 minutes per query here.  Trees keep 500.
+QUERY_BOOSTING_ROUNDS = 60
+
+
+def _series(spark, sf_dir, keys=()):
+    return _dense(spark, sf_dir, keys).select(*keys, "date", "target")
+
+
+@register("forest_forecast")
+def q_forest(spark, sf_dir):
+    r = fc.tree_model(_series(spark, sf_dir), fc.FOREST, fc.forest())
+    return r.forecasts
+
+
+@register("boosting_forecast")
+def q_boosting(spark, sf_dir):
+    r = fc.tree_model(_series(spark, sf_dir), fc.BOOSTING, fc.boosting(maxIter=QUERY_BOOSTING_ROUNDS))
+    return r.forecasts
+
+
+@register("window_ar_forecast")
+def q_window_ar(spark, sf_dir):
+    return fc.window_ar(_series(spark, sf_dir)).forecasts
+
+
+@register("window_ar_by_type")
+def q_window_ar_by_type(spark, sf_dir):
+    r = fc.window_ar(_series(spark, sf_dir, ["item_type"]), ["item_type"])
+    return ev.round_metrics(r.results)
+
+
+@register("forest_by_type")
+def q_forest_by_type(spark, sf_dir):
+    r = fc.tree_model(_series(spark, sf_dir, ["item_type"]), fc.FOREST, fc.forest(), ["item_type"])
+    return ev.round_metrics(r.results).join(r.forecasts.groupBy("item_type").agg(
+        F.array_sort(F.collect_list(F.struct("date", "value"))).alias("forecast")), "item_type", "left")
+
+
+def _analysis(spark, sf_dir):
+    from shelfcast.plans.pipeline import analyze
+    return analyze(fx.retail(spark, sf_dir), boosting_factory=fc.boosting(maxIter=QUERY_BOOSTING_ROUNDS))
+
+
+@register("model_results")
+def q_model_results(spark, sf_dir):
+    return _analysis(spark, sf_dir).results
+
+
+@register("best_model")
+def q_best_model(spark, sf_dir):
+    return _analysis(spark, sf_dir).best
+
+
+@register("confidence")
+def q_confidence(spark, sf_dir):
+    return _analysis(spark, sf_dir).confidence
+
+
+@register("analysis_run")
+def q_analysis_run(spark, sf_dir):
+    return _analysis(spark, sf_dir).run
+
+
+@register("chat_answers")
+def q_chat_answers(spark, sf_dir):
+    a = _analysis(spark, sf_dir)
+    conv = fx.table(spark, sf_dir, "conversations").where(F.col("role") == "user") \
+        .select("conv_id", "turn", F.col("text").alias("message"), F.lit(a.run_id).alias("run_id"))
+    return rp.answer_questions(conv, F.broadcast(a.run))
+
+
+@register("answer_intents", sq.intents_sql())
+def q_answer_intents(spark, sf_dir):
+    conv = fx.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return rp.classify_questions(conv, "text").drop("text")
+
+
+@register("trend_series", sq.trend_series_sql())
+def q_trend_series(spark, sf_dir):
+    m = _series(spark, sf_dir, ["item_type"])
+    return rp.trend_series(m, ev.baseline_forecast(m, ["item_type"]), ["item_type"])
+
+
+@register("forecast_average", sq.forecast_average_sql())
+def q_forecast_average(spark, sf_dir):
+    m = _series(spark, sf_dir, ["item_type"])
+    out = rp.forecast_average(ev.baseline_forecast(m, ["item_type"]), ["item_type"])
+    return out.select("item_type", round_half_up(F.col("forecast_average"), 6).alias("forecast_average"))
+
+
+@register("headline", sq.headline_sql())
+def q_headline(spark, sf_dir):
+    c = clean_view(spark, sf_dir)
+    return rp.headline(rec.recommendations(c.frame, c.schema, c.schema.target_column))
+
+
+@register("model_table", sq.model_table_sql())
+def q_model_table(spark, sf_dir):
+    m = _series(spark, sf_dir, ["item_type"])
+    res = ev.round_metrics(ev.baseline_eval(m, ["item_type"]))
+    return rp.model_table(res, sl.best_model(res, ["item_type"]), ["item_type"])
+
+
+@register("compact_numbers", sq.compact_numbers_sql())
+def q_compact_numbers(spark, sf_dir):
+    c = clean_view(spark, sf_dir)
+    m = mo.monthly_series(c.frame, c.schema.target_column, keys=["item_type"]).select("item_type", "date", "target")
+    return rp.compact(m, "target")
+
+
+@register("cleaning_report")
+def q_cleaning_report(spark, sf_dir):
+    c = clean_view(spark, sf_dir, "retail_dirty")
+    meta = mo.monthly_meta(c.frame, c.schema.target_column)
+    return rp.cleaning_report(c.summary, meta)
