@@ -37,7 +37,7 @@ def sanitize(df: DataFrame) -> DataFrame:
 
 def save_run(run: DataFrame, store_dir: str) -> None:
     """Append the run document(s) as JSON, one folder per run_id."""
-    sanitize(run).write.mode("append").partitionBy("run_id").json(store_dir)
+    sanitize(run).write.mode("append").option("ignoreNullFields", "false").partitionBy("run_id").json(store_dir)
 
 
 def load_run(spark: SparkSession, store_dir: str, run_id: str, schema: T.StructType | None = None) -> DataFrame:
