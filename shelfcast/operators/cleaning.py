@@ -50,9 +50,13 @@ def _is_numeric(dt) -> bool:
 
 def choose_date_format(df: DataFrame, col_expr, formats=DATE_FORMATS) -> str | None:
     """Pick the layout that parses the most non-null values (one aggregate pass)."""
-    s = col_expr.cast("string")
-    aggs = [F.count(parse_timestamp(s, f)).alias(f"f{i}") for i, f in enumerate(formats)]
-    row = df.agg(*aggs).first()
+    # Parse each *distinct* text once, weighted by its row count: the group-by
+    # collapses rows map-side (days repeat), so every layout is tried on a
+    # small table instead of on every row.
+    vals = df.groupBy(col_expr.cast("string").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    aggs = [F.coalesce(F.sum(F.when(parse_timestamp(F.col("_v"), f).isNotNull(), F.col("_c"))), F.lit(0)).alias(f"f{i}")
+            for i, f in enumerate(formats)]
+    row = vals.agg(*aggs).first()
     best, best_n = None, 0
     for i, f in enumerate(formats):
         if row[f"f{i}"] > best_n:
@@ -94,31 +98,31 @@ def _date_only():
 
 
 def clean(raw: DataFrame, schema: RoleSchema, date_format: str | None = None,
-          materialize_how: str = "checkpoint") -> CleanResult:
+          materialize_how: str = "table") -> CleanResult:
     """C1-C14 on a frame whose columns are already normalised."""
     spark: SparkSession = raw.sparkSession
     original_columns = list(raw.columns)
     df = normalize_columns(raw)
     target = schema.target_column
-    original_rows = df.count()
-
-    # Whole-row de-duplication on the values as read.
-    dedup = df.dropDuplicates()
+    # Whole-row de-duplication on the values as read (nulls compare equal).
+    # Grouping keeps each row's multiplicity, so the input row count comes
+    # out of the same pass instead of a separate scan.
+    dedup = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("__dup"))
 
     # Trim text, blank tokens -> null; remember which columns changed.
     dtypes = dict(dedup.dtypes)
-    string_cols = [c for c in dedup.columns if dtypes[c] == "string"]
+    string_cols = [c for c in df.columns if dtypes[c] == "string"]
     proj = []
     changed = []
-    for c in dedup.columns:
+    for c in df.columns:
         if c in string_cols:
             t = strip_ws(F.col(c))
             changed.append(F.coalesce(t != F.col(c), F.lit(False)).alias(f"__chg_{c}"))
             proj.append(F.when(t.isin(BLANK_TOKENS), F.lit(None)).otherwise(t).alias(c))
         else:
             proj.append(F.col(c))
-    trimmed = dedup.select(*proj, *changed)
-    flag_cols = [f"__chg_{c}" for c in string_cols]
+    trimmed = dedup.select(*proj, *changed, "__dup")
+    flag_cols = [f"__chg_{c}" for c in string_cols] + ["__dup"]
 
     # C4: numeric coercion of target, sales columns and the extra numeric names.
     numeric = [c for c in dict.fromkeys([target, *schema.sales_columns, *EXTRA_NUMERIC])
@@ -141,8 +145,10 @@ def clean(raw: DataFrame, schema: RoleSchema, date_format: str | None = None,
             F.count(F.when(date_ok & ~tgt_ok, 1)).alias("__bad_targets")]
     aggs += [F.count(F.when(valid & F.col(c).isNull(), 1)).alias(f"__null_{c}") for c in cols]
     aggs += [F.count(F.when(valid & F.col(c).isNotNull(), 1)).alias(f"__nn_{c}") for c in cols]
-    aggs += [F.max(F.col(f)).alias(f) for f in flag_cols]
+    aggs += [F.max(F.col(f)).alias(f) for f in flag_cols if f != "__dup"]
+    aggs.append(F.sum("__dup").alias("__raw_rows"))
     row = staged.agg(*aggs).first()
+    original_rows = row["__raw_rows"] or 0
     trimmed_columns = [c for c in string_cols if row[f"__chg_{c}"]]
 
     dedup_rows = row["__rows"]

@@ -140,10 +140,10 @@ def _fit_by_class(train_monthly: DataFrame, k: list[str], factory: Callable, tar
 
     Returns (predictions (keys, date, pred), fitted series keys).
     """
-    feats = materialize(add_features(train_monthly, k), "checkpoint")
+    feats = materialize(add_features(train_monthly, k), "table")
     hist = _histories(train_monthly, k)
     cls = materialize(hist.select(*k, length_class(F.size("hist")).alias("cls"), F.size("hist").alias("n0"), "hist"),
-                      "checkpoint")
+                      "table")
     present = sorted(r["cls"] for r in cls.select("cls").distinct().collect())
     outputs = []
     for c in present:
@@ -191,9 +191,9 @@ def tree_model(monthly: DataFrame, name: str, factory: Callable, keys: Sequence[
     refit on the whole series and forecast the next three months."""
     m, k = _k(monthly.select(*(keys or []), "date", "target"), keys)
     # The monthly table is small and read by every fit/step: write it once.
-    m = materialize(m, "checkpoint")
+    m = materialize(m, "table")
     strict = (not keys) if strict is None else strict
-    split = materialize(split_holdout(m, k), "checkpoint")
+    split = materialize(split_holdout(m, k), "table")
     n_series = m.groupBy(*k).agg(F.count(F.lit(1)).alias("n"))
     if strict:
         n = n_series.first()["n"]
@@ -249,7 +249,7 @@ def _ar_state(monthly: DataFrame, k: list[str]) -> DataFrame:
 
 
 def _ar_fit_predict(monthly: DataFrame, k: list[str], targets: DataFrame) -> DataFrame | None:
-    st = materialize(_ar_state(monthly, k), "checkpoint")
+    st = materialize(_ar_state(monthly, k), "table")
     # Sliding windows of w scaled values -> next scaled value.
     seq = st.select(*k, "w", F.posexplode("scaled").alias("i", "y"), "scaled").where(F.col("i") >= F.col("w"))
     seq = seq.select(*k, "w", F.slice("scaled", F.col("i") - F.col("w") + 1, F.col("w")).alias("x"), "y")
@@ -282,8 +282,8 @@ def _ar_fit_predict(monthly: DataFrame, k: list[str], targets: DataFrame) -> Dat
 def window_ar(monthly: DataFrame, keys: Sequence[str] | None = None) -> ModelRun:
     """Linear autoregression on the last 3/6 min-max-scaled months, one-step feedback."""
     m, k = _k(monthly.select(*(keys or []), "date", "target"), keys)
-    m = materialize(m, "checkpoint")
-    split = materialize(split_holdout(m, k), "checkpoint")
+    m = materialize(m, "table")
+    split = materialize(split_holdout(m, k), "table")
     n_series = m.groupBy(*k).agg(F.count(F.lit(1)).alias("n"))
     eligible = n_series.where(F.col("n") >= AR_MIN_MONTHS).select(*k)
     train = split.where(~F.col("is_holdout")).join(eligible, k).select(*k, "date", "target")

@@ -61,8 +61,9 @@ def exact_quantile_ranks(df: DataFrame, col: str, ranks: list[int], n: int) -> l
         if cnt["inside"] == cur_n:
             break
         cur_n = cnt["inside"]
-    distinct = cur.groupBy("v").count().orderBy("v")
-    if distinct.limit(_FINAL_LIMIT + 1).count() > _FINAL_LIMIT:
+    distinct = cur.groupBy("v").count()
+    rows = [(r["v"], r["count"]) for r in distinct.orderBy("v").limit(_FINAL_LIMIT + 1).collect()]
+    if len(rows) > _FINAL_LIMIT:
         # Extremely many distinct values inside the bracket: rank them in Spark.
         from pyspark.sql import Window
         w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
@@ -72,7 +73,6 @@ def exact_quantile_ranks(df: DataFrame, col: str, ranks: list[int], n: int) -> l
             r = ranked.where(F.col("cum") >= k).orderBy("v").select("v").first()
             vals.append(float(r["v"]))
         return vals
-    rows = [(r["v"], r["count"]) for r in distinct.toLocalIterator()]
     return [float(v) for v in _kth_from_counts(rows, [k - below for k in ranks])]
 
 

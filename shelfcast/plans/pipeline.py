@@ -62,7 +62,7 @@ def analyze(raw: DataFrame, date_column: str | None = None, target_column: str |
     target = schema.target_column
     rows = cleaned.frame
     partial = schema.date_column is not None
-    monthly = materialize(mo.monthly_series(rows, target, keys, partial_rule=partial), "checkpoint")
+    monthly = materialize(mo.monthly_series(rows, target, keys, partial_rule=partial), "table")
     meta = mo.monthly_meta(rows, target, keys, partial_rule=partial)
     series = monthly.select(*keys, "date", "target")
 
@@ -72,9 +72,9 @@ def analyze(raw: DataFrame, date_column: str | None = None, target_column: str |
     base_fc = ev.baseline_forecast(series, keys)
     ar = fc.window_ar(series, keys)
     results = (runs[0].results.unionByName(runs[1].results).unionByName(base_res).unionByName(ar.results))
-    results = materialize(ev.round_metrics(results), "checkpoint")
+    results = materialize(ev.round_metrics(results), "table")
     forecasts = materialize(runs[0].forecasts.unionByName(runs[1].forecasts).unionByName(base_fc)
-                            .unionByName(ar.forecasts), "checkpoint")
+                            .unionByName(ar.forecasts), "table")
     best0 = sel.best_model(results, keys)
     conf = sel.confidence(results, best0, meta, keys)
     best = sel.final_best(best0, conf, keys)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -54,12 +55,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def materialize(df, how: str = "checkpoint"):
+def materialize(df, how: str = "table"):
     """Cut lineage of a frame that several actions reuse.
 
-    ``checkpoint`` writes to the shared checkpoint folder (survives executor
-    loss); ``persist`` keeps blocks on executors; ``none`` returns ``df``.
+    ``table`` (default) writes Parquet under the shared checkpoint folder and
+    reads it back: one job, columnar and compressed, and later reads get column
+    pruning and filter pushdown; it survives executor loss.  ``checkpoint`` is
+    Spark's RDD checkpoint into the same folder; ``persist`` keeps blocks on
+    executors; ``none`` returns ``df``.
     """
+    if how in ("table", "checkpoint") and df.isStreaming:
+        return df
+    if how == "table":
+        base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+        path = f"{base}/tables/{uuid.uuid4().hex}"
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.parquet(path)
     if how == "checkpoint":
         ensure_checkpoint_dir(df.sparkSession)
         return df.checkpoint(eager=True)
