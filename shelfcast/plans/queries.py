@@ -397,7 +397,7 @@ def q_compact_numbers(spark, sf_dir):
     return rp.compact(m, "target")
 
 
-@register("cleaning_report")
+@register("cleaning_report", sr.cleaning_report_sql())
 def q_cleaning_report(spark, sf_dir):
     c = clean_view(spark, sf_dir, "retail_dirty")
     meta = mo.monthly_meta(c.frame, c.schema.target_column)

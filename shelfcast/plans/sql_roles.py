@@ -142,3 +142,26 @@ SELECT
   'warehouse_sales=' || CAST(ROUND((SELECT wh_med FROM fill), 4) AS VARCHAR) AS filled_numeric_columns,
   'item_type=' || (SELECT type_mode FROM fill) AS filled_categorical_columns,
   TRUE AS cleaning_applied"""
+
+
+def cleaning_report_sql() -> str:
+    from shelfcast.plans.sql_monthly import dense_ctes, totals_ctes
+    fmt = lambda x: f"format('{{:,}}', CAST({x} AS BIGINT))"
+    return "WITH " + CLEAN_CTES.strip() + ",\nclean AS (SELECT * FROM valid)," + totals_ctes().strip("\n") + "," \
+        + dense_ctes().strip("\n") + f""",
+g AS (SELECT CAST(SUM(CAST(filled AS INTEGER)) AS INTEGER) AS mmf FROM dense),
+s AS (
+  SELECT (SELECT COUNT(*) FROM retail_dirty) AS original_rows,
+         (SELECT COUNT(*) FROM valid) AS rows_after,
+         (SELECT COUNT(*) FROM retail_dirty) - (SELECT COUNT(*) FROM dd) AS dups,
+         (SELECT COUNT(*) FROM co WHERE analysis_date IS NULL) AS bad_dates,
+         (SELECT COUNT(*) FROM co WHERE analysis_date IS NOT NULL AND retail_sales IS NULL) AS bad_targets,
+         (SELECT mmf FROM g) AS mmf
+)
+SELECT 1 AS pos, 'Rows before cleaning' AS label, {fmt('original_rows')} AS value FROM s
+UNION ALL SELECT 2, 'Rows after cleaning', {fmt('rows_after')} FROM s
+UNION ALL SELECT 3, 'Duplicates removed', {fmt('dups')} FROM s
+UNION ALL SELECT 4, 'Invalid dates removed', {fmt('bad_dates')} FROM s
+UNION ALL SELECT 5, 'Invalid target rows removed', {fmt('bad_targets')} FROM s
+UNION ALL SELECT 6, 'Monthly gaps handled', {fmt('mmf')} || ' (' || CASE WHEN mmf > 0 THEN 'linear interpolation' ELSE 'not needed' END || ')' FROM s
+UNION ALL SELECT 7, 'Trimmed text columns', 'None' FROM s"""

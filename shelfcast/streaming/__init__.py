@@ -1,0 +1,7 @@
+"""No streaming operators.
+
+The reference reads one whole file per analysis and has no watermarks, windows
+over event time or state; nothing here re-creates such operators.  The batch
+operators accept any DataFrame, so a caller may apply them per micro-batch via
+``foreachBatch`` without extra code in this package.
+"""
