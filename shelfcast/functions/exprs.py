@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 __all__ = [
     "NA_TOKENS", "BLANK_TOKENS", "normalize_column_name", "normalize_name_expr",
-    "na_to_null", "strip_ws", "to_double", "parse_timestamp", "exact_sum", "round_half_up",
+    "na_to_null", "strip_ws", "has_edge_ws", "WHITESPACE", "to_double", "parse_timestamp", "exact_sum", "round_half_up",
     "safe_pct_change", "compact_number", "month_start", "fmt2",
 ]
 
@@ -41,7 +41,7 @@ def normalize_column_name(name: str) -> str:
 def normalize_name_expr(c: Column) -> Column:
     """Same rule as :func:`normalize_column_name`, as a Spark expression (for catalogs)."""
     # Python str.strip() removes Unicode whitespace; (?U) makes \s Unicode-aware.
-    lowered = F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
+    lowered = F.lower(F.regexp_replace(c, _WS_EDGES, ""))
     return F.regexp_replace(F.regexp_replace(lowered, "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 
@@ -49,9 +49,27 @@ def na_to_null(c: Column, tokens=NA_TOKENS) -> Column:
     return F.when(c.isin(list(tokens)), F.lit(None)).otherwise(c)
 
 
+# The characters Python's str.strip() treats as whitespace.
+WHITESPACE = ["\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x1d", "\x1e", "\x1f", " ", "\x85", "\xa0",
+              "\u1680", "\u2000", "\u2001", "\u2002", "\u2003", "\u2004", "\u2005", "\u2006", "\u2007",
+              "\u2008", "\u2009", "\u200a", "\u2028", "\u2029", "\u202f", "\u205f", "\u3000"]
+
+
+_WS_CLASS = "[" + "".join(f"\\x{{{ord(ch):x}}}" for ch in WHITESPACE) + "]"
+_WS_EDGES = f"^{_WS_CLASS}+|{_WS_CLASS}+$"
+
+
+def has_edge_ws(c: Column) -> Column:
+    """True when the text starts or ends with whitespace (two substring probes, no regex)."""
+    return F.substring(c, 1, 1).isin(WHITESPACE) | F.substring(c, -1, 1).isin(WHITESPACE)
+
+
 def strip_ws(c: Column) -> Column:
-    """Strip leading/trailing Unicode whitespace (Spark ``trim`` only removes spaces)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Strip leading/trailing Unicode whitespace (Spark ``trim`` only removes spaces).
+
+    The regex only runs on values that have whitespace at an edge.
+    """
+    return F.when(has_edge_ws(c), F.regexp_replace(c, _WS_EDGES, "")).otherwise(c)
 
 
 def to_double(c: Column) -> Column:

@@ -11,11 +11,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfcast.functions.exprs import BLANK_TOKENS, parse_timestamp, strip_ws, to_double
+from shelfcast.functions.exprs import BLANK_TOKENS, has_edge_ws, parse_timestamp, strip_ws, to_double
 from shelfcast.operators.roles import RoleSchema, normalize_columns
 from shelfcast.operators.stats import exact_median, modes
 from shelfcast.session import materialize
@@ -117,7 +117,7 @@ def clean(raw: DataFrame, schema: RoleSchema, date_format: str | None = None,
     for c in df.columns:
         if c in string_cols:
             t = strip_ws(F.col(c))
-            changed.append(F.coalesce(t != F.col(c), F.lit(False)).alias(f"__chg_{c}"))
+            changed.append(F.coalesce(has_edge_ws(F.col(c)), F.lit(False)).alias(f"__chg_{c}"))
             proj.append(F.when(t.isin(BLANK_TOKENS), F.lit(None)).otherwise(t).alias(c))
         else:
             proj.append(F.col(c))
@@ -133,13 +133,13 @@ def clean(raw: DataFrame, schema: RoleSchema, date_format: str | None = None,
 
     # Analysis date.
     with_date = coerced.withColumn("analysis_date", analysis_date_expr(coerced, schema, date_format, probe=df))
-    staged = materialize(with_date.select(*with_date.columns), materialize_how)
 
-    # One pass: dedup count, invalid dates, invalid targets, trimmed flags, null profile.
+    # Every count the summary needs, in the same pass that writes the table:
+    # an Observation collects the aggregates while the rows stream to Parquet.
     date_ok = F.col("analysis_date").isNotNull()
-    tgt_ok = F.col(target).isNotNull() if target in staged.columns else F.lit(True)
+    tgt_ok = F.col(target).isNotNull() if target in with_date.columns else F.lit(True)
     valid = date_ok & tgt_ok
-    cols = [c for c in staged.columns if c not in flag_cols]
+    cols = [c for c in with_date.columns if c not in flag_cols]
     aggs = [F.count(F.lit(1)).alias("__rows"),
             F.count(F.when(~date_ok, 1)).alias("__bad_dates"),
             F.count(F.when(date_ok & ~tgt_ok, 1)).alias("__bad_targets")]
@@ -147,7 +147,14 @@ def clean(raw: DataFrame, schema: RoleSchema, date_format: str | None = None,
     aggs += [F.count(F.when(valid & F.col(c).isNotNull(), 1)).alias(f"__nn_{c}") for c in cols]
     aggs += [F.max(F.col(f)).alias(f) for f in flag_cols if f != "__dup"]
     aggs.append(F.sum("__dup").alias("__raw_rows"))
-    row = staged.agg(*aggs).first()
+    if materialize_how == "table":
+        obs = Observation("shelfcast_clean")
+        staged = materialize(with_date.observe(obs, *aggs).select(*cols), materialize_how)
+        row = obs.get
+    else:
+        staged = materialize(with_date, materialize_how)
+        row = staged.agg(*aggs).first().asDict()
+        staged = staged.select(*cols)
     original_rows = row["__raw_rows"] or 0
     trimmed_columns = [c for c in string_cols if row[f"__chg_{c}"]]
 
@@ -158,7 +165,7 @@ def clean(raw: DataFrame, schema: RoleSchema, date_format: str | None = None,
     if kept == 0:
         raise ValueError("The uploaded file did not contain enough valid date and target values "
                          "to build a forecasting timeline.")
-    cleaned = staged.where(valid).select(*cols)
+    cleaned = staged.where(valid)
     missing_before = {c: row[f"__null_{c}"] for c in cols if row[f"__null_{c}"] > 0}
 
     # Fill values.
