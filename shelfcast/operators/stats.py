@@ -42,6 +42,12 @@ def exact_quantile_ranks(df: DataFrame, col: str, ranks: list[int], n: int) -> l
     lo = hi = None
     cur_n = n
     cur = base
+    # Common case first: few distinct values (prices, quantities) -> one pass,
+    # with at most _FINAL_LIMIT + 1 (value, count) rows kept per task and on the driver.
+    first = [(r["v"], r["count"]) for r in
+             base.groupBy("v").count().orderBy("v").limit(_FINAL_LIMIT + 1).collect()]
+    if len(first) <= _FINAL_LIMIT:
+        return [float(v) for v in _kth_from_counts(first, list(ranks))]
     for _ in range(6):
         if cur_n <= _FINAL_LIMIT:
             break
