@@ -402,3 +402,22 @@ def q_cleaning_report(spark, sf_dir):
     c = clean_view(spark, sf_dir, "retail_dirty")
     meta = mo.monthly_meta(c.frame, c.schema.target_column)
     return rp.cleaning_report(c.summary, meta)
+
+
+# ---------------------------------------------------------------- S1: CSV scan of data derived from the tables
+from shelfcast.sources.files import read_csv  # noqa: E402
+
+
+def _dirty_csv(spark, sf_dir) -> str:
+    """Write retail_dirty as CSV under the checkpoint folder (one fresh folder per call)."""
+    import uuid
+
+    from shelfcast.session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv/{uuid.uuid4().hex}"
+    fx.retail_dirty(spark, sf_dir).write.option("header", True).csv(path)
+    return path
+
+
+@register("csv_scan", sr.CSV_SCAN_SQL)
+def q_csv_scan(spark, sf_dir):
+    return read_csv(spark, _dirty_csv(spark, sf_dir))

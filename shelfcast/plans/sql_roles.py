@@ -165,3 +165,12 @@ UNION ALL SELECT 4, 'Invalid dates removed', {fmt('bad_dates')} FROM s
 UNION ALL SELECT 5, 'Invalid target rows removed', {fmt('bad_targets')} FROM s
 UNION ALL SELECT 6, 'Monthly gaps handled', {fmt('mmf')} || ' (' || CASE WHEN mmf > 0 THEN 'linear interpolation' ELSE 'not needed' END || ')' FROM s
 UNION ALL SELECT 7, 'Trimmed text columns', 'None' FROM s"""
+
+
+# retail_dirty after a CSV round trip: NA tokens null, all-numeric columns typed.
+CSV_SCAN_SQL = "WITH " + RETAIL_DIRTY_SQL.strip() + """
+SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
+       CAST(l_partkey AS BIGINT) AS l_partkey, CAST(l_suppkey AS BIGINT) AS l_suppkey,
+       sale_date, retail_sales, CAST(item_code AS BIGINT) AS item_code, item_type,
+       CAST(warehouse_sales AS DOUBLE) AS warehouse_sales
+FROM retail_dirty"""

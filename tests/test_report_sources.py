@@ -54,3 +54,15 @@ def test_csv_scan_and_run_store(spark):
     back = load_run(spark, os.path.join(d, "runs"), "abc123").first()
     assert back["run_id"] == "abc123" and back["y"] == 1.2346 and back["x"] is None
     assert sanitize(run).first()["x"] is None
+
+
+def test_csv_numeric_typing_makes_duplicates_equal(spark):
+    from shelfcast.operators.cleaning import clean
+    from shelfcast.operators.roles import detect_roles
+    d = tempfile.mkdtemp(dir="/tmp")
+    p = os.path.join(d, "in.csv")
+    with open(p, "w") as f:
+        f.write("date,sales,item\n2024-01-01,1,a\n2024-01-01,1.0,a\n2024-01-02,2,b\n")
+    df = read_csv(spark, p)
+    r = clean(df, detect_roles(df))
+    assert r.stats["duplicates_removed"] == 1 and r.stats["rows_after_cleaning"] == 2
