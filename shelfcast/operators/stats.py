@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 _ACCURACY = 100_000
 _FINAL_LIMIT = 200_000
+_ROUNDS = 6
 
 
 def _kth_from_counts(rows, k_list):
@@ -48,7 +49,7 @@ def exact_quantile_ranks(df: DataFrame, col: str, ranks: list[int], n: int) -> l
              base.groupBy("v").count().orderBy("v").limit(_FINAL_LIMIT + 1).collect()]
     if len(first) <= _FINAL_LIMIT:
         return [float(v) for v in _kth_from_counts(first, list(ranks))]
-    for _ in range(6):
+    for _ in range(_ROUNDS):
         if cur_n <= _FINAL_LIMIT:
             break
         eps = 2.0 / _ACCURACY
@@ -69,17 +70,35 @@ def exact_quantile_ranks(df: DataFrame, col: str, ranks: list[int], n: int) -> l
         cur_n = cnt["inside"]
     distinct = cur.groupBy("v").count()
     rows = [(r["v"], r["count"]) for r in distinct.orderBy("v").limit(_FINAL_LIMIT + 1).collect()]
-    if len(rows) > _FINAL_LIMIT:
-        # Extremely many distinct values inside the bracket: rank them in Spark.
-        from pyspark.sql import Window
-        w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-        ranked = distinct.withColumn("cum", F.sum("count").over(w) + F.lit(below))
-        vals = []
-        for k in ranks:
-            r = ranked.where(F.col("cum") >= k).orderBy("v").select("v").first()
-            vals.append(float(r["v"]))
-        return vals
-    return [float(v) for v in _kth_from_counts(rows, [k - below for k in ranks])]
+    if len(rows) <= _FINAL_LIMIT:
+        return [float(v) for v in _kth_from_counts(rows, [k - below for k in ranks])]
+    return _ranks_by_ranges(distinct, [k - below for k in ranks])
+
+
+def _ranks_by_ranges(distinct: DataFrame, ranks: list[int]) -> list[float]:
+    """Fallback when the bracket still holds too many distinct values.
+
+    Range-partition the (value, count) rows so each partition holds about
+    _FINAL_LIMIT / 2 values, take (min, max, rows) per partition (one small row
+    each), locate the partition holding each rank and read only that value range.
+    """
+    n_distinct = distinct.count()
+    parts = max(2, -(-n_distinct // max(1, _FINAL_LIMIT // 2)))
+    spans = (distinct.repartitionByRange(parts, "v")
+             .groupBy(F.spark_partition_id().alias("p"))
+             .agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("count").alias("c"))
+             .orderBy("lo").collect())
+    out = []
+    for k in ranks:
+        seen = 0
+        for sp in spans:
+            if seen + sp["c"] >= k:
+                rows = [(r["v"], r["count"]) for r in
+                        distinct.where(F.col("v").between(sp["lo"], sp["hi"])).orderBy("v").collect()]
+                out.append(float(_kth_from_counts(rows, [k - seen])[0]))
+                break
+            seen += sp["c"]
+    return out
 
 
 def exact_median(df: DataFrame, col: str, n: int | None = None) -> float | None:

@@ -81,3 +81,15 @@ def test_exact_median_bracketing(spark, monkeypatch):
 def test_modes_tie_smallest(spark):
     df = spark.createDataFrame([("b", "x"), ("a", "x"), ("b", "y"), ("a", None)], "c1 string, c2 string")
     assert modes(df, ["c1", "c2"]) == {"c1": "a", "c2": "x"}
+
+
+def test_exact_median_range_fallback(spark, monkeypatch):
+    import numpy as np
+
+    import shelfcast.operators.stats as st
+    rng = np.random.default_rng(11)
+    vals = rng.normal(size=2000)
+    df = spark.createDataFrame([(float(v),) for v in vals], "v double")
+    monkeypatch.setattr(st, "_FINAL_LIMIT", 40)
+    monkeypatch.setattr(st, "_ROUNDS", 0)
+    assert abs(exact_median(df, "v") - float(np.median(vals))) < 1e-12
