@@ -325,9 +325,17 @@ def q_forest_by_type(spark, sf_dir):
         F.array_sort(F.collect_list(F.struct("date", "value"))).alias("forecast")), "item_type", "left")
 
 
+_RUNS: dict = {}
+
+
 def _analysis(spark, sf_dir):
+    """One analysis run per (application, tables): the model, choice, confidence, run and
+    chat queries read the same run, whose tables sit in the checkpoint folder."""
     from shelfcast.plans.pipeline import analyze
-    return analyze(fx.retail(spark, sf_dir), boosting_factory=fc.boosting(maxIter=QUERY_BOOSTING_ROUNDS))
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _RUNS:
+        _RUNS[key] = analyze(fx.retail(spark, sf_dir), boosting_factory=fc.boosting(maxIter=QUERY_BOOSTING_ROUNDS))
+    return _RUNS[key]
 
 
 @register("model_results")

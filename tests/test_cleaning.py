@@ -93,3 +93,20 @@ def test_exact_median_range_fallback(spark, monkeypatch):
     monkeypatch.setattr(st, "_FINAL_LIMIT", 40)
     monkeypatch.setattr(st, "_ROUNDS", 0)
     assert abs(exact_median(df, "v") - float(np.median(vals))) < 1e-12
+
+
+def test_date_plus_time(spark):
+    rows = [("2024-01-05", "10:30:00", "1"), ("2024-01-06", None, "2"), ("2024-01-07", "25:99:00", "3"),
+            ("2024-01-08", "08:00:00", "4")]
+    r = run(spark, rows, "sale_date string, sale_time string, sales string")
+    got = sorted(str(x["analysis_date"]) for x in r.frame.collect())
+    assert got == ["2024-01-05 10:30:00", "2024-01-08 08:00:00"]
+    assert r.stats["invalid_dates_removed"] == 2
+
+
+def test_empty_input_guard(spark):
+    import pytest
+
+    from shelfcast.operators.cleaning import require_rows
+    with pytest.raises(ValueError):
+        require_rows(spark.createDataFrame([], "a string"))
