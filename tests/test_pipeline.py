@@ -28,3 +28,13 @@ def test_analyze_end_to_end(spark):
     assert ans["hello"].startswith("This run used")
     doc = run_document(a, "retail.csv", 123)
     assert doc.count() == 1 and "monthly_series" in doc.columns
+
+
+def test_analyze_with_series_keys(spark):
+    a = analyze(fx.retail(spark, SF001), series_keys=["item_type"], forest_factory=fc.forest(numTrees=5),
+                boosting_factory=fc.boosting(maxIter=3), run_id="r2")
+    n_types = fx.retail(spark, SF001).select("item_type").distinct().count()
+    assert a.results.count() == 4 * n_types
+    assert a.best.count() == n_types and a.confidence.count() == n_types
+    assert a.forecast_summary.groupBy("item_type").count().where("count = 3").count() == n_types
+    assert a.meta.count() == n_types and a.run is None
