@@ -74,7 +74,7 @@ _CLASS_LEN = {0: 0, 1: 12, 2: 24}
 
 def _at(h: Column, k: int) -> Column:
     """h[-k] if the history has k values, else h[-1]."""
-    return F.when(F.size(h) >= k, F.element_at(h, -k)).otherwise(F.element_at(h, -1))
+    return F.when(F.size(h) >= k, F.try_element_at(h, F.lit(-k))).otherwise(F.try_element_at(h, F.lit(-1)))
 
 
 def _mean(a: Column) -> Column:
@@ -92,8 +92,8 @@ def recursive_feature_row(h: Column, date: Column) -> list[Column]:
     m3 = _mean(r3)
     sd3 = F.when(F.size(r3) > 1, F.sqrt(F.aggregate(r3, F.lit(0.0), lambda s, v: s + (v - m3) * (v - m3))
                                         / (F.size(r3) - 1))).otherwise(F.lit(0.0))
-    prev1, prev3 = F.element_at(h, -2), F.element_at(h, -4)
-    last = F.element_at(h, -1)
+    prev1, prev3 = F.try_element_at(h, F.lit(-2)), F.try_element_at(h, F.lit(-4))
+    last = F.try_element_at(h, F.lit(-1))
     return [
         F.size(h).alias("time_index"), month.alias("month"), F.quarter(date).alias("quarter"),
         F.sin(2 * math.pi * month / 12).alias("month_sin"), F.cos(2 * math.pi * month / 12).alias("month_cos"),
@@ -125,7 +125,7 @@ def _recursive(model, state: DataFrame, k: list[str], cols: list[str], steps: in
     """state: (keys, hist, n0, targets) -> adds ``pred`` array (clamped >= 0) for each target date."""
     for s in range(1, steps + 1):
         active = F.size("targets") >= s
-        date = F.element_at("targets", F.least(F.lit(s), F.greatest(F.size("targets"), F.lit(1))))
+        date = F.try_element_at("targets", F.least(F.lit(s), F.greatest(F.size("targets"), F.lit(1))))
         feats = state.select("*", *[c for c in recursive_feature_row(F.col("hist"), date)])
         assembled = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep").transform(feats)
         scored = model.transform(assembled)
@@ -147,11 +147,9 @@ def _fit_by_class(train_monthly: DataFrame, k: list[str], factory: Callable, tar
     present = sorted(r["cls"] for r in cls.select("cls").distinct().collect())
     outputs = []
     for c in present:
-        cols = feature_columns(max(_CLASS_LEN[c], 1 if c == 0 else _CLASS_LEN[c]))
-        if c == 0:
-            cols = feature_columns(0)
+        cols = feature_columns(_CLASS_LEN[c])
         keys_c = cls.where(F.col("cls") == c).select(*k)
-        rows = feats.join(keys_c, k).where(F.lit(True))
+        rows = feats.join(keys_c, k)
         cond = None
         for col in cols:
             x = F.col(col).isNotNull()
