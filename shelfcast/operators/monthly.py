@@ -103,9 +103,10 @@ def monthly_sales(df: DataFrame, target: str, keys: Sequence[str] | None = None,
     return _apply_partial(totals, keys, partial_rule).select(*keys, "date", "target")
 
 
-def _apply_partial(totals: DataFrame, keys: list[str], partial_rule: bool) -> DataFrame:
+def _apply_partial(totals: DataFrame, keys: list[str], partial_rule: bool,
+                   stats: DataFrame | None = None) -> DataFrame:
     t, k = _with_series_key(totals, keys)
-    stats = partial_month_stats(totals, keys, partial_rule)
+    stats = partial_month_stats(totals, keys, partial_rule) if stats is None else stats
     if not keys:
         stats = stats.withColumn(_ONE, F.lit(0)) if _ONE not in stats.columns else stats
     kept = (t.join(stats.select(*k, "latest_month", "partial_last_period_removed"), k)
@@ -167,7 +168,7 @@ def monthly_meta(df: DataFrame, target: str, keys: Sequence[str] | None = None,
     keys = _keys(keys)
     totals = monthly_totals(df, target, keys, date_col)
     stats = partial_month_stats(totals, keys, partial_rule)
-    kept = _apply_partial(totals, keys, partial_rule)
+    kept = _apply_partial(totals, keys, partial_rule, stats)
     dense = fill_gaps(kept.select(*keys, "date", "target"), keys)
     d, k = _with_series_key(dense, keys)
     s = stats if keys else stats.withColumn(_ONE, F.lit(0))
