@@ -374,7 +374,9 @@ def q_answer_intents(spark, sf_dir):
 
 @register("trend_series", sq.trend_series_sql())
 def q_trend_series(spark, sf_dir):
-    m = _series(spark, sf_dir, ["item_type"])
+    from shelfcast.session import materialize
+    # history and forecast both read the monthly table: write it once
+    m = materialize(_series(spark, sf_dir, ["item_type"]), "table")
     return rp.trend_series(m, ev.baseline_forecast(m, ["item_type"]), ["item_type"])
 
 
