@@ -108,3 +108,14 @@ def test_confidence_labels(spark, mape, ratio, gaps, label):
     c = sl.confidence(r, b, meta).first()
     assert c["label"] == label
     assert ("interpolation" in c["reason"]) == (gaps > 0)
+
+
+def test_features_with_keys_mixed_lengths(spark):
+    a = series(spark, [10 + i for i in range(9)], "a")
+    b = series(spark, [20 + i for i in range(14)], "b")
+    f = fe.feature_frame(a.unionByName(b), ["k"])
+    counts = {r["k"]: r["count"] for r in f.groupBy("k").count().collect()}
+    assert counts == {"a": 9 - 3, "b": 14 - 6}
+    short = f.where("k = 'a'")
+    assert short.where("lag_6 IS NOT NULL OR rolling_mean_6 IS NOT NULL OR lag_12 IS NOT NULL").count() == 0
+    assert f.where("k = 'b' AND lag_6 IS NULL").count() == 0

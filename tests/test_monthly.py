@@ -56,3 +56,22 @@ def test_partition_invariance(spark):
     b = sorted(mo.monthly_series(c.frame, "retail_sales").collect())
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert a == b
+
+
+def test_hot_key_and_hot_duplicates(spark):
+    """One key holds a third of the rows and many rows are identical: totals stay exact."""
+    from shelfcast.operators.cleaning import clean
+    from shelfcast.operators.roles import detect_roles
+    rows = []
+    for i in range(3000):
+        key = "hot" if i % 3 == 0 else f"k{i % 97}"
+        day = 1 + (i % 28)
+        rows.append((f"2024-{1 + i % 6:02d}-{day:02d}", key, 1.0 if key == "hot" else float(i % 5)))
+    rows += [("2024-01-01", "hot", 1.0)] * 1000          # a hot duplicate group
+    df = spark.createDataFrame(rows, "date string, item string, sales double")
+    r = clean(df, detect_roles(df))
+    assert r.stats["duplicates_removed"] == r.stats["original_rows"] - r.frame.count()
+    want = r.frame.groupBy("item").agg(F.sum("sales").alias("s"))
+    got = mo.monthly_sales(r.frame, "sales", keys=["item"], partial_rule=False).groupBy("item") \
+        .agg(F.sum("target").alias("s"))
+    assert sorted(want.collect()) == sorted(got.collect())
