@@ -47,14 +47,22 @@ class NotEnoughHistory(ValueError):
     pass
 
 
+# Execution options (not model settings): fine-grained bins so splits are close
+# to exact thresholds on small series, and node ids cached per training row so
+# deep trees do not re-route every row through the trees on each level.
+_EXEC = dict(maxBins=256, cacheNodeIds=True)
+
+
 def forest(**overrides):
-    p = dict(FOREST_PARAMS, **overrides)
-    return lambda: RandomForestRegressor(featuresCol="features", labelCol="target", seed=SEED, maxBins=256, **p)
+    p = dict(FOREST_PARAMS, **_EXEC)
+    p.update(overrides)
+    return lambda: RandomForestRegressor(featuresCol="features", labelCol="target", seed=SEED, **p)
 
 
 def boosting(**overrides):
-    p = dict(BOOSTING_PARAMS, **overrides)
-    return lambda: GBTRegressor(featuresCol="features", labelCol="target", seed=SEED, maxBins=256, **p)
+    p = dict(BOOSTING_PARAMS, **_EXEC)
+    p.update(overrides)
+    return lambda: GBTRegressor(featuresCol="features", labelCol="target", seed=SEED, **p)
 
 
 def _k(df, keys):
