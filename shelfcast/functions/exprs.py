@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 __all__ = [
     "NA_TOKENS", "BLANK_TOKENS", "normalize_column_name", "normalize_name_expr",
     "na_to_null", "strip_ws", "has_edge_ws", "WHITESPACE", "to_double", "parse_timestamp", "exact_sum", "round_half_up",
-    "safe_pct_change", "compact_number", "month_start", "fmt2",
+    "safe_pct_change", "compact_number", "month_start", "fmt2", "float_text",
 ]
 
 # Strings a CSV reader treats as missing at read time.
@@ -113,6 +113,15 @@ def round_half_up(c: Column, digits: int = 2) -> Column:
     return F.round(c.cast("decimal(38,10)"), digits).cast("double")
 
 
+def float_text(c: Column, scale: int = 4) -> Column:
+    """Positional text of an already-rounded float, like Python's str(): 15000000.0, 12.5, 0.1234.
+
+    (Casting a double to string in Spark switches to 1.5E7 from 1e7 upwards.)
+    """
+    t = F.regexp_replace(c.cast(f"decimal(38,{scale})").cast("string"), "0+$", "")
+    return F.when(t.endswith("."), F.concat(t, F.lit("0"))).otherwise(t)
+
+
 def fmt2(c: Column) -> Column:
     """'%.2f' text, '-' when null/NaN (dashboard metric format)."""
     return F.when(c.isNull() | F.isnan(c), F.lit("-")).otherwise(F.format_string("%.2f", c))

@@ -7,7 +7,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.functions.exprs import compact_number, fmt2
+from shelfcast.functions.exprs import compact_number, float_text, fmt2
 
 
 def trend_series(monthly: DataFrame, forecast: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
@@ -130,6 +130,7 @@ def answer_questions(questions: DataFrame, run: DataFrame, message_col: str = "m
     c = F.col
     yes = lambda b, t, f: F.when(b, F.lit(t)).otherwise(F.lit(f))
     s = lambda x: F.coalesce(x.cast("string"), F.lit("None"))
+    fl = lambda x: F.coalesce(float_text(x), F.lit("None"))
     cleaning = F.concat(
         F.lit("The upload pipeline "), yes(c("cleaning_applied"), "did", "did not need to"), F.lit(" apply cleaning. "),
         F.lit("It removed "), s(c("duplicates_removed")), F.lit(" duplicate rows and "), s(c("invalid_dates_removed")),
@@ -152,8 +153,8 @@ def answer_questions(questions: DataFrame, run: DataFrame, message_col: str = "m
                  F.lit(" currently leads the recent sales view in "), c("top_group"),
                  F.lit(", and the recommended action is to maintain the current stock plan and monitor the next upload.")))
              .otherwise(F.concat(F.lit("The strongest current restocking signal is "), c("top_item"), F.lit(" in "), c("top_group"),
-                                 F.lit(". Recent sales were "), s(c("top_recent")), F.lit(" versus "), s(c("top_prior")),
-                                 F.lit(" before, giving "), s(c("top_growth")), F.lit("% growth. Recommended action: "),
+                                 F.lit(". Recent sales were "), fl(c("top_recent")), F.lit(" versus "), fl(c("top_prior")),
+                                 F.lit(" before, giving "), fl(c("top_growth")), F.lit("% growth. Recommended action: "),
                                  c("top_action"), F.lit("."))))
     forecast = F.when(F.coalesce(F.length(c("forecast_points")), F.lit(0)) == 0,
                       F.lit("A future forecast is not available for this run yet.")) \
@@ -163,7 +164,7 @@ def answer_questions(questions: DataFrame, run: DataFrame, message_col: str = "m
     dataset = F.concat(F.lit("The dataset covers "), c("date_start"), F.lit(" to "), c("date_end"), F.lit(" with "),
                        s(c("row_count")), F.lit(" cleaned rows across "), s(c("column_count")),
                        F.lit(" columns. The detected target column is "), c("target_column"),
-                       F.lit(" with total observed value "), s(c("target_sum")), F.lit(". Trend direction is "),
+                       F.lit(" with total observed value "), fl(c("target_sum")), F.lit(". Trend direction is "),
                        F.coalesce(c("trend_direction"), F.lit("not available yet")),
                        F.lit(", and current forecast quality is marked as "),
                        F.coalesce(c("confidence_label"), F.lit("Developing")), F.lit("."))

@@ -16,6 +16,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfcast.functions.exprs import float_text
 from shelfcast.operators import evaluate as ev
 from shelfcast.operators import forecast as fc
 from shelfcast.operators import insights as ins
@@ -102,7 +103,7 @@ def run_row(a: Analysis) -> DataFrame:
         F.size(F.map_keys("filled_categorical_columns")).alias("filled_categorical_count"))
     conf = a.confidence.select(F.col("label").alias("confidence_label"), F.col("reason").alias("confidence_reason"))
     best = a.best.select(F.col("model").alias("best_model"), F.col("reason").alias("best_reason"))
-    num = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    num = lambda c: F.coalesce(float_text(F.col(c)), F.lit("None"))
     line = F.when(F.col("status") == "trained", F.concat(
         F.col("model"), F.lit(": MAE "), num("mae"), F.lit(", RMSE "), num("rmse"), F.lit(", MAPE "), num("mape"),
         F.lit(", R2 "), num("r2"))).otherwise(F.concat(F.col("model"), F.lit(": "),
@@ -116,7 +117,7 @@ def run_row(a: Analysis) -> DataFrame:
         F.col("action").alias("top_action"), F.col("risk").alias("top_risk"))
     pts = a.forecast_summary.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("date", "value"))),
                                                           lambda p: F.concat(F.date_format(p["date"], "yyyy-MM-dd"),
-                                                                             F.lit(": "), p["value"].cast("string"))),
+                                                                             F.lit(": "), float_text(p["value"]))),
                                               ", ").alias("forecast_points"))
     ov = a.overview.select("date_start", "date_end", "row_count", "column_count", "target_column", "target_sum")
     tr = a.trend.select("trend_direction")
