@@ -85,8 +85,7 @@ def analyze(raw: DataFrame, date_column: str | None = None, target_column: str |
                  ins.top_segments(rows, schema, target), ins.seasonal_pattern(series, keys),
                  ins.iqr_anomalies(series, keys), ins.trend_direction(series, keys), ins.peak_low(series, keys),
                  results, forecasts, best, conf, summary, recs, None)
-    if not keys:
-        a.run = run_row(a)
+    a.run = run_row(a, keys)
     return a
 
 
@@ -94,36 +93,45 @@ def _one(df: DataFrame, run_id: str) -> DataFrame:
     return df.withColumn("run_id", F.lit(run_id))
 
 
-def run_row(a: Analysis) -> DataFrame:
-    """Flat one-row run record (what Q1 and the dashboard read)."""
+def run_row(a: Analysis, keys: Sequence[str] | None = None) -> DataFrame:
+    """Flat run record (what Q1 and the dashboard read): one row per run, or per
+    series when ``keys`` are given (run-wide fields repeated on each)."""
+    keys = list(keys or [])
     rid = a.run_id
     s = a.cleaning.summary.select(
         "cleaning_applied", "duplicates_removed", "invalid_dates_removed",
         F.size(F.map_keys("filled_numeric_columns")).alias("filled_numeric_count"),
         F.size(F.map_keys("filled_categorical_columns")).alias("filled_categorical_count"))
-    conf = a.confidence.select(F.col("label").alias("confidence_label"), F.col("reason").alias("confidence_reason"))
-    best = a.best.select(F.col("model").alias("best_model"), F.col("reason").alias("best_reason"))
+    conf = a.confidence.select(*keys, F.col("label").alias("confidence_label"), F.col("reason").alias("confidence_reason"))
+    best = a.best.select(*keys, F.col("model").alias("best_model"), F.col("reason").alias("best_reason"))
     num = lambda c: F.coalesce(float_text(F.col(c)), F.lit("None"))
     line = F.when(F.col("status") == "trained", F.concat(
         F.col("model"), F.lit(": MAE "), num("mae"), F.lit(", RMSE "), num("rmse"), F.lit(", MAPE "), num("mape"),
         F.lit(", R2 "), num("r2"))).otherwise(F.concat(F.col("model"), F.lit(": "),
                                                         F.coalesce(F.col("reason"), F.lit("not trained"))))
     order = F.coalesce(F.array_position(F.array(*[F.lit(m) for m in fc.MODEL_ORDER]), F.col("model")), F.lit(99))
-    lines = a.results.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), line.alias("l")))),
-                                                   lambda x: x["l"]), " | ").alias("model_lines"))
+    lines = a.results.groupBy(*keys).agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct(order.alias("o"), line.alias("l")))), lambda x: x["l"]), " | ")
+        .alias("model_lines"))
     top = a.recommendations.limit(1).select(
         F.col("item").alias("top_item"), F.col("group").alias("top_group"), F.col("recent_sales").alias("top_recent"),
         F.col("prior_sales").alias("top_prior"), F.col("growth_pct").alias("top_growth"),
         F.col("action").alias("top_action"), F.col("risk").alias("top_risk"))
-    pts = a.forecast_summary.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("date", "value"))),
-                                                          lambda p: F.concat(F.date_format(p["date"], "yyyy-MM-dd"),
-                                                                             F.lit(": "), float_text(p["value"]))),
-                                              ", ").alias("forecast_points"))
+    pts = a.forecast_summary.groupBy(*keys).agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("date", "value"))),
+        lambda p: F.concat(F.date_format(p["date"], "yyyy-MM-dd"), F.lit(": "), float_text(p["value"]))),
+        ", ").alias("forecast_points"))
     ov = a.overview.select("date_start", "date_end", "row_count", "column_count", "target_column", "target_sum")
-    tr = a.trend.select("trend_direction")
-    out = _one(s, rid)
-    for piece, how in [(conf, "inner"), (best, "inner"), (lines, "inner"), (top, "left"), (pts, "inner"),
-                       (ov, "inner"), (tr, "inner")]:
+    tr = a.trend.select(*keys, "trend_direction")
+    # per-series pieces join on the keys; run-wide pieces (one row each) on run_id
+    series = conf
+    for piece, how in [(best, "inner"), (lines, "left"), (pts, "left"), (tr, "left")]:
+        if keys:
+            series = series.join(piece, keys, how)
+        else:
+            series = _one(series, rid).join(_one(piece, rid), "run_id", how).drop("run_id")
+    out = _one(s, rid).join(_one(series, rid), "run_id")
+    for piece, how in [(top, "left"), (ov, "inner")]:
         out = out.join(_one(piece, rid), "run_id", how)
     return out
 
@@ -175,6 +183,8 @@ def run_document(a: Analysis, file_name: str = "", size_bytes: int = 0) -> DataF
                       *[c for c in doc.columns if c != "run_id"], F.lit(now).alias("generated_at"))
 
 
-def chat(a_run: DataFrame, questions: DataFrame, message_col: str = "message") -> DataFrame:
-    """Q1 for a batch of questions against run rows (joined on run_id)."""
-    return rp.answer_questions(questions, a_run, message_col)
+def chat(a_run: DataFrame, questions: DataFrame, message_col: str = "message",
+         on: Sequence[str] = ("run_id",)) -> DataFrame:
+    """Q1 for a batch of questions against run rows (joined on run_id, plus the series keys
+    when the run was keyed)."""
+    return rp.answer_questions(questions, a_run, message_col, on)

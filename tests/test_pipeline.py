@@ -37,4 +37,9 @@ def test_analyze_with_series_keys(spark):
     assert a.results.count() == 4 * n_types
     assert a.best.count() == n_types and a.confidence.count() == n_types
     assert a.forecast_summary.groupBy("item_type").count().where("count = 3").count() == n_types
-    assert a.meta.count() == n_types and a.run is None
+    assert a.meta.count() == n_types
+    run = a.run
+    assert run.count() == n_types and run.where("best_model IS NULL OR forecast_points IS NULL").count() == 0
+    qs = run.select("run_id", "item_type", F.lit("What is the forecast?").alias("message"))
+    ans = chat(run, qs, on=["run_id", "item_type"]).collect()
+    assert len(ans) == n_types and all(r["answer"].startswith("The current 3-month forecast") for r in ans)
