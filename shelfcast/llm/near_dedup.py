@@ -237,7 +237,8 @@ def in_chunks(large: DataFrame, limit: int) -> DataFrame:
     """Nodes that do not split: chunks of about ``limit`` documents, each with the node's first document."""
     chunks = F.ceil(F.col("size") / F.lit(limit))
     first = large.groupBy("node", "size").agg(F.min_by(F.struct("cls", "comp"), F.xxhash64("cls")).alias("f"))
-    first = first.select(F.xxhash64("node", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1))).alias("node"), "f.cls", "f.comp")
+    first = first.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
+    first = first.select(F.xxhash64("node", "chunk").alias("node"), "f.cls", "f.comp")
     return large.select(F.xxhash64("node", F.pmod(F.xxhash64("cls", F.lit(7)), chunks)).alias("node"), "cls", "comp").unionByName(first).distinct()
 
 
