@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -77,10 +79,43 @@ def window_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     n = len(hashes) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    acc = np.zeros(n, np.uint64)
+    acc = np.full(n, k, np.uint64)
     for i in range(k):
-        acc = mix64(acc * np.uint64(0x9E3779B97F4A7C15) + hashes[i:i + n] + np.uint64(i + 1))
-    return acc
+        acc *= np.uint64(0x9E3779B97F4A7C15)
+        acc += hashes[i:i + n]
+    return mix64(acc)
+
+
+def groups(batches, key: str):
+    """Runs of rows of equal key, as tables, from batches that are sorted by it."""
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy()
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), batch.num_rows]
+        if held and held[-1].column(key)[0].as_py() != keys[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            held.append(batch.slice(a, b - a))
+            if b < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+# ------------------------------------------------------------------ files in the shared folder
+
+def file_system(uri: str):
+    """The Arrow file system of a folder's address, and the folder's path on it."""
+    scheme, _, rest = uri.partition(":")
+    if "/" in scheme or not rest:
+        return fs.LocalFileSystem(), uri
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(uri)
 
 
 # ------------------------------------------------------------------ prefix sums without one task per group

@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import (WordHashes, components, mix64, prepare, store, table, text_bytes, window_hashes)
+from shelfcast.llm.common import (WordHashes, components, groups, mix64, prepare, store, table, text_bytes,
+                                  window_hashes)
 
 SHINGLE, QUERY_SHINGLE = 5, 4
 THRESHOLD_PERCENT = 80
@@ -100,26 +101,6 @@ def by_node(frame: DataFrame, key: str) -> DataFrame:
     return frame.repartition(key).sortWithinPartitions(key)
 
 
-def groups(batches, key: str):
-    """Consecutive rows of equal key, as tables, from batches sorted by it."""
-    held = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column(key).to_numpy()
-        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), batch.num_rows]
-        if held and held[-1].column(key)[0].as_py() != keys[0]:
-            yield pa.Table.from_batches(held)
-            held = []
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            held.append(batch.slice(a, b - a))
-            if b < batch.num_rows:
-                yield pa.Table.from_batches(held)
-                held = []
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 class Forest:
     """Union of positions 0..n-1."""
 
