@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from shelfcast.llm.bpe import op10_bpe
+from shelfcast.llm.embedding_dedup import op9_embedding_dedup
 from shelfcast.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from shelfcast.llm.mixing import OP6_SQL, op6_mixing
 from shelfcast.llm.near_dedup import op2_near_dedup
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_toxicity": op8_toxicity,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_bpe": op10_bpe,
 }
 
