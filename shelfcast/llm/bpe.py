@@ -19,7 +19,7 @@ from shelfcast.llm.common import prepare, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pre-tokens whose ids a worker remembers, and the longest of them in characters.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 REMEMBERED_CHARS = 64
 
 
@@ -69,24 +69,34 @@ class RankQueue:
         return rank, held[0]
 
 
-#: The white space of Unicode, as ``\\s`` of the splitting pattern has it.
-SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: A run of other characters with the one space before it, or a run of white space up to there.  The
-#: splitting pattern never joins characters across these borders, nor looks beyond them.
-chunks = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
+#: The white space of Unicode, as ``\s`` of the splitting pattern has it.
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Latin letters, of which the splitting pattern makes one piece when such a character follows.
+LATIN, AFTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", ".,;:!?)"
+#: Cuts a text where the splitting pattern always does: a Latin word before a space or one of
+#: ``AFTER``, another run of characters with the one space before it, or white space up to there.
+#: The pattern never joins characters across these borders, nor looks beyond them.
+chunks = re.compile(f" ?[{LATIN}]+(?=[{AFTER}{SPACE}]|$(?!\n))| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
 
 
 class Remembered(dict):
-    """Results of ``make`` by text, for short texts; emptied when full."""
+    """Results of ``make`` by text, for short texts.
+
+    When full, all but what is asked for again is forgotten by and by: the full half becomes the
+    older one, from which results move to the newer when they are met.
+    """
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, key: str) -> bytes:
-        value = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= REMEMBERED_CHARS:
             if len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
             self[key] = value
         return value

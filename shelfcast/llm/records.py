@@ -28,7 +28,7 @@ from shelfcast.llm.common import file_system, prepare, shared_folder, store, tab
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 #: Chunks of text whose ids a worker remembers, and the longest of them in characters.
-REMEMBERED, REMEMBERED_CHARS = 500_000, 64
+REMEMBERED, REMEMBERED_CHARS = 400_000, 64
 INDEX = np.dtype([("offset", "<u8"), ("length", "<u8"), ("doc_id", "<i8"), ("has_id", "<u8")])
 MASK = 0xA282EAD8
 
@@ -86,17 +86,20 @@ class LibraryEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known, cut = self.known, [chunks(t) for t in texts]
-        if len(known) > REMEMBERED:
-            known.clear()
-        missing = list(set().union(*cut).difference(known)) if cut else []
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        known, older, cut = self.known, self.older, [chunks(t) for t in texts]
+        missing = set().union(*cut).difference(known)
+        again = missing & older.keys()
+        known.update((m, older[m]) for m in again)
+        missing = list(missing - again)
         encoded = self.tokenizer.encode_batch(missing, add_special_tokens=False)
-        fresh = {m: np.array(e.ids, self.dtype).tobytes() for m, e in zip(missing, encoded)}
-        known.update(fresh)
+        known.update((m, np.array(e.ids, self.dtype).tobytes()) for m, e in zip(missing, encoded))
         out = [b"".join(map(known.__getitem__, c)) for c in cut]
-        for m in fresh:
+        for m in missing:
             if len(m) > REMEMBERED_CHARS:
                 del known[m]
         return out
