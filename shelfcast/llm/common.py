@@ -74,6 +74,46 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+_SPACES = np.zeros(256, bool)
+_SPACES[[9, 10, 11, 12, 13, 32]] = True
+_BASE = 0x9E3779B97F4A7C15
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """At least ``n`` powers of the base of word hashes, and of its inverse modulo 2 ** 64."""
+    if len(_POWERS[0]) < n:
+        n = 1 << n.bit_length()
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            _POWERS[i] = np.cumprod(steps)
+    return _POWERS
+
+
+def hash_words(text: bytes, segment: int = 1 << 17) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of a text and where each begins and ends, without a Python object per word.
+
+    A word's hash is that of a polynomial in its bytes, taken as a difference of prefix sums.
+    """
+    data = np.frombuffer(text, np.uint8)
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], _SPACES[data], [True]])))
+    starts, ends = edges[::2], edges[1::2]
+    hashes = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        at = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, at + segment, "right")))
+        n = int(ends[j - 1] - at)
+        power, inverse = _powers(n)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((data[at:at + n].astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
+        s, e = starts[i:j] - at, ends[i:j] - at
+        hashes[i:j] = (sums[e] - sums[s]) * inverse[s]
+        i = j
+    return mix64(hashes), starts, ends
+
+
 def window_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     """Order-sensitive hashes of every run of ``k`` consecutive word hashes."""
     n = len(hashes) - k + 1

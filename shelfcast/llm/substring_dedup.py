@@ -9,13 +9,16 @@ equal ones counted exactly, by their words.
 Documents are dealt to parts of about ``PART_BYTES`` by a hash of the id.  A part sends each
 distinct string of its documents once, with the smallest and largest id it occurs in there: a
 passage that fills a third of the corpus is one string per part in its bucket, however many
-documents hold it.  The bucket answers to each part with the windows that start in a smaller
+documents hold it.  A minimiser that very many different strings share (a frequent line in changing
+surroundings) would be one large bucket; its windows are dealt out by all their words instead.
+The bucket answers to each part with the windows that start in a smaller
 document, and the part removes the words.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +26,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import WordHashes, groups, mix64, prepare, table, text_bytes, window_hashes
+from shelfcast.llm.common import groups, hash_words, mix64, prepare, store, table, text_bytes, window_hashes
 
 WINDOW = 13
-MINIMISER = 4
+MINIMISER = 3
 PART_BYTES = 8 << 20
 #: Buckets for each part; packed strings repeat the words at their borders, about three times the text.
 BUCKETS_PER_PART = 3
+#: A minimiser with one in ``HOT`` of all packed strings does not get a bucket of its own.
+HOT = 4096
+FILTER_BITS = 20
 #: Stands for a null id: no document is smaller than, or as small as, a document without id.
 NO_ID = np.iinfo(np.int64).max
 
@@ -46,39 +52,67 @@ def minimisers(hashes: np.ndarray, window: int, k: int) -> np.ndarray:
     return runs
 
 
-def super_k_mers(words: list[bytes], hashes: np.ndarray, buckets: int, window: int, k: int):
-    """(bucket, packed string) of the maximal stretches of windows that share a minimiser."""
-    low = minimisers(hashes, window, k)
-    starts = np.concatenate([[0], np.flatnonzero(low[1:] != low[:-1]) + 1])
-    ends = np.concatenate([starts[1:], [len(low)]]) + (window - 1)
-    bucket = (mix64(low[starts]) % np.uint64(buckets)).astype(np.int64).tolist()
-    begin = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])])
-    joined = b" ".join(words)
-    for b, s, e in zip(bucket, begin[starts].tolist(), (begin[ends] - 1).tolist()):
-        yield b, joined[s:e]
-
+def hot_minimisers(docs: DataFrame, window: int, k: int) -> np.ndarray:
+    """Minimisers of at least one in ``HOT`` super-k-mers of the corpus; so there are ``HOT`` at most.
 
-class Interner(dict):
-    """Numbers for words, in order of appearance."""
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
+    Every batch of documents reports those that reach half this share among its own, with their
+    counts; a minimiser that is hot in the corpus but spread so thinly that too few batches report
+    it stays a (larger) bucket.  What counts as hot changes the buckets, never the result.
+    """
+    def run(batches):
+        for batch in batches:
+            keys = []
+            for text in batch.column("text").to_pylist():
+                hashes, _, _ = hash_words(text)
+                if len(hashes) >= window:
+                    low = minimisers(hashes, window, k)
+                    keys.append(low[np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))])
+            if keys:
+                keys, counts = np.unique(np.concatenate(keys), return_counts=True)
+                total = counts.sum()
+                pick = (counts > 1) & (2 * HOT * counts >= total)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[pick].view(np.int64)), pa.array(counts[pick]), pa.array(np.zeros(pick.sum(), np.int64))], ["key", "n", "total"])
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([0]), pa.array([total])], ["key", "n", "total"])
+
+    counts = store(docs.mapInArrow(run, "key bigint, n bigint, total bigint").groupBy("key").agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
+    total = counts.agg(F.sum("total")).first()[0] or 0
+    return np.array([r["key"] for r in counts.where(F.col("key").isNotNull() & (F.col("n") * HOT >= total)).collect()], np.int64).view(np.uint64)
+
+
+def super_k_mers(text: bytes, buckets: int, window: int, k: int, hot: np.ndarray):
+    """Buckets and packed strings of the maximal stretches of windows that share a minimiser.
+
+    The words of ``text`` are parted by single spaces.  A window whose minimiser is hot goes alone,
+    to the bucket of all its words.
+    """
+    hashes, begins, ends = hash_words(text)
+    if len(hashes) < window:
+        return (), ()
+    low = minimisers(hashes, window, k)
+    if len(hot):
+        alone = np.flatnonzero(np.isin(low, hot))
+        low[alone] = mix64(window_hashes(hashes, window)[alone])
+    first = np.concatenate([[0], np.flatnonzero(low[1:] != low[:-1]) + 1])
+    last = np.concatenate([first[1:], [len(low)]]) + (window - 2)
+    bucket = mix64(low[first]) % np.uint64(buckets)
+    return bucket.tolist(), map(text.__getitem__, map(slice, begins[first].tolist(), ends[last].tolist()))
 
 
-def equal_windows(ids: np.ndarray, starts: np.ndarray, hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sort windows; return (order, class of each window in that order) with equal classes for equal words."""
+def equal_windows(text: bytes, begins: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sort windows; return (order, class of each window in that order) with equal classes for equal bytes."""
     order = np.argsort(hashes, kind="stable")
     h = hashes[order]
-    cls = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]]))
-    head = starts[order][np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])][cls]
-    at = starts[order]
-    if any((ids[at + i] != ids[head + i]).any() for i in range(window)):
-        # two windows with one hash: sort by the words themselves
-        rows = np.stack([ids[starts + i] for i in range(window)], axis=1)
-        _, cls = np.unique(rows, axis=0, return_inverse=True)
-        order = np.argsort(cls.ravel(), kind="stable")
-        cls = cls.ravel()[order]
+    new = np.concatenate([[True], h[1:] != h[:-1]])
+    cls = np.cumsum(new)
+    head = order[np.flatnonzero(new)][cls - 1]
+    many = np.flatnonzero(order != head)  # a window whose hash no other has needs no check
+    a, b = order[many], head[many]
+    if any(text[p:q] != text[r:s] for p, q, r, s in zip(*(x.tolist() for x in (begins[a], ends[a], begins[b], ends[b])))):
+        # two windows with one hash: number them by their bytes
+        numbers: dict[bytes, int] = {}
+        cls = np.array([numbers.setdefault(text[p:q], len(numbers)) for p, q in zip(begins.tolist(), ends.tolist())])
+        order = np.argsort(cls, kind="stable")
+        cls = cls[order]
     return order, cls
 
 
@@ -91,22 +125,21 @@ def packed(numbers: list[int]) -> bytes:
     return zstandard.ZstdCompressor().compress(np.diff(np.array(numbers, np.int64), prepend=np.int64(0)).tobytes())
 
 
-def send_strings(parts, buckets: int, window: int, k: int) -> DataFrame:
+def send_strings(parts, buckets: int, window: int, k: int, hot: np.ndarray) -> DataFrame:
     """(part, bucket, strings, lo, hi): what each part sends to each bucket."""
 
     def pack(rows: pa.Table) -> pa.Table:
-        known, compress = WordHashes(), zstandard.ZstdCompressor().compress
-        sent: dict[int, dict[bytes, list[int]]] = {}
+        compress = zstandard.ZstdCompressor().compress
+        first: dict[int, dict[bytes, int]] = defaultdict(dict)
+        last: dict[int, dict[bytes, int]] = defaultdict(dict)
         rows = rows.sort_by("doc_id")
         for doc, text in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()):
-            words = text.split()
-            if len(words) < window:
-                continue
-            for bucket, string in super_k_mers(words, known.array(words), buckets, window, k):
-                ids = sent.setdefault(bucket, {}).setdefault(string, [doc, doc])
-                ids[1] = doc
+            for bucket, string in zip(*super_k_mers(b" ".join(text.split()), buckets, window, k, hot)):
+                if first[bucket].setdefault(string, doc) != doc:
+                    last[bucket][string] = doc
         part = rows.column("part")[0].as_py()
-        out = [(part, b, compress(b"\n".join(s)), packed([x[0] for x in s.values()]), packed([x[1] for x in s.values()])) for b, s in sent.items()]
+        out = [(part, b, compress(b"\n".join(s)), packed(list(s.values())), packed([last[b].get(x, d) for x, d in s.items()] if b in last else list(s.values())))
+               for b, s in first.items()]
         kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         columns = zip(*out) if out else [[]] * 5
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["part", "bucket", "strings", "lo", "hi"])
@@ -121,25 +154,19 @@ def answer(sent: DataFrame, window: int) -> DataFrame:
     def count(batches):
         decompress = zstandard.ZstdDecompressor().decompress
         for bucket in groups(batches, "bucket"):
-            numbers, known = Interner(), WordHashes()
-            ids, string_of, lo, hi, part = [], [], [], [], []
+            blobs, lo, hi, part = [], [], [], []
             for p, blob, a, b in zip(*(bucket.column(c).to_pylist() for c in ("part", "strings", "lo", "hi"))):
-                strings = decompress(blob).split(b"\n")
+                blobs.append(decompress(blob))
                 lo.append(unpacked(a))
                 hi.append(unpacked(b))
-                part.append(np.full(len(strings), p))
-                for s in strings:
-                    words = s.split(b" ")
-                    ids.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
-                    string_of.append(len(words))
+                part.append(np.full(len(lo[-1]), p))
             lo, hi, part = map(np.concatenate, (lo, hi, part))
-            sizes = np.array(string_of)
-            ids = np.concatenate(ids)
-            of = np.repeat(np.arange(len(sizes)), sizes)  # the string of each word
-            begins = np.cumsum(sizes) - sizes
-            starts = np.flatnonzero(np.arange(len(ids)) - begins[of] + window <= sizes[of])
-            hashes = window_hashes(known.array(list(numbers))[ids], window)[starts]
-            order, cls = equal_windows(ids, starts, hashes, window)
+            text = b"\n".join(blobs)  # a string per line
+            words, begins, ends = hash_words(text)
+            of = np.searchsorted(np.flatnonzero(np.frombuffer(text, np.uint8) == 10), begins)  # the string of each word
+            starts = np.flatnonzero(of[:len(of) - window + 1] == of[window - 1:])
+            hashes = window_hashes(words, window)[starts]
+            order, cls = equal_windows(text, begins[starts], ends[starts + window - 1], hashes)
             string = of[starts[order]]
             cuts = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
             smallest = np.repeat(np.minimum.reduceat(lo[string], cuts), np.diff([*cuts, len(cls)]))
@@ -164,26 +191,30 @@ def strip(parts, answers: DataFrame, window: int, with_text: bool) -> DataFrame:
     """Remove from each part's documents the words of the windows it was told of."""
 
     def apply(rows: pa.Table, told: pa.Table) -> pa.Table:
-        known = WordHashes()
         found = np.frombuffer(b"".join(told.column("windows").to_pylist()), np.uint64)
         least = np.frombuffer(b"".join(told.column("lo").to_pylist()), np.int64)
         order = np.lexsort((least, found))
         found, least = found[order], least[order]
+        told_of = np.zeros(1 << FILTER_BITS, bool)  # most windows are not among them
+        told_of[found & np.uint64((1 << FILTER_BITS) - 1)] = True
         out = []
         for doc, text in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()):
-            words = kept = text.split()
-            if len(words) >= window and len(found):
-                hashes = window_hashes(known.array(words), window)
-                at = np.minimum(np.searchsorted(found, hashes), len(found) - 1)
-                starts = np.flatnonzero((found[at] == hashes) & (least[at] < doc))
+            text = b" ".join(text.split())
+            hashes, _, _ = hash_words(text)
+            n = kept_words = len(hashes)
+            if n >= window and len(found):
+                hashes = window_hashes(hashes, window)
+                maybe = np.flatnonzero(told_of[hashes & np.uint64((1 << FILTER_BITS) - 1)])
+                at = np.minimum(np.searchsorted(found, hashes[maybe]), len(found) - 1)
+                starts = maybe[(found[at] == hashes[maybe]) & (least[at] < doc)]
                 if len(starts):
-                    edge = np.zeros(len(words) + 1, np.int64)
+                    edge = np.zeros(n + 1, np.int64)
                     np.add.at(edge, starts, 1)
                     np.add.at(edge, starts + window, -1)
                     gone = np.cumsum(edge)[:-1] > 0
-                    kept = [w for w, g in zip(words, gone.tolist()) if not g]
-            text = b" ".join(kept)
-            out.append((None if doc == NO_ID else doc, len(words), len(words) - len(kept), hashlib.sha256(text).hexdigest(), text if with_text else None))
+                    kept = [w for w, g in zip(text.split(), gone.tolist()) if not g]
+                    text, kept_words = b" ".join(kept), len(kept)
+            out.append((None if doc == NO_ID else doc, n, n - kept_words, hashlib.sha256(text).hexdigest(), text if with_text else None))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         columns = list(zip(*out)) if out else [[]] * 5
         columns[4] = [None if t is None else t.decode() for t in columns[4]]
@@ -210,8 +241,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = MINIMISER, pa
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n = max(1, -(-total // part_bytes))
     parts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("doc_id"), text.alias("text"))
+    hot = hot_minimisers(docs.select(text.alias("text")), window, k)
     parts = parts.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
-    answers = answer(send_strings(parts, n * BUCKETS_PER_PART, window, k), window)
+    answers = answer(send_strings(parts, n * BUCKETS_PER_PART, window, k, hot), window)
     rows = strip(parts, answers, window, with_text)
     return rows if with_text else rows.drop("kept_text")
 
