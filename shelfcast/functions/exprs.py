@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 
 __all__ = [
     "NA_TOKENS", "BLANK_TOKENS", "normalize_column_name", "normalize_name_expr",
-    "na_to_null", "strip_ws", "has_edge_ws", "WHITESPACE", "to_double", "parse_timestamp", "exact_sum", "round_half_up",
-    "safe_pct_change", "compact_number", "month_start", "fmt2", "float_text",
+    "na_to_null", "strip_ws", "has_edge_ws", "WHITESPACE", "to_double", "parse_timestamp", "exact_sum", "round_half_up", "compact_number", "month_start", "fmt2", "float_text",
 ]
 
 # Strings a CSV reader treats as missing at read time.
@@ -87,7 +86,7 @@ def to_double(c: Column) -> Column:
 def parse_timestamp(c: Column, fmt: str | None = None) -> Column:
     """String/timestamp -> TIMESTAMP_NTZ; unparsable or out of the ns range -> null."""
     if fmt is None:
-        ts = F.try_to_timestamp(c.cast("string"))
+        ts = c  # a typed column: no way through text
     else:
         ts = F.try_to_timestamp(c.cast("string"), F.lit(fmt))
     ts = ts.cast("timestamp_ntz")
@@ -99,13 +98,16 @@ def month_start(ts: Column) -> Column:
     return F.trunc(ts, "month")
 
 
-def exact_sum(c: Column, scale: int = 6) -> Column:
-    """Order-independent sum: accumulate in DECIMAL(38, scale), return DOUBLE.
+def exact_sum(c: Column) -> Column:
+    """A sum that does not depend on the order of the rows, for finite values of usual size.
 
-    Float sums depend on partitioning; this keeps totals identical at any
-    parallelism (the support column carries 4-decimal values).
+    Digits up to the twelfth are added as DECIMAL; what a value has beyond them, and values too
+    large for it, infinite or NaN, are added as DOUBLE, so nothing is dropped.
     """
-    return F.sum(c.cast(f"decimal(38,{scale})")).cast("double")
+    v = c.cast("double")
+    part = v.try_cast("decimal(38,12)")
+    rest = v - F.coalesce(part.cast("double"), F.lit(0.0))
+    return F.when(F.count(v) > 0, F.coalesce(F.try_sum(part).cast("double"), F.lit(0.0)) + F.sum(rest))
 
 
 def round_half_up(c: Column, digits: int = 2) -> Column:
@@ -127,11 +129,6 @@ def fmt2(c: Column) -> Column:
     return F.when(c.isNull() | F.isnan(c), F.lit("-")).otherwise(F.format_string("%.2f", c))
 
 
-def safe_pct_change(cur: Column, prev: Column) -> Column:
-    """(cur - prev) / prev; division by zero or a null operand -> null (never raises)."""
-    return F.try_divide(cur - prev, prev)
-
-
 def compact_number(c: Column) -> Column:
     """English compact notation with at most two fraction digits (1.23K, 4.5M, 7B, 1T).
 

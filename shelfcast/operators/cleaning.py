@@ -190,7 +190,9 @@ def clean(raw: DataFrame, schema: RoleSchema, date_format: str | None = None,
     fills = []
     for c in cols:
         if c in fill_num:
-            fills.append(F.coalesce(F.col(c), F.lit(fill_num[c]).cast(sdt[c])).alias(c))
+            # a whole-number column with gaps takes a fractional median, so it is widened
+            kind = sdt[c] if sdt[c] in ("float", "double") or sdt[c].startswith("decimal") else "double"
+            fills.append(F.coalesce(F.col(c).cast(kind), F.lit(fill_num[c]).cast(kind)).alias(c))
         elif c in fill_cat:
             fills.append(F.coalesce(F.col(c), F.lit(fill_cat[c])).alias(c))
         elif c in fill_other:
@@ -198,8 +200,8 @@ def clean(raw: DataFrame, schema: RoleSchema, date_format: str | None = None,
         else:
             fills.append(F.col(c))
     final = cleaned.select(*fills)
-    missing_after = {c: n for c, n in missing_before.items()
-                     if c not in fill_num and c not in fill_cat and c not in fill_other}
+    left = final.agg(F.count(F.lit(1)).alias("__n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in missing_before]).first()
+    missing_after = {c: left[c] for c in missing_before if left[c]}
 
     stats = {
         "original_rows": int(original_rows),
@@ -211,12 +213,12 @@ def clean(raw: DataFrame, schema: RoleSchema, date_format: str | None = None,
         "missing_values_before": {k: int(v) for k, v in missing_before.items()},
         "missing_values_after": {k: int(v) for k, v in missing_after.items()},
         "filled_numeric_columns": {k: round(v, 4) for k, v in fill_num.items()},
-        "filled_categorical_columns": dict(fill_cat),
+        "filled_categorical_columns": {**fill_cat, **{k: str(v) for k, v in fill_other.items()}},
         "original_columns": original_columns,
         "normalized_columns": list(cols),
     }
     stats["cleaning_applied"] = bool(stats["duplicates_removed"] or bad_dates or bad_targets
-                                     or fill_num or fill_cat or trimmed_columns)
+                                     or fill_num or fill_cat or fill_other or trimmed_columns)
     return CleanResult(final, summary_frame(spark, stats), missing_frame(spark, stats), schema, stats)
 
 

@@ -139,7 +139,7 @@ def lag_sequences(scaled: DataFrame, keys: Sequence[str] | None = None, window:
     whole = Window.partitionBy(*k)
     n = F.count(F.lit(1)).over(whole)
     size = F.lit(window) if window else window_size(n)
-    hist = F.collect_list("scaled").over(w.rowsBetween(-12, -1))
+    hist = F.collect_list("scaled").over(w.rowsBetween(-(window or 6), -1))
     x = F.slice(hist, F.greatest(F.lit(1), F.size(hist) - size + 1), size)
     out = (m.select(*k, "date", x.alias("x"), F.col("scaled").alias("y"), size.alias("window"))
            .where(F.size("x") == F.col("window")))

@@ -31,7 +31,8 @@ TREE_MIN_MONTHS = 8
 TREE_MIN_FEATURE_ROWS = 4
 AR_MIN_MONTHS = 10
 AR_MIN_SEQUENCES = 3
-ROWS_PER_PARTITION = 1_000_000
+#: Partitions of the training rows.  Seeded bagging depends on it, so it does not follow the data.
+TRAINING_PARTITIONS = 4
 
 # Reference hyper-parameters.
 FOREST_PARAMS = dict(numTrees=500, maxDepth=10, minInstancesPerNode=1, featureSubsetStrategy="all")
@@ -167,15 +168,13 @@ def _fit_by_class(train_monthly: DataFrame, k: list[str], factory: Callable, tar
         rows = rows.where(cond)
         # Series with fewer than ``min_rows`` feature rows are not fitted.
         enough = rows.groupBy(*k).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= min_rows).select(*k)
-        rows = VectorAssembler(inputCols=cols, outputCol="features").transform(rows.join(enough, k)) \
-            .select("features", "target")
+        rows = VectorAssembler(inputCols=cols, outputCol="features").transform(rows.join(enough, k))
         # Iterative learners scan the training rows once per tree level / round: keep them on executors.
-        # Size partitions to the pooled row count (~1M rows each): a handful of
-        # series trains in one task, millions of series spread over the cluster.
-        n_rows = rows.count()
-        if n_rows == 0:
+        rows = (rows.repartition(TRAINING_PARTITIONS, *k).sortWithinPartitions(*k, "date")
+                .select("features", "target").persist(StorageLevel.MEMORY_AND_DISK))
+        if rows.isEmpty():
+            rows.unpersist()
             continue
-        rows = rows.repartition(max(1, -(-n_rows // ROWS_PER_PARTITION))).persist(StorageLevel.MEMORY_AND_DISK)
         est = factory().fit(rows)
         rows.unpersist()
         state = (cls.where(F.col("cls") == c).join(enough, k).join(targets, k)
@@ -236,6 +235,7 @@ def tree_model(monthly: DataFrame, name: str, factory: Callable, keys: Sequence[
     else:
         fc = fin
     fcs = fc.select(*k, F.lit(name).alias("model"), "date", round_half_up(F.col("pred")).alias("value"))
+    fcs = fcs.join(res.where(F.col("status") == "trained").select(*k), k, "left_semi")  # M10: none for a skipped series
     if not keys:
         res, fcs = res.drop(_ONE), fcs.drop(_ONE)
     return ModelRun(res, fcs)
@@ -323,6 +323,7 @@ def window_ar(monthly: DataFrame, keys: Sequence[str] | None = None) -> ModelRun
         fcs = fcs.select(*k, F.lit(WINDOW_AR).alias("model"), "date", "value")
     else:
         fcs = fin.select(*k, F.lit(WINDOW_AR).alias("model"), "date", round_half_up(F.col("pred")).alias("value"))
+    fcs = fcs.join(res.where(F.col("status") == "trained").select(*k), k, "left_semi")  # M10: none for a skipped series
     if not keys:
         res, fcs = res.drop(_ONE), fcs.drop(_ONE)
     return ModelRun(res, fcs)

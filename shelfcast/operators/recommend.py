@@ -1,8 +1,8 @@
 """Restocking recommendations.
 
-The reference builds recent, prior and warehouse tables with three filtered
-group-bys and left-joins them; here one ``groupBy(item)`` with conditional
-sums gives all three plus the group lookup in a single shuffle.  Only the
+One ``groupBy(item)`` with conditional sums over the latest six months gives
+recent, prior and warehouse totals in a single shuffle; the date filter reaches
+the scan.  Only the
 latest month (a one-row aggregate) is fetched to the driver, so the window
 bounds are literals in the plan.
 """
@@ -28,29 +28,30 @@ OUTPUT = ["item", "group", "recent_sales", "prior_sales", "growth_pct", "warehou
           "risk", "action", "reason"]
 
 
-def item_risk(df: DataFrame, schema: RoleSchema, target: str) -> DataFrame:
-    """R1-R4 + J1-J3 for every item sold in the latest three months."""
-    spark = df.sparkSession
+def _groups(df: DataFrame, schema: RoleSchema) -> DataFrame | None:
+    """(item, _group) over all rows; reads two columns."""
+    item, group = schema.item_column, schema.item_group_column
+    if not group or group not in df.columns or group == item:
+        return None
+    return df.groupBy(F.col(item).cast("string").alias("item")).agg(F.min(F.col(group).cast("string")).alias("_group"))
+
+
+def _risk(df: DataFrame, schema: RoleSchema, target: str) -> DataFrame:
+    """R1-R4 + J1-J2 for every item sold in the latest three months; only six months are read."""
     item = schema.item_column
-    if not item or item not in df.columns:
-        return spark.createDataFrame([], "item string, group string, recent_sales double, prior_sales double, "
-                                         "growth_pct double, warehouse_support double, risk string, "
-                                         "action string, reason string")
-    latest = df.agg(F.max(month_start(F.col("analysis_date"))).alias("m")).first()["m"]
+    latest = df.agg(F.max("analysis_date").alias("m")).select(month_start(F.col("m")).alias("m")).first()["m"]
     m = month_start(F.col("analysis_date"))
     lit = F.lit(latest)
+    df = df.where(F.col("analysis_date") >= F.add_months(lit, -5).cast("timestamp_ntz"))
     recent = m.between(F.add_months(lit, -2), lit)
     prior = m.between(F.add_months(lit, -5), F.add_months(lit, -3))
     v = F.coalesce(F.col(target).cast("double"), F.lit(0.0))
-    group = schema.item_group_column
-    use_group = bool(group and group in df.columns and group != item)
     has_support = SUPPORT_COLUMN in df.columns
     aggs = [exact_sum(F.when(recent, v)).alias("recent_sales"),
             F.count(F.when(recent, 1)).alias("_n_recent"),
             F.coalesce(exact_sum(F.when(prior, v)), F.lit(0.0)).alias("prior_sales"),
             (F.coalesce(exact_sum(F.when(recent, F.col(SUPPORT_COLUMN).cast("double"))), F.lit(0.0))
-             if has_support else F.lit(0.0)).alias("recent_warehouse_sales"),
-            (F.min(F.col(group).cast("string")) if use_group else F.lit(None).cast("string")).alias("_group")]
+             if has_support else F.lit(0.0)).alias("recent_warehouse_sales")]
     per_item = (df.groupBy(F.col(item).cast("string").alias("item")).agg(*aggs)
                 .where(F.col("_n_recent") > 0))
     r, p, w = F.col("recent_sales"), F.col("prior_sales"), F.col("recent_warehouse_sales")
@@ -63,17 +64,37 @@ def item_risk(df: DataFrame, schema: RoleSchema, target: str) -> DataFrame:
     reason = F.when(risk == "high", RISK_TEXT["high"][1]).when(risk == "medium", RISK_TEXT["medium"][1]) \
         .otherwise(RISK_TEXT["low"][1])
     return per_item.select(
-        "item", F.coalesce(F.col("_group"), F.lit("General")).alias("group"),
-        round_half_up(r).alias("recent_sales"), round_half_up(p).alias("prior_sales"),
+        "item", round_half_up(r).alias("recent_sales"), round_half_up(p).alias("prior_sales"),
         round_half_up(growth_pct).alias("growth_pct"), round_half_up(w).alias("warehouse_support"),
-        risk.alias("risk"), action.alias("action"), reason.alias("reason"),
-        r.alias("_recent_raw"))
+        risk.alias("risk"), action.alias("action"), reason.alias("reason"), r.alias("_recent_raw"))
+
+
+def _named(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """The rows with their item's group, "General" where there is none."""
+    if groups is None:
+        return rows.withColumn("group", F.lit("General"))
+    same = rows["item"].eqNullSafe(groups["item"])
+    return rows.join(groups, same, "left").drop(groups["item"]).withColumn("group", F.coalesce("_group", F.lit("General")))
+
+
+def _no_items(df: DataFrame) -> DataFrame:
+    return df.sparkSession.createDataFrame([], "item string, group string, recent_sales double, prior_sales double, "
+                                               "growth_pct double, warehouse_support double, risk string, "
+                                               "action string, reason string")
+
+
+def item_risk(df: DataFrame, schema: RoleSchema, target: str) -> DataFrame:
+    """R1-R4 + J1-J3 for every item sold in the latest three months."""
+    if not schema.item_column or schema.item_column not in df.columns:
+        return _no_items(df)
+    return _named(_risk(df, schema, target), _groups(df, schema)).select(*OUTPUT, "_recent_raw")
 
 
 def recommendations(df: DataFrame, schema: RoleSchema, target: str, n: int = 5) -> DataFrame:
-    """R5 + R6: top ``n`` items by recent sales (ties by item name)."""
-    ranked = item_risk(df, schema, target)
-    if "_recent_raw" not in ranked.columns:
-        return ranked
-    return (ranked.orderBy(F.col("_recent_raw").desc(), F.col("item").asc()).limit(n)
-            .select(*OUTPUT))
+    """R5 + R6: top ``n`` items by recent sales (ties by item name); only their groups are looked up."""
+    item = schema.item_column
+    if not item or item not in df.columns:
+        return _no_items(df)
+    top = _risk(df, schema, target).orderBy(F.col("_recent_raw").desc(), F.col("item").asc()).limit(n)
+    rows = df.join(F.broadcast(top.select(F.col("item").alias("_top"))), F.col(item).cast("string").eqNullSafe(F.col("_top")), "left_semi")
+    return _named(top, _groups(rows, schema)).orderBy(F.col("_recent_raw").desc(), F.col("item").asc()).select(*OUTPUT)

@@ -46,8 +46,8 @@ retail AS (
 
 
 def retail_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of ``retail`` before 2001-11-01 without the months whose ascending rank % 7 = 3."""
-    r = retail(spark, sf_dir).where(F.col("sale_date") < F.lit("2001-11-01").cast("timestamp_ntz"))
+    """Rows of ``retail`` without the months whose ascending rank % 7 = 3."""
+    r = retail(spark, sf_dir)
     months = (r.select(F.trunc("sale_date", "month").alias("m")).distinct()
               .withColumn("rk", F.row_number().over(Window.orderBy("m"))))
     dropped = months.where(F.col("rk") % 7 == 3).select("m")
@@ -57,7 +57,7 @@ def retail_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RETAIL_GAPS_SQL = """
 retail_gaps AS (
-  WITH r AS (SELECT * FROM retail WHERE sale_date < TIMESTAMP '2001-11-01 00:00:00'),
+  WITH r AS (SELECT * FROM retail),
   months AS (SELECT m, row_number() OVER (ORDER BY m) AS rk
              FROM (SELECT DISTINCT CAST(date_trunc('month', sale_date) AS DATE) AS m FROM r) x)
   SELECT r.* FROM r

@@ -1,4 +1,4 @@
-"""File scans.
+"""File scans.
 
 CSV is read with every column as text (no schema inference pass), the
 missing-value tokens are nulled explicitly, and columns whose non-null values
@@ -15,70 +15,45 @@ from shelfcast.functions.exprs import NA_TOKENS, na_to_null, to_double
 
 
 def infer_numeric(df: DataFrame) -> DataFrame:
-    """Cast text columns whose every non-null value is numeric (long if all integral, else double)."""
+    """Cast text columns by what all their non-null values are: 64-bit integers, numbers or booleans.
+
+    Whole numbers that do not all fit into 64 bits stay text: they are codes, and a double would
+    change their digits.
+    """
     cols = [c for c, t in df.dtypes if t == "string"]
     if not cols:
         return df
     aggs = []
-    for c in cols:
-        v = to_double(F.col(c))
-        aggs += [F.count(F.col(c)).alias(f"n_{c}"), F.count(v).alias(f"d_{c}"),
-                 F.count(F.when(F.trim(F.col(c)).rlike(r"^[+-]?[0-9]+$"), 1)).alias(f"i_{c}")]
+    for i, c in enumerate(cols):
+        col = F.col(f"`{c}`")
+        whole = F.trim(col).rlike(r"^[+-]?[0-9]+$")
+        aggs += [F.count(col).alias(f"n_{i}"), F.count(to_double(col)).alias(f"d_{i}"), F.count_if(whole).alias(f"w_{i}"),
+                 F.count(F.when(whole, F.trim(col).try_cast("long"))).alias(f"i_{i}"),
+                 F.count_if(F.trim(col).isin("True", "False", "TRUE", "FALSE", "true", "false")).alias(f"b_{i}")]
     row = df.agg(*aggs).first()
     out = []
     for c in df.columns:
-        if c in cols and row[f"n_{c}"] > 0 and row[f"d_{c}"] == row[f"n_{c}"]:
-            typ = "long" if row[f"i_{c}"] == row[f"n_{c}"] else "double"
-            out.append((to_double(F.col(c)) if typ == "double" else F.trim(F.col(c)).try_cast("long")).alias(c))
-        else:
-            out.append(F.col(c))
+        col = F.col(f"`{c}`")
+        i = cols.index(c) if c in cols else -1
+        n = row[f"n_{i}"] if i >= 0 else 0
+        if n and row[f"i_{i}"] == n:
+            col = F.trim(col).try_cast("long")
+        elif n and row[f"d_{i}"] == n and row[f"w_{i}"] < n:
+            col = to_double(col)
+        elif n and row[f"b_{i}"] == n:
+            col = F.lower(F.trim(col)) == "true"
+        out.append(col.alias(c))
     return df.select(*out)
 
 
-def read_csv(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
-    """Header row, missing-value tokens -> null, numeric columns typed."""
-    raw = (spark.read.option("header", True).option("inferSchema", False)
-           .option("multiLine", False).option("mode", "PERMISSIVE").csv(path))
-    raw = raw.select(*[na_to_null(F.col(c), NA_TOKENS).alias(c) for c in raw.columns])
-    return infer_numeric(raw) if infer else raw
-
-
-def read_excel(spark: SparkSession, path: str) -> DataFrame:
-    """First sheet of every ``.xlsx`` under ``path``; one task per workbook.
+def read_csv(spark: SparkSession, path: str, infer: bool = True, multi_line: bool = True) -> DataFrame:
+    """Header row, missing-value tokens -> null, columns typed.
 
-    Needs ``openpyxl`` on the executors; cells are returned as text and typed
-    like CSV columns.
+    Quoted fields may hold commas, doubled quotes and line breaks.  Files with line breaks in
+    fields are read one per task; ``multi_line=False`` splits large files where fields have none.
+    Each file's header must name the columns in the same order.
     """
-    try:
-        import openpyxl  # noqa: F401
-    except ImportError as exc:  # pragma: no cover - optional dependency
-        raise ImportError("read_excel needs the optional 'openpyxl' package on the executors") from exc
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
-    header = _excel_header(files.first()["content"])
-    schema = ", ".join(f"`{h}` string" for h in header)
-
-    def parse(batches):
-        import io
-
-        import openpyxl
-        import pandas as pd
-        for pdf in batches:
-            for content in pdf["content"]:
-                wb = openpyxl.load_workbook(io.BytesIO(content), read_only=True, data_only=True)
-                ws = wb.worksheets[0]
-                rows = list(ws.iter_rows(values_only=True))
-                body = [[None if v is None else str(v) for v in r[:len(header)]] for r in rows[1:]]
-                yield pd.DataFrame(body, columns=header)
-
-    df = files.repartition(F.col("path")).mapInPandas(parse, schema)
-    df = df.select(*[na_to_null(F.col(c), NA_TOKENS).alias(c) for c in df.columns])
-    return infer_numeric(df)
-
-
-def _excel_header(content: bytes) -> list[str]:
-    import io
-
-    import openpyxl
-    wb = openpyxl.load_workbook(io.BytesIO(content), read_only=True, data_only=True)
-    first = next(wb.worksheets[0].iter_rows(values_only=True))
-    return [str(h) for h in first]
+    raw = (spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False)
+           .option("escape", '"').option("multiLine", multi_line).option("mode", "PERMISSIVE").csv(path))
+    raw = raw.select(*[na_to_null(F.col(f"`{c}`"), NA_TOKENS).alias(c) for c in raw.columns])
+    return infer_numeric(raw) if infer else raw

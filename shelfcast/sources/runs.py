@@ -6,8 +6,7 @@ partition folder, so the store scales with the number of runs.
 
 from __future__ import annotations
 
-import os
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,10 +43,13 @@ def load_run(spark: SparkSession, store_dir: str, run_id: str, schema: T.StructT
     """Read one run; error when it does not exist.  Reads only that partition folder,
     and keeps ``run_id`` as text (no partition-type inference)."""
     part = f"{store_dir.rstrip('/')}/run_id={run_id}"
-    if part.startswith("/") and not os.path.exists(part):
-        raise KeyError("Analysis run not found.")
     reader = spark.read
     if schema is not None:
         reader = reader.schema(T.StructType([f for f in schema.fields if f.name != "run_id"]))
-    df = reader.json(part)
+    try:
+        df = reader.json(part)  # through Spark's file system, wherever the store is
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise KeyError("Analysis run not found.") from e
     return df.withColumn("run_id", F.lit(run_id))
