@@ -200,7 +200,6 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: each node and its smaller neighbours go to the smallest of them
-        large = store(large)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         cur = store(large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
                     .unionByName(low.select("u", F.col("m").alias("v"))).distinct())

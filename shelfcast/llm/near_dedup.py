@@ -1,10 +1,9 @@
 """Near-duplicate documents by a chosen-path set similarity join on word shingles.
 
 Each document's shingle set has a sketch of ``SKETCH`` minwise tokens.  In a tree, a node selects
-tokens (position, value) at random, each with probability 1 / (threshold * SKETCH), and sends each
-of its documents to one child per selected token that the document has: about 1 / threshold
-children.  Two documents of the threshold's similarity then share one child on average, others
-fewer, so nodes shrink to groups of similar documents.  Nodes of at most ``NODE_LIMIT`` documents
+tokens (position, value) at random and sends each of its documents to one child per selected token
+that the document has.  Two documents of the threshold's similarity then share
+``SHARED_CHILDREN`` children on average, less similar ones fewer, so nodes shrink to groups of similar documents.  Nodes of at most ``NODE_LIMIT`` documents
 are compared exhaustively; larger ones branch again.  Independent trees repeat this.
 
 All nodes of one depth are handled together, as rows (node, document): a node's size is a map-side
@@ -27,13 +26,21 @@ from shelfcast.llm.common import (WordHashes, components, groups, mix64, prepare
 SHINGLE, QUERY_SHINGLE = 5, 4
 THRESHOLD_PERCENT = 80
 SKETCH = 64
-#: Trees of the first pass, and of the second, which skips nodes that the first has joined into one component.
-TREES = (4, 16)
+#: Passes as (trees, depth).  A pass skips nodes whose documents earlier ones have joined into one
+#: component; the first ones find the groups of very many near copies, which no depth would split.
+PASSES = ((2, 1), (4, 1), (14, 3))
+#: Children that two documents of the threshold's similarity share on average.  Above 1, such a
+#: pair stays together to any depth in most trees: at depth 3 with probability 0.52, in one of 14
+#: trees but for 3 in 100,000.
+SHARED_CHILDREN = 1.25
 NODE_LIMIT = 128
-MAX_DEPTH = 6
-#: Pairs whose sketches agree in fewer positions are not compared on their sets: five standard
-#: deviations below the threshold (0.8 of 64 positions, deviation 3.2), a loss of 3 in 10 million.
-LEAST_AGREEING = 35
+#: Documents to confirm up to which their ids are broadcast, to shuffle only their texts.
+BROADCAST_IDS = 1_000_000
+#: Pairs whose sketches agree in fewer positions are not compared on their sets: four standard
+#: deviations below the threshold (0.8 of 64 positions, deviation 3.2), a loss of 3 in 100,000.
+LEAST_AGREEING = 38
+#: The longer sketches of documents in nodes that do not split, and their least agreement (3.9 deviations).
+WIDE, LEAST_WIDE = 256, 180
 FOLD = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 _SEEDS = mix64(np.arange(1, 2 * SKETCH + 1, dtype=np.uint64))
 _MULTIPLY, _ADD = _SEEDS[:SKETCH] | np.uint64(1), _SEEDS[SKETCH:]
@@ -82,7 +89,7 @@ def branch(frame: DataFrame) -> DataFrame:
     """(node, cls, sketch) -> (node, cls): each document's children of the node."""
 
     def run(batches):
-        chance = np.uint64(int(2.0 ** 64 * 100 / (THRESHOLD_PERCENT * SKETCH)))
+        chance = np.uint64(int(2.0 ** 64 * SHARED_CHILDREN * 100 / (THRESHOLD_PERCENT * SKETCH)))
         position = mix64(np.arange(1, SKETCH + 1, dtype=np.uint64))
         for batch in batches:
             if not batch.num_rows:
@@ -119,7 +126,7 @@ class Forest:
 
 
 def similar_units(frame: DataFrame) -> DataFrame:
-    """(node, cls, comp, sketch) -> distinct (unit, cls).
+    """(node, cls, comp, sketch, n) -> distinct (unit, cls, comp).
 
     Compares all documents of a node by their sketches, but for pairs that are in one component
     already; each connected part of what may be similar becomes a unit.  A unit is named by its
@@ -131,47 +138,101 @@ def similar_units(frame: DataFrame) -> DataFrame:
             if group.num_rows < 2:
                 continue
             sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint32).reshape(-1, SKETCH)
-            cls, comp = group.column("cls").to_numpy(), group.column("comp").to_numpy()
+            cls, comp, size = (group.column(c).to_numpy() for c in ("cls", "comp", "n"))
             forest, hit = Forest(len(cls)), False
             for i in range(len(cls) - 1):
                 agreeing = np.count_nonzero(sketch[i + 1:] == sketch[i], axis=1)
-                for j in np.flatnonzero((agreeing >= LEAST_AGREEING) & (comp[i + 1:] != comp[i])).tolist():
+                least, most = np.minimum(size[i + 1:], size[i]), np.maximum(size[i + 1:], size[i])
+                near = (agreeing >= LEAST_AGREEING) & (100 * least >= THRESHOLD_PERCENT * most)
+                for j in np.flatnonzero(near & (comp[i + 1:] != comp[i])).tolist():
                     hit |= forest.join(i, i + 1 + j)
             if not hit:
                 continue
             root = np.array([forest.find(i) for i in range(len(cls))])
             for r in np.unique(root[root != np.arange(len(cls))]):
-                members = np.unique(cls[root == r])
+                members, at = np.unique(cls[root == r], return_index=True)
                 unit = int.from_bytes(hashlib.blake2b(members.tobytes(), digest_size=8).digest(), "little", signed=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(members), unit)), pa.array(members)], ["unit", "cls"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(members), unit)), pa.array(members), pa.array(comp[root == r][at])],
+                                                 ["unit", "cls", "comp"])
 
-    return by_node(frame.select("node", "cls", "comp", "sketch"), "node").mapInArrow(run, "unit bigint, cls bigint").distinct()
+    return by_node(frame.select("node", "cls", "comp", "sketch", "n"), "node").mapInArrow(run, "unit bigint, cls bigint, comp bigint").distinct()
 
 
-def exact_links(units: DataFrame, classes: DataFrame, docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(a, b): links that join the classes of each unit, confirmed on the full shingle sets.
+def similar_stars(frame: DataFrame) -> DataFrame:
+    """(node, cls, comp, wide, n, odd) -> distinct (unit, cls, comp), for nodes that do not split.
 
-    Within a unit, a pair that confirmed links already connect is not compared again, so a unit
-    of n similar texts gives n - 1 links.  Only texts of documents in a unit are read into sets.
+    Pairs of different components, one of them odd, make a unit named by the odd document and a part
+    of the hash of the other: a pair met in many nodes counts once, and a document that is similar to
+    very many has a unit for every part.
+    """
+
+    def run(batches):
+        for group in groups(batches, "node"):
+            sketch = np.frombuffer(b"".join(group.column("wide").to_pylist()), np.uint16).reshape(-1, WIDE)
+            cls, comp, size, odd = (group.column(c).to_numpy() for c in ("cls", "comp", "n", "odd"))
+            parts = mix64(cls.view(np.uint64)) >> np.uint64(58)
+            found = []
+            for i in np.flatnonzero(odd).tolist():
+                near = np.count_nonzero(sketch == sketch[i], axis=1) >= LEAST_WIDE
+                near &= (100 * np.minimum(size, size[i]) >= THRESHOLD_PERCENT * np.maximum(size, size[i])) & (comp != comp[i])
+                j = np.flatnonzero(near & (~odd | (cls > cls[i])))
+                if len(j):
+                    unit = mix64(np.full(len(j), cls[i]).view(np.uint64) ^ mix64(parts[j] + np.uint64(1)))
+                    own = np.unique(unit)
+                    found += [(unit, cls[j], comp[j]), (own, np.full(len(own), cls[i]), np.full(len(own), comp[i]))]
+            if found:
+                unit, c, p = map(np.concatenate, zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(unit.view(np.int64)), pa.array(c), pa.array(p)], ["unit", "cls", "comp"])
+
+    return by_node(frame.select("node", "cls", "comp", "wide", "n", "odd"), "node").mapInArrow(run, "unit bigint, cls bigint, comp bigint").distinct()
+
+
+def class_sets(named: DataFrame, classes: DataFrame, docs: DataFrame, k: int, id_col: str, text_col: str, make) -> DataFrame:
+    """(cls, items): ``make`` of the full shingle set, for the classes in ``named``.
+
+    Only texts of their documents travel: the ids are broadcast if there are few of them (they are
+    counted first), else the texts are joined by a shuffle.
     """
-    wanted = units.select("cls").distinct().join(classes.select("cls", "rep"), "cls")
+    wanted = store(named.select("cls").distinct().join(classes.select("cls", "rep"), "cls"))
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
 
     def sets(batches):
         known = WordHashes()
         for batch in batches:
-            found = [shingle_set(t, k, known) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array([s.tobytes() for s in found], pa.binary())], ["cls", "items"])
+            found = [make(shingle_set(t, k, known)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(found, pa.binary())], ["cls", "items"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), text_bytes(text_col).alias("text")).join(wanted, "rep").select("cls", "text")
-    items = texts.mapInArrow(sets, "cls bigint, items binary")
+    return texts.mapInArrow(sets, "cls bigint, items binary")
+
+
+def wide_sketch(items: np.ndarray) -> bytes:
+    """``WIDE`` minwise tokens of 16 bits."""
+    out = np.empty(WIDE, np.uint16)
+    for i, seed in enumerate(mix64(np.arange(1000, 1000 + WIDE, dtype=np.uint64)) | np.uint64(1)):
+        out[i] = int((items * seed).min()) >> 16 & 0xFFFF if len(items) else 0
+    return out.tobytes()
+
+
+def exact_links(units: DataFrame, classes: DataFrame, docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """(a, b): links that join the classes of each unit, confirmed on the full shingle sets.
+
+    Within a unit, a pair that confirmed links already connect is not compared again, so a unit
+    of n components gives n - 1 links at most.
+    """
+    items = class_sets(units, classes, docs, k, id_col, text_col, np.ndarray.tobytes)
 
     def confirm(batches):
         for group in groups(batches, "unit"):
-            at = {}
-            for c, x in zip(group.column("cls").to_pylist(), group.column("items").to_pylist()):
+            at, comp = {}, {}
+            for c, p, x in zip(*(group.column(n).to_pylist() for n in ("cls", "comp", "items"))):
                 at.setdefault(c, np.frombuffer(x, np.uint64))
+                comp[c] = p
             cls = sorted(at, key=lambda c: (-len(at[c]), c))
-            forest, out = Forest(len(cls)), []
+            forest, out, first = Forest(len(cls)), [], {}
+            for i, c in enumerate(cls):
+                forest.join(first.setdefault(comp[c], i), i)
             for i, a in enumerate(cls):
                 for j in range(i + 1, len(cls)):
                     x, y = at[a], at[cls[j]]
@@ -195,13 +256,13 @@ def with_component(frame: DataFrame, comps: DataFrame | None) -> DataFrame:
     return frame.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
 
 
-def tree_nodes(classes: DataFrame, comps: DataFrame | None, seeds: range, limit: int) -> tuple[list[DataFrame], DataFrame | None]:
+def tree_nodes(classes: DataFrame, comps: DataFrame | None, seeds: range, max_depth: int, limit: int) -> tuple[list[DataFrame], DataFrame | None]:
     """Nodes to compare, as (node, cls, comp) frames, and those still above ``limit`` at the last depth."""
     sketch = classes.select("cls", "sketch")
     roots = F.array(*[F.lit(int(s)) for s in mix64(np.array(seeds, np.uint64)).view(np.int64)])
     frame = sketch.withColumn("node", F.explode(roots))
     compare = []
-    for depth in range(MAX_DEPTH):
+    for _ in range(max_depth):
         level = store(with_component(branch(frame), comps))
         # nodes of one component have nothing left to find
         sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("size > 1 AND lo <> hi")
@@ -235,14 +296,14 @@ def across_blocks(large: DataFrame, limit: int) -> DataFrame:
     others = rows.where("comp <> main")
     blocks = rows.select("node", "block").distinct()
     odd = others.select("node", F.col("block").alias("odd")).distinct()
-    side_a = rows.join(odd, "node").select(F.xxhash64("node", "odd", "block").alias("node"), "cls", "comp")
-    side_b = (others.select("node", F.col("block").alias("odd"), "cls", "comp").join(blocks, "node")
-              .select(F.xxhash64("node", "odd", "block").alias("node"), "cls", "comp"))
+    pair = F.xxhash64("node", "odd", "block").alias("node")
+    side_a = rows.join(odd, "node").select(pair, "cls", "comp", (F.col("comp") != F.col("main")).alias("odd"))
+    side_b = others.select("node", F.col("block").alias("odd"), "cls", "comp").join(blocks, "node").select(pair, "cls", "comp", F.lit(True).alias("odd"))
     return side_a.unionByName(side_b).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text",
-                    limit: int = NODE_LIMIT, trees: tuple[int, ...] = TREES) -> DataFrame:
+                    limit: int = NODE_LIMIT, passes: tuple[tuple[int, int], ...] = PASSES) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Words are runs of characters other than space and control white space, A-Z lower-cased.  Texts
@@ -256,23 +317,25 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", t
     prepare(docs.sparkSession)
     rows = store(signatures(docs, k, id_col, text_col).withColumn(
         "cls", F.when(F.col("doc_id").isNotNull(), F.xxhash64("digest"))).withColumn("cls", F.when(F.col("digest").isNotNull(), F.col("cls"))))
-    classes = store(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch")))
-    sketch = classes.select("cls", "sketch")
-    links, comps, done, rest = None, None, 0, None
-    for n in trees:
-        compare, large = tree_nodes(classes, comps, range(done + 1, done + n + 1), limit)
+    classes = store(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch"), F.min("n_shingles").alias("n")))
+    links, comps, done = None, None, 0
+    for n, depth in passes:
+        rest = None
+        compare, large = tree_nodes(classes, comps, range(done + 1, done + n + 1), depth, limit)
         done += n
         if large is not None:
-            large = large.select("node", "cls", "size")
-            rest = large if rest is None else rest.unionByName(large)
-            compare.append(in_chunks(with_component(large, comps), limit))
+            compare.append(in_chunks(large, limit))
+            rest = large.select("node", "cls", "size")
         links, comps = join_up(compare, classes, docs, k, id_col, text_col, links, comps)
     if rest is not None:
         rest = store(with_component(rest, comps))
         mixed = rest.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("node")
         rest = rest.join(mixed, "node")
         if not rest.isEmpty():
-            links, comps = join_up([across_blocks(rest, limit)], classes, docs, k, id_col, text_col, links, comps)
+            wide = store(class_sets(rest, classes, docs, k, id_col, text_col, wide_sketch).dropDuplicates(["cls"])
+                         .select("cls", F.col("items").alias("wide")).join(classes.select("cls", "n"), "cls"))
+            units = store(similar_stars(across_blocks(rest, 8 * limit).join(wide, "cls")))
+            links, comps = confirmed(units, classes, docs, k, id_col, text_col, links)
     named = with_component(classes.select("cls", "rep"), comps)
     names = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = named.join(names.hint("merge"), "comp").select("cls", "component_id")
@@ -286,11 +349,14 @@ def join_up(compare, classes, docs, k, id_col, text_col, links, comps):
     frame = compare[0]
     for part in compare[1:]:
         frame = frame.unionByName(part)
-    units = store(similar_units(frame.join(classes.select("cls", "sketch"), "cls")))
+    units = store(similar_units(frame.join(classes.select("cls", "sketch", "n"), "cls")))
+    return confirmed(units, classes, docs, k, id_col, text_col, links)
+
+
+def confirmed(units, classes, docs, k, id_col, text_col, links):
     new = store(exact_links(units, classes, docs, k, id_col, text_col).distinct())
     links = new if links is None else links.unionByName(new)
-    comps = store(components(links, "a", "b").select(F.col("node").alias("cls"), F.col("component").alias("comp")))
-    return links, comps
+    return links, store(components(links, "a", "b").select(F.col("node").alias("cls"), F.col("component").alias("comp")))
 
 
 def op2_near_dedup(spark, sf_dir: str) -> DataFrame:
