@@ -10,6 +10,7 @@ a frame holding one history array per series, followed by ``array_append``.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Callable, Sequence
 
@@ -19,6 +20,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from shelfcast.functions.exprs import round_half_up
 from shelfcast.operators.evaluate import FORECAST_MONTHS, metrics, split_holdout
@@ -208,14 +210,17 @@ def tree_model(monthly: DataFrame, name: str, factory: Callable, keys: Sequence[
     train = split.where(~F.col("is_holdout")).join(eligible, k).select(*k, "date", "target")
     test = split.where(F.col("is_holdout")).join(eligible, k)
     test_targets = test.groupBy(*k).agg(F.array_sort(F.collect_list("date")).alias("targets"))
-    ev = _fit_by_class(train, k, factory, test_targets)
-    if strict and ev is None:
-        raise NotEnoughHistory("Not enough lagged history to train forecasting models reliably.")
     last = m.join(eligible, k).groupBy(*k).agg(F.max("date").alias("_last"))
     future = last.select(*k, F.transform(F.sequence(F.lit(1), F.lit(FORECAST_MONTHS)),
                                          lambda i: F.add_months("_last", i)).alias("targets"))
     full = m.join(eligible, k).select(*k, "date", "target")
-    fin = _fit_by_class(full, k, factory, future)
+    # Two independent fits, of many small jobs each: side by side.
+    fit = inheritable_thread_target(monthly.sparkSession)(_fit_by_class)
+    with ThreadPoolExecutor(2) as pool:
+        runs = [pool.submit(fit, rows, k, factory, dates) for rows, dates in ((train, test_targets), (full, future))]
+    ev, fin = (r.result() for r in runs)
+    if strict and ev is None:
+        raise NotEnoughHistory("Not enough lagged history to train forecasting models reliably.")
     spark = monthly.sparkSession
     if ev is None:
         pairs = spark.createDataFrame([], test.select(*k, F.lit(0.0).alias("actual"), F.lit(0.0).alias("predicted")).schema)

@@ -285,11 +285,6 @@ from shelfcast.operators import report as rp  # noqa: E402
 from shelfcast.operators import select as sl  # noqa: E402
 from shelfcast.plans import sql_report as sq  # noqa: E402
 
-# Local-mode bound for the registered queries only: Spark's boosting costs a
-# fixed ~0.5 s of job scheduling per round, so the library default (500 rounds,
-# as in the reference) would take ~10 minutes per query here.  Trees keep 500.
-QUERY_BOOSTING_ROUNDS = 60
-
 
 def _series(spark, sf_dir, keys=()):
     return _dense(spark, sf_dir, keys).select(*keys, "date", "target")
@@ -303,7 +298,7 @@ def q_forest(spark, sf_dir):
 
 @register("boosting_forecast")
 def q_boosting(spark, sf_dir):
-    r = fc.tree_model(_series(spark, sf_dir), fc.BOOSTING, fc.boosting(maxIter=QUERY_BOOSTING_ROUNDS))
+    r = fc.tree_model(_series(spark, sf_dir), fc.BOOSTING, fc.boosting())
     return r.forecasts
 
 
@@ -334,7 +329,7 @@ def _analysis(spark, sf_dir):
     from shelfcast.plans.pipeline import analyze
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _RUNS:
-        _RUNS[key] = analyze(fx.retail(spark, sf_dir), boosting_factory=fc.boosting(maxIter=QUERY_BOOSTING_ROUNDS))
+        _RUNS[key] = analyze(fx.retail(spark, sf_dir))
     return _RUNS[key]
 
 

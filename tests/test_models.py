@@ -3,10 +3,12 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as E
 from shelfcast.operators import evaluate as ev
 from shelfcast.operators import features as fe
 from shelfcast.operators import forecast as fc
 from shelfcast.operators import select as sl
+from tests.conftest import SF001
 
 
 def series(spark, values, key=None):
@@ -119,3 +121,18 @@ def test_features_with_keys_mixed_lengths(spark):
     short = f.where("k = 'a'")
     assert short.where("lag_6 IS NOT NULL OR rolling_mean_6 IS NOT NULL OR lag_12 IS NOT NULL").count() == 0
     assert f.where("k = 'b' AND lag_6 IS NULL").count() == 0
+
+
+@pytest.mark.parametrize("query", ["boosting_forecast", "model_results"])
+def test_queries_boost_all_rounds(spark, monkeypatch, query):
+    class Fitted(Exception):
+        pass
+
+    def tree_model(monthly, name, factory, keys=None):
+        if name == fc.BOOSTING:
+            raise Fitted(factory().getMaxIter())
+
+    monkeypatch.setattr(fc, "tree_model", tree_model)
+    with pytest.raises(Fitted) as e:
+        E.queries()[query](spark, SF001)
+    assert e.value.args == (500,)
