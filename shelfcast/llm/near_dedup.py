@@ -36,11 +36,12 @@ SHARED_CHILDREN = 1.25
 NODE_LIMIT = 128
 #: Documents to confirm up to which their ids are broadcast, to shuffle only their texts.
 BROADCAST_IDS = 1_000_000
-#: Pairs whose sketches agree in fewer positions are not compared on their sets: four standard
-#: deviations below the threshold (0.8 of 64 positions, deviation 3.2), a loss of 3 in 100,000.
-LEAST_AGREEING = 38
-#: The longer sketches of documents in nodes that do not split, and their least agreement (3.9 deviations).
-WIDE, LEAST_WIDE = 256, 180
+#: Pairs whose sketches agree in fewer positions are not compared on their sets: five standard
+#: deviations below the threshold (0.8 of 64 positions, deviation 3.2), a loss of 1.2 in a million.
+LEAST_AGREEING = 35
+#: The longer sketches of documents in nodes that do not split, and their least agreement: a loss of
+#: 0.5 in a million.
+WIDE, LEAST_WIDE = 256, 172
 FOLD = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 _SEEDS = mix64(np.arange(1, 2 * SKETCH + 1, dtype=np.uint64))
 _MULTIPLY, _ADD = _SEEDS[:SKETCH] | np.uint64(1), _SEEDS[SKETCH:]

@@ -119,6 +119,17 @@ def test_near_dedup(docs, empty, rows, limit, passes):
         assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_dedup_compares_pairs_whose_sketches_agree_less(spark):
+    a, b = np.arange(near_dedup.SKETCH, dtype=np.uint32), np.arange(near_dedup.SKETCH, dtype=np.uint32)
+    b[35:] += 1000
+    pair = spark.createDataFrame([(1, c, c, bytearray(x.tobytes()), 10) for c, x in ((1, a), (2, b))], "node long, cls long, comp long, sketch binary, n long")
+    assert sorted(r.cls for r in near_dedup.similar_units(pair).collect()) == [1, 2]
+    a, b = np.arange(near_dedup.WIDE, dtype=np.uint16), np.arange(near_dedup.WIDE, dtype=np.uint16)
+    b[172:] += 1000
+    pair = spark.createDataFrame([(1, c, c, bytearray(x.tobytes()), 10, c == 1) for c, x in ((1, a), (2, b))], "node long, cls long, comp long, wide binary, n long, odd boolean")
+    assert sorted(r.cls for r in near_dedup.similar_stars(pair).collect()) == [1, 2]
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     assert {r.node: r.component for r in components(edges, "a", "b").collect()} == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
