@@ -11,6 +11,7 @@ record (offset, payload length, document id), from which records are read in any
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -75,7 +76,8 @@ class LibraryEncoder:
 
     The library's byte-level pre-tokenizer never joins text across the borders of ``chunks`` and
     keeps no state, so the ids of a text are those of its chunks in a row; each distinct chunk is
-    encoded once as long as it is remembered.
+    encoded once as long as it is remembered.  The strings of added tokens in a text are their ids,
+    as in the library's plain call: texts are cut around them first.
     """
 
     def __init__(self, name: str):
@@ -83,15 +85,21 @@ class LibraryEncoder:
         import public_tokenizers
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.special = re.compile(f"({'|'.join(map(re.escape, special))})") if special else None
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def cut(self, text: str) -> list[str]:
+        if self.special is None or len(parts := self.special.split(text)) == 1:
+            return chunks(text)
+        return [c for i, part in enumerate(parts) for c in ([part] if i % 2 else chunks(part))]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
-        known, older, cut = self.known, self.older, [chunks(t) for t in texts]
+        known, older, cut = self.known, self.older, [self.cut(t) for t in texts]
         missing = set().union(*cut).difference(known)
         again = missing & older.keys()
         known.update((m, older[m]) for m in again)

@@ -163,6 +163,18 @@ def test_records_round_trip(spark, docs, empty, rows):
     assert records.read_records(records.write_records(empty, folder), folder).count() == 0
 
 
+def test_records_have_the_ids_of_the_plain_library_call():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    library = Tokenizer.from_file(public_tokenizers.path(records.VOCABULARY))
+    rng = random.Random(6)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x's\n", "", "<|endoftext"]
+    texts += ["".join(rng.choice(["<|endoftext|>", "<|", " word", "word. ", " ", "\n", "é", "中", "'s", "12"]) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    got = records.LibraryEncoder(records.VOCABULARY).encode(texts)
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert 50256 in np.frombuffer(got[0], "<u2")
+
+
 def test_warc_round_trip(spark, monkeypatch):
     prepare(spark)
     html = ["<p>a</p>", "", None, "<p>a</p>", "é" * 4000, "<p>a</p>", "tail\r\n\r\nWARC/1.1"]
