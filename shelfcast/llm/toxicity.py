@@ -14,13 +14,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import WordHashes, mix64, prepare, table, text_bytes, window_hashes
+from shelfcast.llm.common import WordHashes, mix64, prepare, store, table, text_bytes, window_hashes
 
 #: The bounded sample of labelled rows on which the classifier is fitted: rows per class for the
-#: dictionaries and for the calibration, and the longest text (in bytes) taken into the sample.
+#: dictionaries and for the calibration, the longest text (in bytes) of these, and the longer texts
+#: per class that go whole into the calibration besides.
 DICTIONARY_TOXIC, DICTIONARY_ORDINARY = 1500, 4500
 CALIBRATION_TOXIC, CALIBRATION_ORDINARY = 500, 1500
 SAMPLE_TEXT_BYTES = 16 << 10
+LONG_TEXTS = 100
+#: Ordinary windows on which the dictionary is trained, taken evenly from all sample texts.
+DICTIONARY_WINDOWS = 50_000
 #: Bytes of the two dictionaries' parts, of a window, and the compression level.
 ORDINARY_BYTES, TOXIC_BYTES = 32768, 2048
 WINDOW_BYTES = 100
@@ -68,6 +72,11 @@ def without_copies(texts: list[bytes], hashes: int = 8, k: int = 5) -> list[byte
     return out
 
 
+def evenly(items: list[bytes], most: int) -> list[bytes]:
+    """At most ``most`` of the items, at equal distances."""
+    return items if len(items) <= most else [items[i * len(items) // most] for i in range(most)]
+
+
 def train_dictionary(samples: list[bytes], size: int, k: int, d: int) -> bytes:
     """A zstandard dictionary of ``samples``; with too few samples to train on, the samples themselves."""
     try:
@@ -131,14 +140,16 @@ def compressor(content: bytes):
     return zstandard.ZstdCompressor(dict_data=known, compression_params=params).compress
 
 
-def fit(toxic: list[bytes], ordinary: list[bytes], toxic_share: float) -> CompressionModel | None:
+def fit(toxic: list[bytes], ordinary: list[bytes], toxic_share: float,
+        long_toxic: list[bytes] = [], long_ordinary: list[bytes] = []) -> CompressionModel | None:
     """Train on labelled sample texts; None without texts of both classes.
 
     The ordinary dictionary is trained on windows of ordinary text.  The toxic one is trained on
     the words of toxic texts that no ordinary sample text has and that several toxic ones share,
     and goes on with the ordinary content: what both classes have in common then compresses alike
     with either, and only toxic wording makes a difference.  A fourth of each class is kept for
-    the calibration, weighted to the share that the label has in all training rows.
+    the calibration, weighted to the share that the label has in all training rows; the long texts
+    are for the calibration alone and count there as one text of the sample each.
     """
     if not toxic or not ordinary:
         return None
@@ -150,13 +161,15 @@ def fit(toxic: list[bytes], ordinary: list[bytes], toxic_share: float) -> Compre
     least = max(3, math.ceil(0.01 * len(base_t)))
     own = [(b" " + w + b" ").ljust(8) for t in base_t for w in sorted(set(words(t))) if counts[w] >= least]
     random.Random(0).shuffle(own)  # the trainer wants every part of its material to be alike
-    base = train_dictionary([w for t in base_o for w in windows(t, 200)][:50_000], ORDINARY_BYTES, 200, 8)
+    base = train_dictionary(evenly([w for t in base_o for w in windows(t, 200)], DICTIONARY_WINDOWS), ORDINARY_BYTES, 200, 8)
     extra = train_dictionary(own, TOXIC_BYTES, 16, 6) if own else b""
     model = CompressionModel(base, extra + base)
-    texts = toxic[:cut_t] + ordinary[:cut_o]
-    labels = np.repeat([1.0, 0.0], [cut_t, cut_o])
+    texts = toxic[:cut_t] + long_toxic + ordinary[:cut_o] + long_ordinary
+    labels = np.repeat([1.0, 0.0], [cut_t + len(long_toxic), cut_o + len(long_ordinary)])
     share = min(max(toxic_share, 1e-3), 1 - 1e-3)
-    weights = np.where(labels == 1, share / cut_t, (1 - share) / cut_o) * len(texts)
+    weights = np.concatenate([
+        p / (len(short) + len(long)) * np.repeat([len(short) / cut, 1.0], [cut, len(long)])
+        for p, short, cut, long in ((share, toxic, cut_t, long_toxic), (1 - share, ordinary, cut_o, long_ordinary))]) * len(texts)
     model.calibrate(texts, labels, weights)
     return model
 
@@ -173,12 +186,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sizes = {1: DICTIONARY_TOXIC + CALIBRATION_TOXIC, 0: DICTIONARY_ORDINARY + CALIBRATION_ORDINARY}
     order = F.xxhash64("doc_id")
     ids = known.where("toxic = 1").orderBy(order).limit(sizes[1]).unionByName(known.where("toxic = 0").orderBy(order).limit(sizes[0]))
-    sample = (docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
-              .where(F.octet_length("text") <= SAMPLE_TEXT_BYTES)
-              .join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
-              .orderBy(order).limit(sum(sizes.values())).collect())
-    texts = {t: [bytes(r["text"]) for r in sample if r["toxic"] == t] for t in (0, 1)}
-    return fit(texts[1], texts[0], counts.get(1, 0) / max(1, sum(counts.values())))
+    sample = store(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
+                   .join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")))
+    short = F.octet_length("text") <= SAMPLE_TEXT_BYTES
+
+    def texts(rows: DataFrame, most: int) -> list[bytes]:
+        return [bytes(r["text"]) for r in rows.orderBy(order).limit(most).select("text").collect()]
+
+    short_texts, long_texts = ([texts(sample.where(F.col("toxic") == t).where(which), most[t]) for t in (0, 1)]
+                               for which, most in ((short, sizes), (~short, {0: LONG_TEXTS, 1: LONG_TEXTS})))
+    return fit(short_texts[1], short_texts[0], counts.get(1, 0) / max(1, sum(counts.values())), long_texts[1], long_texts[0])
 
 
 @lru_cache(maxsize=2)

@@ -263,6 +263,22 @@ def test_toxicity_on_held_out_rows(spark, empty):
     assert toxicity.score_documents(empty, labels.limit(0)).count() == 0
 
 
+def test_toxicity_sample_has_all_texts_and_long_ones(spark, monkeypatch):
+    kept, long = [], []
+    monkeypatch.setattr(toxicity, "DICTIONARY_WINDOWS", 40, raising=False)
+    train, calibrate = toxicity.train_dictionary, toxicity.CompressionModel.calibrate
+    monkeypatch.setattr(toxicity, "train_dictionary", lambda samples, *a: kept.append(samples) or train(samples, *a))
+    monkeypatch.setattr(toxicity.CompressionModel, "calibrate", lambda self, texts, *a: long.extend(t for t in texts if len(t) > 16 << 10) or calibrate(self, texts, *a))
+    data = [(i, " ".join(f"w{i}x{j}" for j in range(300)), 0) for i in range(30)] + [(100 + i, f"bad{i} " * 50, 1) for i in range(8)]
+    data += [(200 + i, f"long{i} " * 4000, i % 2) for i in range(20)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+    assert toxicity.train(docs.drop("toxic"), docs.drop("text")) is not None
+    used = [i for i, _, t in data if i < 30 and not zlib.crc32(str(i).encode()) % toxicity.FOLDS == 0]
+    names = {w.split(b"x")[0] for w in kept[0]}
+    assert len(kept[0]) == 40 and len(names) == len(used) - max(1, round(len(used) / 4))
+    assert {t.split()[0] for t in long} == {b"long%d" % i for i in range(20) if zlib.crc32(str(200 + i).encode()) % toxicity.FOLDS}
+
+
 def brute_links(vectors):
     ok = [(i, np.array(v, float)) for i, v in vectors if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
     unit = [(i, x / np.sqrt(x @ x)) for i, x in ok]
