@@ -13,7 +13,7 @@ from shelfcast.llm.bpe import encode_decode
 from shelfcast.llm.common import prepare, store, table, text_bytes
 from shelfcast.llm.exact_dedup import exact_duplicates, folded
 from shelfcast.llm.mixing import mix
-from shelfcast.llm.near_dedup import near_duplicates
+from shelfcast.llm.near_dedup import near_duplicates, text_key
 from shelfcast.llm.toxicity import score_column, train
 
 
@@ -35,9 +35,12 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more)."""
-    dropped = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more).
+
+    Where an id carries several texts, only those that are near copies go.
+    """
+    dropped = near_duplicates(docs, keyed=True).where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    return docs.join(dropped, (F.col("doc_id") == F.col("__id")) & (text_key("text") == F.col("__key")), "left_anti").select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

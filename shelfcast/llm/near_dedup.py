@@ -57,6 +57,15 @@ def shingle_set(text: bytes, k: int, known: WordHashes) -> np.ndarray:
     return np.unique(window_hashes(words, k))
 
 
+def set_digest(items: np.ndarray) -> bytes:
+    return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
+
+
+def text_key(name: str = "text"):
+    """Tells the texts of one id apart."""
+    return F.xxhash64(text_bytes(name))
+
+
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
     """``SKETCH`` minwise 32-bit tokens for each non-empty set."""
     flat = np.concatenate(sets)
@@ -68,7 +77,7 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, digest of the set and sketch, one row per input row."""
+    """doc_id, text_key, n_shingles, digest of the set and sketch, one row per input row."""
 
     def run(batches):
         known = WordHashes()
@@ -76,14 +85,14 @@ def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame
             sets = [shingle_set(t, k, known) for t in batch.column("text").to_pylist()]
             full = [s for s in sets if len(s)]
             rows = iter(sketches(full)) if full else iter(())
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            digests = [set_digest(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
+                [batch.column("doc_id"), batch.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
                  pa.array([next(rows).tobytes() if len(s) else None for s in sets], pa.binary())],
-                ["doc_id", "n_shingles", "digest", "sketch"])
+                ["doc_id", "text_key", "n_shingles", "digest", "sketch"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, sketch binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"), text_key(text_col).alias("text_key"))
+    return rows.mapInArrow(run, "doc_id bigint, text_key bigint, n_shingles bigint, digest binary, sketch binary")
 
 
 def branch(frame: DataFrame) -> DataFrame:
@@ -192,19 +201,22 @@ def class_sets(named: DataFrame, classes: DataFrame, docs: DataFrame, k: int, id
     """(cls, items): ``make`` of the full shingle set, for the classes in ``named``.
 
     Only texts of their documents travel: the ids are broadcast if there are few of them (they are
-    counted first), else the texts are joined by a shuffle.
+    counted first), else the texts are joined by a shuffle.  Where rows repeat an id with other
+    texts, the digest tells which text is the class's.
     """
-    wanted = store(named.select("cls").distinct().join(classes.select("cls", "rep"), "cls"))
+    wanted = store(named.select("cls").distinct().join(classes.select("cls", "rep", "digest"), "cls"))
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
 
     def sets(batches):
         known = WordHashes()
         for batch in batches:
-            found = [make(shingle_set(t, k, known)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(found, pa.binary())], ["cls", "items"])
+            sets = [shingle_set(t, k, known) for t in batch.column("text").to_pylist()]
+            own = [set_digest(s) == d for s, d in zip(sets, batch.column("digest").to_pylist())]
+            found = [make(s) for s, o in zip(sets, own) if o]
+            yield pa.RecordBatch.from_arrays([batch.column("cls").filter(pa.array(own, pa.bool_())), pa.array(found, pa.binary())], ["cls", "items"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), text_bytes(text_col).alias("text")).join(wanted, "rep").select("cls", "text")
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), text_bytes(text_col).alias("text")).join(wanted, "rep").select("cls", "digest", "text")
     return texts.mapInArrow(sets, "cls bigint, items binary")
 
 
@@ -304,8 +316,9 @@ def across_blocks(large: DataFrame, limit: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text",
-                    limit: int = NODE_LIMIT, passes: tuple[tuple[int, int], ...] = PASSES) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+                    limit: int = NODE_LIMIT, passes: tuple[tuple[int, int], ...] = PASSES,
+                    keyed: bool = False) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept; if ``keyed``, text_key too.
 
     Words are runs of characters other than space and control white space, A-Z lower-cased.  Texts
     with equal shingle sets are one class, so copies are joined once and never paired.  Classes go
@@ -318,7 +331,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", t
     prepare(docs.sparkSession)
     rows = store(signatures(docs, k, id_col, text_col).withColumn(
         "cls", F.when(F.col("doc_id").isNotNull(), F.xxhash64("digest"))).withColumn("cls", F.when(F.col("digest").isNotNull(), F.col("cls"))))
-    classes = store(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch"), F.min("n_shingles").alias("n")))
+    classes = store(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("digest").alias("digest"), F.min("sketch").alias("sketch"), F.min("n_shingles").alias("n")))
     links, comps, done = None, None, 0
     for n, depth in passes:
         rest = None
@@ -340,8 +353,9 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", t
     named = with_component(classes.select("cls", "rep"), comps)
     names = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = named.join(names.hint("merge"), "comp").select("cls", "component_id")
-    return (rows.select("doc_id", "n_shingles", "cls").join(named.hint("merge"), "cls", "left")
-            .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    key = ["text_key"] if keyed else []
+    return (rows.select("doc_id", "n_shingles", "cls", *key).join(named.hint("merge"), "cls", "left")
+            .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *key)
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 

@@ -1,7 +1,10 @@
 """The corpus pipeline, stage by stage, on small whole tables."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 import __spark_entry__ as E
+from shelfcast.llm import near_dedup
 from shelfcast.llm.common import store, table
 from tests.conftest import SF001
 from tests.llm.test_operators import fold, near_brute
@@ -29,3 +32,17 @@ def test_stages(spark):
             assert sorted(repr(i) for i, _ in after) == sorted(x[1:].split(",")[0] for x in near_brute(before, 5) if x.endswith("True)"))
         docs = out
     assert corpus_pipeline.bpe(spark, docs, SF001).count() == docs.count()
+
+
+def test_near_dedup_with_several_texts_of_one_id(spark):
+    words = ["w%d" % i for i in range(400)]
+    clean, first = " ".join(words[200:]), " ".join(words[:200])
+    copy = first.replace("w150 ", "other ")
+    rows = [(7, clean), (7, copy), (1, first), (8, clean.replace("w390 ", "other "))]
+    docs = store(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = corpus_pipeline.near_dedup(spark, docs, SF001).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted([(1, first), (7, clean)])
+    signed = near_dedup.signatures(docs, 5, "doc_id", "text").withColumn("cls", F.xxhash64("digest"))
+    classes = signed.withColumnRenamed("doc_id", "rep")
+    sets = near_dedup.class_sets(classes, classes, docs, 5, "doc_id", "text", near_dedup.set_digest).collect()
+    assert sorted((r.cls, bytes(r["items"])) for r in sets) == sorted((r.cls, bytes(r.digest)) for r in signed.collect())
