@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.functions.exprs import NA_TOKENS, na_to_null, to_double
+from shelfcast.session import materialize
 
 
 def infer_numeric(df: DataFrame) -> DataFrame:
@@ -50,10 +51,16 @@ def read_csv(spark: SparkSession, path: str, infer: bool = True, multi_line: boo
     """Header row, missing-value tokens -> null, columns typed.
 
     Quoted fields may hold commas, doubled quotes and line breaks.  Files with line breaks in
-    fields are read one per task; ``multi_line=False`` splits large files where fields have none.
+    fields are read one per task, in one pass: the parsed rows are written once as Parquet, from
+    which types are inferred and rows read.  ``multi_line=False`` splits large files where fields
+    have none.
     Each file's header must name the columns in the same order.
     """
     raw = (spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False)
            .option("escape", '"').option("multiLine", multi_line).option("mode", "PERMISSIVE").csv(path))
     raw = raw.select(*[na_to_null(F.col(f"`{c}`"), NA_TOKENS).alias(c) for c in raw.columns])
+    if multi_line:
+        # by position: Parquet is written under plain names
+        names = raw.columns
+        raw = materialize(raw.toDF(*[f"c{i}" for i in range(len(names))]), "table").toDF(*names)
     return infer_numeric(raw) if infer else raw

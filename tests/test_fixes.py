@@ -32,6 +32,14 @@ def test_csv_with_quotes_breaks_dots_and_codes(spark, tmp_path):
     assert [r["flag"] for r in rows] == [True, False] and rows[0]["Sale.Date"] == "2020-01-01"
 
 
+def test_csv_with_line_breaks_is_parsed_once(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Sale.Date,"a b,c",n\n2020-01-01,"two\nlines",1\n2020-01-02,NA,2\n')
+    rows = read_csv(spark, str(tmp_path))
+    assert rows.inputFiles() and all(f.endswith(".parquet") for f in rows.inputFiles())
+    assert [tuple(r) for r in rows.collect()] == [("2020-01-01", "two\nlines", 1), ("2020-01-02", None, 2)]
+    assert rows.columns == ["Sale.Date", "a b,c", "n"]
+
+
 def test_absent_run_is_a_key_error(spark, tmp_path):
     with pytest.raises(KeyError):
         load_run(spark, str(tmp_path), "nope")
