@@ -12,7 +12,7 @@ from tests.llm.test_operators import fold, near_brute
 
 def test_queries_are_registered():
     names = E.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
 
 
 def test_stages(spark):
