@@ -17,12 +17,13 @@ from typing import Callable, Sequence
 from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
 from shelfcast.functions.exprs import round_half_up
+from shelfcast.operators import boosting as bo
 from shelfcast.operators.evaluate import FORECAST_MONTHS, metrics, split_holdout
 from shelfcast.operators.features import add_features, feature_columns
 from shelfcast.session import materialize
@@ -33,12 +34,13 @@ TREE_MIN_MONTHS = 8
 TREE_MIN_FEATURE_ROWS = 4
 AR_MIN_MONTHS = 10
 AR_MIN_SEQUENCES = 3
-#: Partitions of the training rows.  Seeded bagging depends on it, so it does not follow the data.
+#: Boosted series that one task fits; a fit takes about a second.
+SERIES_PER_TASK = 4
+#: Partitions of the forest's training rows.  Seeded bagging depends on it, so it does not follow the data.
 TRAINING_PARTITIONS = 4
 
 # Reference hyper-parameters.
 FOREST_PARAMS = dict(numTrees=500, maxDepth=10, minInstancesPerNode=1, featureSubsetStrategy="all")
-BOOSTING_PARAMS = dict(maxIter=500, stepSize=0.03, maxDepth=4, subsamplingRate=0.95, featureSubsetStrategy="0.95")
 
 FOREST = "Random Forest"
 BOOSTING = "Gradient Boosting"
@@ -63,9 +65,7 @@ def forest(**overrides):
 
 
 def boosting(**overrides):
-    p = dict(BOOSTING_PARAMS, **_EXEC)
-    p.update(overrides)
-    return lambda: GBTRegressor(featuresCol="features", labelCol="target", seed=SEED, **p)
+    return lambda: bo.Boosting(**overrides)
 
 
 def _k(df, keys):
@@ -96,6 +96,11 @@ def _tail(h: Column, k: int) -> Column:
     return F.slice(h, F.greatest(F.lit(1), F.size(h) - k + 1), k)
 
 
+#: Names of ``recursive_feature_row``, in its order.
+RECURSIVE_FEATURES = ["time_index", "month", "quarter", "month_sin", "month_cos", "lag_1", "lag_2", "lag_3", "lag_6", "lag_12",
+                      "rolling_mean_3", "rolling_std_3", "rolling_mean_6", "pct_change_1", "pct_change_3"]
+
+
 def recursive_feature_row(h: Column, date: Column) -> list[Column]:
     """Features of the next month from the history array (own predictions included)."""
     month = F.month(date)
@@ -192,6 +197,53 @@ def _fit_by_class(train_monthly: DataFrame, k: list[str], factory: Callable, tar
     return out
 
 
+def side_by_side(spark, *calls):
+    """Results of independent jobs that run at the same time."""
+    with ThreadPoolExecutor(len(calls)) as pool:
+        return [r.result() for r in [pool.submit(inheritable_thread_target(spark)(c)) for c in calls]]
+
+
+def _class_array(of: Callable[[str], Column], n: Column) -> Column:
+    """The active features of a series of length ``n``, in frame order, as an array."""
+    row = lambda c: F.array(*[of(x).cast("double") for x in feature_columns(_CLASS_LEN[c])])
+    return F.when(length_class(n) == 2, row(2)).when(length_class(n) == 1, row(1)).otherwise(row(0))
+
+
+def _boost_series(train: DataFrame, test_targets: DataFrame, full: DataFrame, future: DataFrame, k: list[str], p: bo.Boosting):
+    """M8: one model per series and fit; predictions (keys, date, pred) of the evaluation and of the final fit.
+
+    Feature rows, history and forecast dates of a series become one row of arrays, as long as the
+    series has months; rows are dealt out in small parts, and fitting and the recursion run in one
+    stage without a shuffle of models.
+    """
+    kk = [*k, "__fit"]
+    both = train.withColumn("__fit", F.lit("eval")).unionByName(full.withColumn("__fit", F.lit("final")))
+    targets = test_targets.withColumn("__fit", F.lit("eval")).unionByName(future.withColumn("__fit", F.lit("final")))
+    feats = add_features(both, kk)
+    x = _class_array(F.col, F.col("series_n"))
+    usable = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+    rows = feats.select(*kk, "date", "target", "series_n", x.alias("x")).withColumn("x", F.when(usable, F.col("x")))
+    series = rows.groupBy(*kk).agg(F.array_sort(F.collect_list(F.struct("date", "target", "x"))).alias("r"), F.first("series_n").alias("n0"))
+    used = F.filter("r", lambda r: r["x"].isNotNull())
+    # Series with too few feature rows are not fitted
+    series = series.where(F.size(used) >= TREE_MIN_FEATURE_ROWS).join(targets, kk).select(
+        *kk, "n0", "targets", F.transform("r", lambda r: r["target"]).alias("hist"),
+        F.transform(used, lambda r: r["x"]).alias("xs"), F.transform(used, lambda r: r["target"]).alias("ys"))
+    series = materialize(series, "table")
+    parts = -(-series.count() // SERIES_PER_TASK)
+    state = bo.with_models(series.repartition(max(1, parts), *kk), p)
+    for s in range(1, FORECAST_MONTHS + 1):
+        date = F.try_element_at("targets", F.least(F.lit(s), F.greatest(F.size("targets"), F.lit(1))))
+        # the class is that of the series the model was fitted on, not of the growing history
+        names = dict(zip(RECURSIVE_FEATURES, recursive_feature_row(F.col("hist"), date)))
+        state = bo.with_predictions(state.withColumn("x", _class_array(names.__getitem__, F.col("n0"))), p)
+        state = state.withColumn("hist", F.when(F.size("targets") >= s, F.array_append("hist", F.greatest(F.lit(0.0), F.col("prediction"))))
+                                 .otherwise(F.col("hist"))).drop("prediction")
+    out = materialize(state.select(*kk, "targets", F.slice("hist", F.col("n0") + 1, F.size("targets")).alias("pred")), "table")
+    out = out.select(*kk, F.posexplode(F.arrays_zip("targets", "pred"))).select(*kk, F.col("col.targets").alias("date"), F.col("col.pred").alias("pred"))
+    return tuple(out.where(F.col("__fit") == fit).drop("__fit") for fit in ("eval", "final"))
+
+
 def tree_model(monthly: DataFrame, name: str, factory: Callable, keys: Sequence[str] | None = None,
                strict: bool | None = None) -> ModelRun:
     """M9 for one tree model: fit on the training slice, evaluate recursively on the holdout,
@@ -214,11 +266,15 @@ def tree_model(monthly: DataFrame, name: str, factory: Callable, keys: Sequence[
     future = last.select(*k, F.transform(F.sequence(F.lit(1), F.lit(FORECAST_MONTHS)),
                                          lambda i: F.add_months("_last", i)).alias("targets"))
     full = m.join(eligible, k).select(*k, "date", "target")
-    # Two independent fits, of many small jobs each: side by side.
-    fit = inheritable_thread_target(monthly.sparkSession)(_fit_by_class)
-    with ThreadPoolExecutor(2) as pool:
-        runs = [pool.submit(fit, rows, k, factory, dates) for rows, dates in ((train, test_targets), (full, future))]
-    ev, fin = (r.result() for r in runs)
+    learner = factory()
+    if isinstance(learner, bo.Boosting):
+        ev, fin = _boost_series(train, test_targets, full, future, k, learner)
+        if strict and ev.isEmpty():
+            ev = None
+    else:
+        # Two independent fits, of many small jobs each: side by side.
+        ev, fin = side_by_side(monthly.sparkSession, *(
+            lambda rows=rows, dates=dates: _fit_by_class(rows, k, factory, dates) for rows, dates in ((train, test_targets), (full, future))))
     if strict and ev is None:
         raise NotEnoughHistory("Not enough lagged history to train forecasting models reliably.")
     spark = monthly.sparkSession

@@ -130,7 +130,7 @@ def test_queries_boost_all_rounds(spark, monkeypatch, query):
 
     def tree_model(monthly, name, factory, keys=None):
         if name == fc.BOOSTING:
-            raise Fitted(factory().getMaxIter())
+            raise Fitted(factory().rounds)
 
     monkeypatch.setattr(fc, "tree_model", tree_model)
     with pytest.raises(Fitted) as e:

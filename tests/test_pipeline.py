@@ -8,7 +8,7 @@ from tests.conftest import SF001
 
 def test_analyze_end_to_end(spark):
     a = analyze(fx.retail(spark, SF001), forest_factory=fc.forest(numTrees=10),
-                boosting_factory=fc.boosting(maxIter=5), run_id="r1")
+                boosting_factory=fc.boosting(rounds=5), run_id="r1")
     res = {r["model"]: r["status"] for r in a.results.collect()}
     assert set(res) == {"Random Forest", "Gradient Boosting", "Seasonal Baseline", "Window AR"}
     best = a.best.first()
@@ -32,7 +32,7 @@ def test_analyze_end_to_end(spark):
 
 def test_analyze_with_series_keys(spark):
     a = analyze(fx.retail(spark, SF001), series_keys=["item_type"], forest_factory=fc.forest(numTrees=5),
-                boosting_factory=fc.boosting(maxIter=3), run_id="r2")
+                boosting_factory=fc.boosting(rounds=3), run_id="r2")
     n_types = fx.retail(spark, SF001).select("item_type").distinct().count()
     assert a.results.count() == 4 * n_types
     assert a.best.count() == n_types and a.confidence.count() == n_types
