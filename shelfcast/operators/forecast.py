@@ -16,14 +16,14 @@ from typing import Callable, Sequence
 
 from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
 from shelfcast.functions.exprs import round_half_up
 from shelfcast.operators import boosting as bo
+from shelfcast.operators import regression as rg
 from shelfcast.operators.evaluate import FORECAST_MONTHS, metrics, split_holdout
 from shelfcast.operators.features import add_features, feature_columns
 from shelfcast.session import materialize
@@ -34,6 +34,8 @@ TREE_MIN_MONTHS = 8
 TREE_MIN_FEATURE_ROWS = 4
 AR_MIN_MONTHS = 10
 AR_MIN_SEQUENCES = 3
+#: Added to the squares of the scaled lags; 6 lags and a constant may meet as few as 6 windows.
+AR_RIDGE = 0.01
 #: Boosted series that one task fits; a fit takes about a second.
 SERIES_PER_TASK = 4
 #: Partitions of the forest's training rows.  Seeded bagging depends on it, so it does not follow the data.
@@ -122,6 +124,20 @@ def recursive_feature_row(h: Column, date: Column) -> list[Column]:
     ]
 
 
+def next_feature_rows(monthly: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
+    """M3: for every month of a series, the feature row of the month after it, from the history up to it.
+
+    A model that is fed its own predictions reads such rows.  Histories shorter than a lag or a
+    rolling window fall back to the last value, or to what there is.
+    """
+    m, k = _k(monthly.select(*(keys or []), "date", "target"), keys)
+    h = _histories(m, k).select(*k, "dates", F.posexplode("hist").alias("pos", "v"), "hist")
+    date = F.add_months(F.get("dates", F.col("pos")), 1)
+    rows = h.select(*k, date.alias("date"), F.slice("hist", F.lit(1), F.col("pos") + 1).alias("hist"))
+    out = rows.select(*k, "date", *recursive_feature_row(F.col("hist"), F.col("date")))
+    return out if keys else out.drop(_ONE)
+
+
 # ---------------------------------------------------------------- M4 / M7 / M8 / M9
 
 @dataclass
@@ -315,39 +331,22 @@ def _ar_state(monthly: DataFrame, k: list[str]) -> DataFrame:
                     F.when(F.size("hist") >= 12, F.lit(6)).otherwise(F.lit(3)).alias("w"))
 
 
-def _ar_fit_predict(monthly: DataFrame, k: list[str], targets: DataFrame) -> DataFrame | None:
-    st = materialize(_ar_state(monthly, k), "table")
-    # Sliding windows of w scaled values -> next scaled value.
-    seq = st.select(*k, "w", F.posexplode("scaled").alias("i", "y"), "scaled").where(F.col("i") >= F.col("w"))
-    seq = seq.select(*k, "w", F.slice("scaled", F.col("i") - F.col("w") + 1, F.col("w")).alias("x"), "y")
-    counts = seq.groupBy(*k).agg(F.count(F.lit(1)).alias("_n"))
-    ok = counts.where(F.col("_n") >= AR_MIN_SEQUENCES).select(*k)
-    outs = []
-    for w in sorted(r["w"] for r in st.join(ok, k).select("w").distinct().collect()):
-        rows = seq.join(ok, k).where(F.col("w") == w).select(array_to_vector("x").alias("features"), "y")
-        model = LinearRegression(featuresCol="features", labelCol="y", regParam=0.0).fit(rows)
-        state = st.where(F.col("w") == w).join(ok, k).join(targets, k).select(
-            *k, "lo", "hi", "scaled", F.size("scaled").alias("n0"), "targets")
-        for s in range(1, FORECAST_MONTHS + 1):
-            x = F.slice("scaled", F.size("scaled") - w + 1, w)
-            scored = model.transform(state.withColumn("features", array_to_vector(x)))
-            state = scored.select(*k, "lo", "hi", F.when(F.size("targets") >= s, F.array_append("scaled", F.col("prediction")))
-                                  .otherwise(F.col("scaled")).alias("scaled"), "n0", "targets")
-        rng = F.col("hi") - F.col("lo")
-        inv = F.transform(F.slice("scaled", F.col("n0") + 1, F.size("targets")),
-                          lambda v: F.greatest(F.lit(0.0), F.when(rng == 0, v + F.col("lo")).otherwise(v * rng + F.col("lo"))))
-        outs.append(state.select(*k, F.posexplode(F.arrays_zip("targets", inv.alias("pred")))).select(
-            *k, F.col("col.targets").alias("date"), F.col("col.pred").alias("pred")))
-    if not outs:
-        return None
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+def _ar_fit_predict(monthly: DataFrame, k: list[str], targets: DataFrame) -> DataFrame:
+    """(keys, date, pred): one regression per series on its own windows, fed its own predictions."""
+    st = _ar_state(monthly, k).where(F.size("hist") - F.col("w") >= AR_MIN_SEQUENCES)
+    # W9 and the fit: written once, so that the elimination is not repeated for every use of a coefficient
+    fitted = materialize(st.select(*k, "lo", "hi", "scaled", "w", rg.window_equations(F.col("scaled"), F.col("w"), AR_RIDGE).alias("eq"))
+                         .withColumn("c", rg.solve(F.col("eq"), F.col("w") + 1)), "table")
+    ahead = fitted.join(targets, k).withColumn("all", rg.feed_back(F.col("scaled"), F.col("c"), F.col("w"), F.size("targets")))
+    rng = F.col("hi") - F.col("lo")
+    pred = F.transform(F.slice("all", F.size("scaled") + 1, F.size("targets")),
+                       lambda v: F.greatest(F.lit(0.0), F.when(rng == 0, v + F.col("lo")).otherwise(v * rng + F.col("lo"))))
+    return ahead.select(*k, F.posexplode(F.arrays_zip("targets", pred.alias("pred")))).select(
+        *k, F.col("col.targets").alias("date"), F.col("col.pred").alias("pred"))
 
 
 def window_ar(monthly: DataFrame, keys: Sequence[str] | None = None) -> ModelRun:
-    """Linear autoregression on the last 3/6 min-max-scaled months, one-step feedback."""
+    """Linear autoregression on the last 3/6 min-max-scaled months, one-step feedback; a model per series."""
     m, k = _k(monthly.select(*(keys or []), "date", "target"), keys)
     m = materialize(m, "table")
     split = materialize(split_holdout(m, k), "table")
@@ -365,25 +364,15 @@ def window_ar(monthly: DataFrame, keys: Sequence[str] | None = None) -> ModelRun
     future = last.select(*k, F.transform(F.sequence(F.lit(1), F.lit(FORECAST_MONTHS)),
                                          lambda i: F.add_months("_last", i)).alias("targets"))
     fin = _ar_fit_predict(m.join(eligible, k).select(*k, "date", "target"), k, future)
-    spark = monthly.sparkSession
-    if ev is None:
-        met = spark.createDataFrame([], n_series.select(*k, *[F.lit(0.0).alias(c) for c in ("mae", "rmse", "mape", "r2")]).schema)
-    else:
-        pairs = test.select(*k, "date", F.col("target").alias("actual")).join(ev, k + ["date"]) \
-            .select(*k, "actual", F.col("pred").alias("predicted"))
-        met = metrics(pairs, k)
+    pairs = test.select(*k, "date", F.col("target").alias("actual")).join(ev, k + ["date"]) \
+        .select(*k, "actual", F.col("pred").alias("predicted"))
+    met = metrics(pairs, k)
     res = n_series.join(met, k, "left").select(
         *k, F.lit(WINDOW_AR).alias("model"), "mae", "rmse", "mape", "r2",
         F.when(F.col("rmse").isNotNull(), F.lit("trained")).otherwise(F.lit("skipped")).alias("status"),
         F.when(F.col("rmse").isNotNull(), F.lit(None).cast("string"))
          .otherwise(F.lit("Not enough history for stable window autoregression.")).alias("reason"))
-    if fin is None:
-        fcs = spark.createDataFrame([], "date date, value double")
-        for c in reversed(k):
-            fcs = fcs.withColumn(c, F.lit(None).cast(dict(m.dtypes)[c]))
-        fcs = fcs.select(*k, F.lit(WINDOW_AR).alias("model"), "date", "value")
-    else:
-        fcs = fin.select(*k, F.lit(WINDOW_AR).alias("model"), "date", round_half_up(F.col("pred")).alias("value"))
+    fcs = fin.select(*k, F.lit(WINDOW_AR).alias("model"), "date", round_half_up(F.col("pred")).alias("value"))
     fcs = fcs.join(res.where(F.col("status") == "trained").select(*k), k, "left_semi")  # M10: none for a skipped series
     if not keys:
         res, fcs = res.drop(_ONE), fcs.drop(_ONE)

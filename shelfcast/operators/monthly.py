@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast.functions.exprs import exact_sum, month_start, to_double
+from shelfcast.session import materialize
 
 _ONE = "__series"
 
@@ -51,6 +52,13 @@ def monthly_totals(df: DataFrame, target: str, keys: Sequence[str] | None = None
                  F.max(F.dayofmonth("_ts")).alias("last_day_seen")))
 
 
+def stored_totals(df: DataFrame, target: str, keys: Sequence[str] | None = None,
+                  date_col: str = "analysis_date") -> DataFrame:
+    """``monthly_totals`` written once: the partial-month rule, the series and its metadata all read
+    this table of months x series, and the rows are scanned a single time."""
+    return materialize(monthly_totals(df, target, keys, date_col), "table")
+
+
 def observed_days(df: DataFrame, keys: Sequence[str] | None = None,
                   date_col: str = "analysis_date") -> DataFrame:
     """A3 on its own: distinct calendar days per month."""
@@ -99,7 +107,7 @@ def monthly_sales(df: DataFrame, target: str, keys: Sequence[str] | None = None,
                   partial_rule: bool = True, date_col: str = "analysis_date") -> DataFrame:
     """A1 A2 A4: monthly sums with the incomplete latest month removed -> (keys, date, target)."""
     keys = _keys(keys)
-    totals = monthly_totals(df, target, keys, date_col)
+    totals = stored_totals(df, target, keys, date_col)
     return _apply_partial(totals, keys, partial_rule).select(*keys, "date", "target")
 
 
@@ -165,11 +173,21 @@ def monthly_series(df: DataFrame, target: str, keys: Sequence[str] | None = None
 def monthly_meta(df: DataFrame, target: str, keys: Sequence[str] | None = None,
                  partial_rule: bool = True, date_col: str = "analysis_date") -> DataFrame:
     """One row per series describing gaps, length and the partial-month decision."""
+    return monthly_series_and_meta(df, target, keys, partial_rule, date_col)[1]
+
+
+def monthly_series_and_meta(df: DataFrame, target: str, keys: Sequence[str] | None = None,
+                            partial_rule: bool = True, date_col: str = "analysis_date") -> tuple[DataFrame, DataFrame]:
+    """The dense series and its metadata, from one stored table of totals and one of decisions."""
     keys = _keys(keys)
-    totals = monthly_totals(df, target, keys, date_col)
-    stats = partial_month_stats(totals, keys, partial_rule)
+    totals = stored_totals(df, target, keys, date_col)
+    stats = materialize(partial_month_stats(totals, keys, partial_rule), "table")
     kept = _apply_partial(totals, keys, partial_rule, stats)
-    dense = fill_gaps(kept.select(*keys, "date", "target"), keys)
+    dense = materialize(fill_gaps(kept.select(*keys, "date", "target"), keys), "table")
+    return dense, _meta(dense, stats, keys)
+
+
+def _meta(dense: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
     d, k = _with_series_key(dense, keys)
     s = stats if keys else stats.withColumn(_ONE, F.lit(0))
     agg = d.groupBy(*k).agg(F.sum(F.col("filled").cast("int")).alias("missing_months_filled"),

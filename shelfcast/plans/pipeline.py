@@ -51,6 +51,30 @@ class Analysis:
     run: DataFrame | None
 
 
+def fit_models(series: DataFrame, keys: Sequence[str] | None = None, forest_factory=None, boosting_factory=None):
+    """(results, forecasts) of all four models on (keys, date, target), fitted side by side."""
+    keys = list(keys or [])
+    series = materialize(series, "table")
+    forest, boosting, ar, base = fc.side_by_side(
+        series.sparkSession,
+        lambda: fc.tree_model(series, fc.FOREST, forest_factory or fc.forest(), keys),
+        lambda: fc.tree_model(series, fc.BOOSTING, boosting_factory or fc.boosting(), keys),
+        lambda: fc.window_ar(series, keys),
+        lambda: fc.ModelRun(ev.baseline_eval(series, keys), ev.baseline_forecast(series, keys)))
+    runs = [forest, boosting, base, ar]
+    results, forecasts = runs[0].results, runs[0].forecasts
+    for r in runs[1:]:
+        results, forecasts = results.unionByName(r.results), forecasts.unionByName(r.forecasts)
+    return materialize(ev.round_metrics(results), "table"), materialize(forecasts, "table")
+
+
+def choose(results: DataFrame, meta: DataFrame, keys: Sequence[str] | None = None):
+    """(best, confidence): M12 and M13, with the reason that names the reliability."""
+    best = sel.best_model(results, keys)
+    conf = sel.confidence(results, best, meta, keys)
+    return sel.final_best(best, conf, keys), conf
+
+
 def analyze(raw: DataFrame, date_column: str | None = None, target_column: str | None = None,
             item_column: str | None = None, series_keys: Sequence[str] | None = None,
             forest_factory=None, boosting_factory=None, run_id: str | None = None,
@@ -63,22 +87,11 @@ def analyze(raw: DataFrame, date_column: str | None = None, target_column: str |
     target = schema.target_column
     rows = cleaned.frame
     partial = schema.date_column is not None
-    monthly = materialize(mo.monthly_series(rows, target, keys, partial_rule=partial), "table")
-    meta = mo.monthly_meta(rows, target, keys, partial_rule=partial)
+    monthly, meta = mo.monthly_series_and_meta(rows, target, keys, partial_rule=partial)
     series = monthly.select(*keys, "date", "target")
 
-    runs = [fc.tree_model(series, fc.FOREST, forest_factory or fc.forest(), keys),
-            fc.tree_model(series, fc.BOOSTING, boosting_factory or fc.boosting(), keys)]
-    base_res = ev.baseline_eval(series, keys)
-    base_fc = ev.baseline_forecast(series, keys)
-    ar = fc.window_ar(series, keys)
-    results = (runs[0].results.unionByName(runs[1].results).unionByName(base_res).unionByName(ar.results))
-    results = materialize(ev.round_metrics(results), "table")
-    forecasts = materialize(runs[0].forecasts.unionByName(runs[1].forecasts).unionByName(base_fc)
-                            .unionByName(ar.forecasts), "table")
-    best0 = sel.best_model(results, keys)
-    conf = sel.confidence(results, best0, meta, keys)
-    best = sel.final_best(best0, conf, keys)
+    results, forecasts = fit_models(series, keys, forest_factory, boosting_factory)
+    best, conf = choose(results, meta, keys)
     summary = sel.forecast_summary(forecasts, best, keys)
     recs = rec.recommendations(rows, schema, target)
     a = Analysis(run_id, schema, cleaned, monthly, meta, ins.overview(rows, schema, target),

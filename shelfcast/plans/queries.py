@@ -302,12 +302,17 @@ def q_boosting(spark, sf_dir):
     return r.forecasts
 
 
-@register("window_ar_forecast")
+@register("next_feature_row", sf_.next_feature_row_sql(["item_type"]))
+def q_next_feature_row(spark, sf_dir):
+    return _round_cols(fc.next_feature_rows(_series(spark, sf_dir, ["item_type"]), ["item_type"]), _FEATURE_DOUBLES, 6)
+
+
+@register("window_ar_forecast", sf_.window_ar_forecast_sql())
 def q_window_ar(spark, sf_dir):
     return fc.window_ar(_series(spark, sf_dir)).forecasts
 
 
-@register("window_ar_by_type")
+@register("window_ar_by_type", sf_.window_ar_by_type_sql())
 def q_window_ar_by_type(spark, sf_dir):
     r = fc.window_ar(_series(spark, sf_dir, ["item_type"]), ["item_type"])
     return ev.round_metrics(r.results)
@@ -320,42 +325,62 @@ def q_forest_by_type(spark, sf_dir):
         F.array_sort(F.collect_list(F.struct("date", "value"))).alias("forecast")), "item_type", "left")
 
 
-_RUNS: dict = {}
-
-
-def _analysis(spark, sf_dir):
-    """One analysis run per (application, tables): the model, choice, confidence, run and
-    chat queries read the same run, whose tables sit in the checkpoint folder."""
-    from shelfcast.plans.pipeline import analyze
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _RUNS:
-        _RUNS[key] = analyze(fx.retail(spark, sf_dir))
-    return _RUNS[key]
+def _models(spark, sf_dir):
+    """Results of all models on the single series, and its metadata."""
+    from shelfcast.plans.pipeline import fit_models
+    c = clean_view(spark, sf_dir)
+    series, meta = mo.monthly_series_and_meta(c.frame, c.schema.target_column)
+    return fit_models(series.select("date", "target"))[0], meta
 
 
 @register("model_results")
 def q_model_results(spark, sf_dir):
-    return _analysis(spark, sf_dir).results
+    return _models(spark, sf_dir)[0]
 
 
 @register("best_model")
 def q_best_model(spark, sf_dir):
-    return _analysis(spark, sf_dir).best
+    from shelfcast.plans.pipeline import choose
+    return choose(*_models(spark, sf_dir))[0]
 
 
 @register("confidence")
 def q_confidence(spark, sf_dir):
-    return _analysis(spark, sf_dir).confidence
+    from shelfcast.plans.pipeline import choose
+    return choose(*_models(spark, sf_dir))[1]
+
+
+def _choice_by_type(spark, sf_dir):
+    """The choice between the moving average and the window regression, per item type."""
+    from shelfcast.plans.pipeline import choose
+    c = clean_view(spark, sf_dir)
+    keys = ["item_type"]
+    series, meta = mo.monthly_series_and_meta(c.frame, c.schema.target_column, keys)
+    m = series.select(*keys, "date", "target")
+    results = ev.round_metrics(ev.baseline_eval(m, keys).unionByName(fc.window_ar(m, keys).results))
+    return choose(results, meta, keys)
+
+
+@register("best_model_by_type", sq.best_model_by_type_sql())
+def q_best_model_by_type(spark, sf_dir):
+    return _choice_by_type(spark, sf_dir)[0]
+
+
+@register("confidence_by_type", sq.confidence_by_type_sql())
+def q_confidence_by_type(spark, sf_dir):
+    return _choice_by_type(spark, sf_dir)[1]
 
 
 @register("analysis_run")
 def q_analysis_run(spark, sf_dir):
-    return _analysis(spark, sf_dir).run
+    from shelfcast.plans.pipeline import analyze
+    return analyze(fx.retail(spark, sf_dir)).run
 
 
 @register("chat_answers")
 def q_chat_answers(spark, sf_dir):
-    a = _analysis(spark, sf_dir)
+    from shelfcast.plans.pipeline import analyze
+    a = analyze(fx.retail(spark, sf_dir))
     conv = fx.table(spark, sf_dir, "conversations").where(F.col("role") == "user") \
         .select("conv_id", "turn", F.col("text").alias("message"), F.lit(a.run_id).alias("run_id"))
     return rp.answer_questions(conv, F.broadcast(a.run))

@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
-from shelfcast.operators.report import INTENTS
 from shelfcast.plans import sql_features as sf_
 from shelfcast.plans import sql_insights as si
-from shelfcast.plans.sql_monthly import monthly_dense_sql
+from shelfcast.plans.sql_monthly import monthly_dense_sql, monthly_meta_sql
+
+
+# Words of the question rules, in the order in which the rules are tried.
+QUESTION_WORDS = [
+    ("cleaning", ["duplicate", "missing", "clean", "format"]),
+    ("reliability", ["reliability", "confidence", "trust", "accurate"]),
+    ("why_model", None),
+    ("model_metrics", ["best model", "accuracy", "mae", "rmse", "xgboost", "random forest", "lstm", "model"]),
+    ("stock", ["stock", "restock", "recommend", "inventory"]),
+    ("forecast", ["forecast", "next", "future", "predict"]),
+    ("dataset", ["chart", "trend", "summary", "dataset", "column", "data"]),
+]
 
 
 def intents_sql() -> str:
     q = "lower(trim(text))"
     whens = []
-    for name, words in INTENTS:
-        if words is None:
-            cond = f"(contains({q}, 'why') AND contains({q}, 'model'))"
-        else:
-            cond = "(" + " OR ".join(f"contains({q}, '{w}')" for w in words) + ")"
+    for name, words in QUESTION_WORDS:
+        found = [f"contains({q}, '{w}')" for w in words or ()]
+        cond = " OR ".join(found) if found else f"contains({q}, 'why') AND contains({q}, 'model')"
         whens.append(f"WHEN {cond} THEN '{name}'")
     return f"SELECT conv_id, turn, role, CASE {' '.join(whens)} ELSE 'fallback' END AS intent FROM conversations"
 
@@ -83,3 +92,47 @@ def compact_numbers_sql() -> str:
     body = monthly_dense_sql(["item_type"], gaps=False)
     head, tail = body.rsplit("\nSELECT ", 1)
     return head + f"\nSELECT item_type, date, target, {compact_sql_expr('target')} AS compact FROM dense"
+
+
+def _choice_ctes() -> str:
+    """``best`` and ``conf`` per item type, over the moving average and the window regression."""
+    base = sf_.baseline_eval_sql(["item_type"])
+    ar = sf_.window_ar_by_type_sql()
+    meta = monthly_meta_sql(["item_type"])
+    return f"""WITH res AS ({base} UNION ALL FROM ({ar})),
+meta AS ({meta}),
+tr AS (SELECT *, row_number() OVER (PARTITION BY item_type ORDER BY ROUND(rmse, 4), CASE model WHEN 'Seasonal Baseline' THEN 1 ELSE 2 END) AS place
+       FROM res WHERE status = 'trained' AND rmse IS NOT NULL),
+best AS (SELECT k.item_type, COALESCE(t.model, 'Unavailable') AS model, t.mae, t.rmse, t.mape, t.r2
+         FROM (SELECT DISTINCT item_type FROM res) k LEFT JOIN tr t ON t.item_type = k.item_type AND t.place = 1),
+c0 AS (
+  SELECT b.*, l.model AS baseline_model, l.rmse AS baseline_rmse, m.missing_months_filled AS gaps,
+         m.missing_months_filled > 0 OR m.partial_last_period_removed AS sparse, b.model = 'Seasonal Baseline' AS is_base
+  FROM best b LEFT JOIN res l ON l.item_type = b.item_type AND l.model = 'Seasonal Baseline' AND l.status = 'trained'
+  LEFT JOIN meta m ON m.item_type = b.item_type),
+c1 AS (SELECT *, COALESCE(NOT is_base AND rmse <= baseline_rmse * 0.95, FALSE) AS beats FROM c0),
+conf AS (
+  SELECT *, CASE WHEN is_base THEN 'Baseline-led' WHEN mape <= 12 AND beats AND NOT sparse THEN 'Strong'
+                 WHEN mape <= 20 AND beats THEN 'Directional' ELSE 'Exploratory' END AS label FROM c1)"""
+
+
+def best_model_by_type_sql() -> str:
+    return _choice_ctes() + """
+SELECT item_type, model, mae, rmse, mape, r2,
+  CASE WHEN model = 'Unavailable' THEN 'No candidate models were trained successfully.'
+       ELSE model || ' was selected because it achieved the lowest RMSE on the leakage-free holdout evaluation. Forecast reliability for this upload is ' || label || '.' END AS reason
+FROM conf"""
+
+
+def confidence_by_type_sql() -> str:
+    return _choice_ctes() + """
+SELECT item_type, label,
+  CASE label
+    WHEN 'Baseline-led' THEN 'The seasonal baseline outperformed the trained ML models on the leakage-free holdout, so it is the most defensible forecast for this upload.'
+    WHEN 'Strong' THEN 'The selected model clearly beat the baseline on this upload and is suitable for confident directional forecasting.'
+    WHEN 'Directional' THEN 'The selected model beat the baseline and is suitable for directional planning, though it should still be explained with its metrics.'
+    ELSE 'The forecast is useful for pattern review, but this upload still needs careful interpretation before making inventory decisions.' END
+  || CASE WHEN gaps > 0 THEN ' Some months had no rows in the upload, so those periods were filled by linear interpolation.' ELSE '' END AS reason,
+  beats AS beats_baseline, is_base AS selected_is_baseline, baseline_model, baseline_rmse, rmse AS best_model_rmse,
+  r2 AS best_model_r2, mape AS best_model_mape, sparse AS sparse_series
+FROM conf"""

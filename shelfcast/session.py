@@ -57,6 +57,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+#: Folders of tables that this process has written, by application.
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def drop_tables(spark: SparkSession) -> int:
+    """Remove the tables that ``materialize`` has written for this application; returns how many.
+
+    Frames built on them cannot be read afterwards: call it when the results are stored.
+    """
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(paths)
+
+
 def materialize(df, how: str = "table"):
     """Cut lineage of a frame that several actions reuse.
 
@@ -71,6 +88,7 @@ def materialize(df, how: str = "table"):
     if how == "table":
         base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
         path = f"{base}/tables/{uuid.uuid4().hex}"
+        _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
         df.write.mode("overwrite").parquet(path)
         return df.sparkSession.read.parquet(path)
     if how == "checkpoint":

@@ -1,5 +1,9 @@
 """Plan checks: pruning and pushdown reach the scans."""
 
+import os
+
+from shelfcast.operators import monthly as mo
+from shelfcast.session import drop_tables, materialize
 from tests.conftest import SF001
 
 
@@ -28,3 +32,28 @@ def test_monthly_totals_single_exchange_with_partial_aggregation(spark):
     c = clean_view(spark, SF001)
     p = monthly_totals(c.frame, "retail_sales", ["item_type"])._jdf.queryExecution().executedPlan().toString()
     assert "partial_sum" in p or "partial_" in p
+
+
+def _scans(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("FileScan parquet"), plan
+
+
+def test_monthly_operators_scan_the_rows_once(spark, tmp_path):
+    """What consumers read are the stored totals; the rows are read by the single job that writes them."""
+    path = str(tmp_path / "rows")
+    spark.range(5000).selectExpr("timestamp_ntz'2020-01-01 00:00:00' + make_interval(0, 0, 0, cast(id % 900 as int)) AS analysis_date",
+                                 "cast(id % 7 as double) AS sold", "concat('k', id % 3) AS kind").write.parquet(path)
+    rows = spark.read.parquet(path)
+    for keys in ([], ["kind"]):
+        for df in (mo.monthly_sales(rows, "sold", keys), mo.monthly_series(rows, "sold", keys), *mo.monthly_series_and_meta(rows, "sold", keys)):
+            _, plan = _scans(df)
+            assert df.count() and path not in plan
+
+
+def test_written_tables_can_be_removed(spark):
+    from pyspark.sql import functions as F
+    drop_tables(spark)
+    frame = materialize(spark.range(3).select(F.col("id")))
+    folder = frame.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    assert os.path.isdir(folder) and drop_tables(spark) == 1 and not os.path.exists(folder) and drop_tables(spark) == 0
