@@ -111,8 +111,11 @@ def exact_sum(c: Column) -> Column:
 
 
 def round_half_up(c: Column, digits: int = 2) -> Column:
-    """Round through DECIMAL so ties are decided on the decimal value."""
-    return F.round(c.cast("decimal(38,10)"), digits).cast("double")
+    """Round through DECIMAL so ties are decided on the decimal value.
+
+    Values from 1e15 on have no digits to round; they, infinities and NaN stay as they are.
+    """
+    return F.when(F.abs(c) < 1e15, F.round(c.try_cast("decimal(38,10)"), digits).cast("double")).otherwise(c.cast("double"))
 
 
 def float_text(c: Column, scale: int = 4) -> Column:
@@ -120,8 +123,8 @@ def float_text(c: Column, scale: int = 4) -> Column:
 
     (Casting a double to string in Spark switches to 1.5E7 from 1e7 upwards.)
     """
-    t = F.regexp_replace(c.cast(f"decimal(38,{scale})").cast("string"), "0+$", "")
-    return F.when(t.endswith("."), F.concat(t, F.lit("0"))).otherwise(t)
+    t = F.regexp_replace(c.try_cast(f"decimal(38,{scale})").cast("string"), "0+$", "")
+    return F.coalesce(F.when(t.endswith("."), F.concat(t, F.lit("0"))).otherwise(t), c.cast("string"))
 
 
 def fmt2(c: Column) -> Column:
@@ -133,13 +136,14 @@ def compact_number(c: Column) -> Column:
     """English compact notation with at most two fraction digits (1.23K, 4.5M, 7B, 1T).
 
     A value that rounds up to 1000 of its unit moves to the next unit
-    (999,999 -> 1M).
+    (999,999 -> 1M).  What DECIMAL cannot hold (from 1e27 on, infinities, NaN) stays as
+    the text of the number.
     """
     a = F.abs(c)
     units = [(1e12, "T"), (1e9, "B"), (1e6, "M"), (1e3, "K")]
 
     def fmt(v: Column) -> Column:
-        txt = F.round(v.cast("decimal(38,10)"), 2).cast("decimal(38,2)").cast("string")
+        txt = F.round(v.try_cast("decimal(38,10)"), 2).cast("decimal(38,2)").cast("string")
         return F.regexp_replace(txt, r"\.?0+$", "")
 
     # Pick the unit from the rounded magnitude so that 999.999 -> "1K".
@@ -147,9 +151,9 @@ def compact_number(c: Column) -> Column:
     chain = None
     prev_limit = None
     for limit, suffix in units:
-        cond = F.round((a / limit).cast("decimal(38,10)"), 2) >= 1
+        cond = F.round((a / limit).try_cast("decimal(38,10)"), 2) >= 1
         val = F.concat(fmt(c / limit), F.lit(suffix))
         chain = F.when(cond, val) if chain is None else chain.when(cond, val)
         prev_limit = limit
     chain = chain.otherwise(fmt(c))
-    return expr.otherwise(chain)
+    return expr.when(a < 1e27, chain).otherwise(c.cast("string"))

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from shelfcast.functions.exprs import BLANK_TOKENS, has_edge_ws, parse_timestamp, strip_ws, to_double
 from shelfcast.operators.roles import RoleSchema, normalize_columns
-from shelfcast.operators.stats import exact_median, modes
+from shelfcast.operators.stats import exact_medians, modes
 from shelfcast.session import materialize
 
 # Extra columns always coerced to numbers when present.
@@ -26,11 +26,17 @@ EXTRA_NUMERIC = ["price_per_unit", "cogs", "age"]
 # Candidate date layouts, tried in this order; the one that parses most values wins
 # (month-first before day-first on ties).
 DATE_FORMATS = [
-    "yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s", "yyyy-M-d H:m", "yyyy-M-d",
-    "yyyy/M/d H:m:s", "yyyy/M/d", "M/d/yyyy H:m:s", "M/d/yyyy H:m", "M/d/yyyy",
-    "d/M/yyyy H:m:s", "d/M/yyyy H:m", "d/M/yyyy", "yyyyMMdd", "M-d-yyyy", "d-M-yyyy",
-    "d.M.yyyy", "M/d/yy", "d-MMM-yyyy", "MMM d, yyyy",
+    "yyyy-M-d H:m:s[.SSSSSSSSS]", "yyyy-M-d'T'H:m:s[.SSSSSSSSS]", "yyyy-M-d H:m", "yyyy-M-d'T'H:m", "yyyy-M-d",
+    "yyyy-M-d h:m:s[.SSSSSSSSS] a", "yyyy-M-d h:m a",
+    "yyyy/M/d H:m:s[.SSSSSSSSS]", "yyyy/M/d H:m", "yyyy/M/d", "M/d/yyyy H:m:s[.SSSSSSSSS]", "M/d/yyyy H:m", "M/d/yyyy h:m:s[.SSSSSSSSS] a",
+    "M/d/yyyy h:m a", "M/d/yyyy",
+    "d/M/yyyy H:m:s[.SSSSSSSSS]", "d/M/yyyy H:m", "d/M/yyyy h:m:s[.SSSSSSSSS] a", "d/M/yyyy h:m a", "d/M/yyyy", "yyyyMMdd", "M-d-yyyy", "d-M-yyyy",
+    "d.M.yyyy H:m:s[.SSSSSSSSS]", "d.M.yyyy H:m", "d.M.yyyy", "M/d/yy", "d-MMM-yyyy", "MMM d, yyyy",
 ]
+TIME_FORMATS = ["H:m:s[.SSSSSSSSS]", "H:m", "h:m:s[.SSSSSSSSS] a", "h:m a"]
+
+#: A time of day with a zone behind it; the wall time is kept, the zone is not.
+_ZONED = "^(.*\\d:\\d{2}(?::\\d{2}(?:\\.\\d{1,9})?)?)\\s*(?:[Zz]|UTC|GMT|[+-]\\d{2}(?::?\\d{2})?)$"
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -73,19 +79,23 @@ def analysis_date_expr(df: DataFrame, schema: RoleSchema, date_format: str | Non
     """
     dtypes = dict(df.dtypes)
     probe = df if probe is None else probe
+    typed = ("timestamp", "timestamp_ntz", "date")
     if schema.date_column:
         d = F.col(schema.date_column)
+        typed_date = dtypes[schema.date_column] in typed
         if schema.time_column:
-            combined = F.concat(d.cast("string"), F.lit(" "), F.col(schema.time_column).cast("string"))
-            pc = F.concat(strip_ws(F.col(schema.date_column).cast("string")), F.lit(" "),
-                          strip_ws(F.col(schema.time_column).cast("string")))
-            fmt = date_format or choose_date_format(probe, pc, [f + " H:m:s" for f in _date_only()]
-                                                    + [f + " H:m" for f in _date_only()])
-            return parse_timestamp(combined, fmt) if fmt else F.lit(None).cast("timestamp_ntz")
-        if dtypes[schema.date_column] in ("timestamp", "timestamp_ntz", "date"):
+            # of a typed date or time only that part of it is used
+            day = d.cast("date").cast("string") if typed_date else strip_ws(d.cast("string"))
+            t = F.col(schema.time_column)
+            clock = F.date_format(t, "HH:mm:ss.SSSSSS") if dtypes[schema.time_column] in typed else strip_ws(t.cast("string"))
+            text = wall_time(F.concat(day, F.lit(" "), clock))
+            layouts = [f"{day} {time}" for time in TIME_FORMATS for day in (["yyyy-MM-dd"] if typed_date else _date_only())]
+        elif typed_date:
             return parse_timestamp(d)
-        fmt = date_format or choose_date_format(probe, strip_ws(F.col(schema.date_column).cast("string")))
-        return parse_timestamp(d, fmt) if fmt else F.lit(None).cast("timestamp_ntz")
+        else:
+            text, layouts = wall_time(strip_ws(d.cast("string"))), DATE_FORMATS
+        fmt = date_format or choose_date_format(probe, text, layouts)
+        return parse_timestamp(text, fmt) if fmt else F.lit(None).cast("timestamp_ntz")
     if schema.year_column and schema.month_column:
         y = F.coalesce(to_double(F.col(schema.year_column)), F.lit(0.0)).cast("long")
         m = F.coalesce(to_double(F.col(schema.month_column)), F.lit(1.0)).cast("long")
@@ -93,8 +103,14 @@ def analysis_date_expr(df: DataFrame, schema: RoleSchema, date_format: str | Non
     return F.lit(None).cast("timestamp_ntz")
 
 
+def wall_time(text):
+    """A date text without the zone that may follow its time of day."""
+    return F.when(F.substring(text, -1, 1).isin("Z", "z", "C", "T") | F.substring(text, -6, 6).rlike("[+-]"),
+                  F.regexp_replace(text, _ZONED, "$1")).otherwise(text)
+
+
 def _date_only():
-    return [f for f in DATE_FORMATS if "H" not in f]
+    return [f for f in DATE_FORMATS if ":" not in f]
 
 
 def clean(raw: DataFrame, schema: RoleSchema, date_format: str | None = None,
@@ -144,7 +160,6 @@ def clean(raw: DataFrame, schema: RoleSchema, date_format: str | None = None,
             F.count(F.when(~date_ok, 1)).alias("__bad_dates"),
             F.count(F.when(date_ok & ~tgt_ok, 1)).alias("__bad_targets")]
     aggs += [F.count(F.when(valid & F.col(c).isNull(), 1)).alias(f"__null_{c}") for c in cols]
-    aggs += [F.count(F.when(valid & F.col(c).isNotNull(), 1)).alias(f"__nn_{c}") for c in cols]
     aggs += [F.max(F.col(f)).alias(f) for f in flag_cols if f != "__dup"]
     aggs.append(F.sum("__dup").alias("__raw_rows"))
     if materialize_how == "table":
@@ -171,16 +186,11 @@ def clean(raw: DataFrame, schema: RoleSchema, date_format: str | None = None,
     # Fill values.
     sdt = dict(cleaned.dtypes)
     fill_num, fill_cat, fill_other = {}, {}, {}
-    mode_cols = []
-    for c in cols:
-        if c in ("analysis_date", target) or c not in missing_before:
-            continue
-        field = cleaned.schema[c].dataType
-        if _is_numeric(field):
-            med = exact_median(cleaned, c, n=row[f"__nn_{c}"])
-            fill_num[c] = 0.0 if med is None else float(med)
-        else:
-            mode_cols.append(c)
+    gaps = [c for c in cols if c not in ("analysis_date", target) and c in missing_before]
+    number_cols = [c for c in gaps if _is_numeric(cleaned.schema[c].dataType)]
+    mode_cols = [c for c in gaps if c not in number_cols]
+    for c, med in exact_medians(cleaned, number_cols).items():
+        fill_num[c] = 0.0 if med is None else float(med)
     found = modes(cleaned, mode_cols)
     for c in mode_cols:
         if sdt[c] == "string":
@@ -253,9 +263,10 @@ def missing_frame(spark: SparkSession, stats: dict) -> DataFrame:
 
 def drop_all_null_columns(df: DataFrame) -> DataFrame:
     """S3: drop columns without a single non-null value (one aggregate)."""
-    row = df.agg(*[F.count(F.col(c)).alias(c) for c in df.columns]).first()
-    empty = [c for c in df.columns if row[c] == 0]
-    return df.drop(*empty)
+    if not df.columns:
+        return df
+    counts = df.agg(*[F.count(F.col(f"`{c.replace('`', '``')}`")) for c in df.columns]).first()
+    return df.select(*[F.col(f"`{c.replace('`', '``')}`") for c, n in zip(df.columns, counts) if n])
 
 
 def require_rows(df: DataFrame) -> DataFrame:

@@ -1,117 +1,87 @@
-"""Exact order statistics without gathering a column into one task.
-
-``exact_median`` narrows a bracket around the median rank with
-``percentile_approx`` (rank error <= n/accuracy) and only materialises the
-distinct values that fall inside the final bracket, whose size is bounded by a
-constant independent of the table size.  Duplicated values collapse through a
-map-side partial ``groupBy(value).count()`` first, so a value holding a third
-of all rows is one row.
+"""Exact order statistics of many columns at once, without gathering a column into one task.
+
+``exact_medians`` takes a bracket around the median ranks of every column from one
+``percentile_approx`` aggregate (rank error <= n/accuracy), and counts the values of all
+brackets in one grouped pass; the value at a rank is then found by running counts over
+blocks of a bracket and inside the one block that holds the rank.  Equal values collapse
+in the map-side count, so a value holding a third of all rows is one row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfcast.session import materialize
+
 _ACCURACY = 100_000
-_FINAL_LIMIT = 200_000
-_ROUNDS = 6
-
-
-def _kth_from_counts(rows, k_list):
-    """rows: sorted (value, count); return values at the given 1-based ranks."""
-    out = {}
-    seen = 0
-    targets = sorted(set(k_list))
-    ti = 0
-    for value, cnt in rows:
-        seen += cnt
-        while ti < len(targets) and targets[ti] <= seen:
-            out[targets[ti]] = value
-            ti += 1
-        if ti == len(targets):
-            break
-    return [out[k] for k in k_list]
-
-
-def exact_quantile_ranks(df: DataFrame, col: str, ranks: list[int], n: int) -> list[float]:
-    """Values at 1-based ranks ``ranks`` of the non-null values of ``col`` (n of them)."""
-    c = F.col(col)
-    base = df.select(c.alias("v")).where(c.isNotNull())
-    lo_k, hi_k = min(ranks), max(ranks)
-    below = 0
-    lo = hi = None
-    cur_n = n
-    cur = base
-    # Common case first: few distinct values (prices, quantities) -> one pass,
-    # with at most _FINAL_LIMIT + 1 (value, count) rows kept per task and on the driver.
-    first = [(r["v"], r["count"]) for r in
-             base.groupBy("v").count().orderBy("v").limit(_FINAL_LIMIT + 1).collect()]
-    if len(first) <= _FINAL_LIMIT:
-        return [float(v) for v in _kth_from_counts(first, list(ranks))]
-    for _ in range(_ROUNDS):
-        if cur_n <= _FINAL_LIMIT:
-            break
-        eps = 2.0 / _ACCURACY
-        q_lo = max(0.0, (lo_k - below) / cur_n - eps)
-        q_hi = min(1.0, (hi_k - below) / cur_n + eps)
-        b = cur.agg(F.percentile_approx("v", F.array(F.lit(q_lo), F.lit(q_hi)), _ACCURACY).alias("b")).first()["b"]
-        new_lo, new_hi = float(b[0]), float(b[1])
-        cnt = cur.agg(F.count(F.when(F.col("v") < new_lo, 1)).alias("below"),
-                      F.count(F.when(F.col("v").between(new_lo, new_hi), 1)).alias("inside")).first()
-        # Guard: the bracket must contain both ranks, otherwise stop narrowing.
-        if not (below + cnt["below"] < lo_k and below + cnt["below"] + cnt["inside"] >= hi_k):
-            break
-        below += cnt["below"]
-        lo, hi = new_lo, new_hi
-        cur = base.where(F.col("v").between(lo, hi))
-        if cnt["inside"] == cur_n:
-            break
-        cur_n = cnt["inside"]
-    distinct = cur.groupBy("v").count()
-    rows = [(r["v"], r["count"]) for r in distinct.orderBy("v").limit(_FINAL_LIMIT + 1).collect()]
-    if len(rows) <= _FINAL_LIMIT:
-        return [float(v) for v in _kth_from_counts(rows, [k - below for k in ranks])]
-    return _ranks_by_ranges(distinct, [k - below for k in ranks])
-
-
-def _ranks_by_ranges(distinct: DataFrame, ranks: list[int]) -> list[float]:
-    """Fallback when the bracket still holds too many distinct values.
-
-    Range-partition the (value, count) rows so each partition holds about
-    _FINAL_LIMIT / 2 values, take (min, max, rows) per partition (one small row
-    each), locate the partition holding each rank and read only that value range.
-    """
-    n_distinct = distinct.count()
-    parts = max(2, -(-n_distinct // max(1, _FINAL_LIMIT // 2)))
-    spans = (distinct.repartitionByRange(parts, "v")
-             .groupBy(F.spark_partition_id().alias("p"))
-             .agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("count").alias("c"))
-             .orderBy("lo").collect())
-    out = []
-    for k in ranks:
-        seen = 0
-        for sp in spans:
-            if seen + sp["c"] >= k:
-                rows = [(r["v"], r["count"]) for r in
-                        distinct.where(F.col("v").between(sp["lo"], sp["hi"])).orderBy("v").collect()]
-                out.append(float(_kth_from_counts(rows, [k - seen])[0]))
-                break
-            seen += sp["c"]
+#: Blocks into which a bracket is cut; no task sorts more than one block of one column.
+_BLOCKS = 1024
+
+
+def _value(col: str):
+    v = F.col(f"`{col}`").cast("double")
+    return F.when(~F.isnan(v), v)
+
+
+def _blocks(lo: float, hi: float, v):
+    """A non-decreasing map of the values of a bracket to 0 .. _BLOCKS - 1."""
+    share = F.nanvl((v - F.lit(lo)) / F.lit((hi - lo) or 1.0), F.lit(0.0))
+    return F.least(F.lit(_BLOCKS - 1), F.greatest(F.lit(0), F.floor(F.least(F.lit(1.0), F.greatest(F.lit(0.0), share)) * _BLOCKS))).cast("int")
+
+
+def _ranks(n: int) -> list[int]:
+    return [(n + 1) // 2] if n % 2 else [n // 2, n // 2 + 1]
+
+
+def _found(df: DataFrame, sizes: dict, brackets: dict) -> dict:
+    """{column: values at its median ranks} for the columns whose bracket holds them."""
+    cells = []
+    for c, (lo, hi) in brackets.items():
+        v = _value(c)
+        inside = v.between(F.lit(lo), F.lit(hi))
+        # values below the bracket count as one row without a value; those above it are not needed
+        cell = F.struct(F.lit(c).alias("c"), F.when(inside, _blocks(lo, hi, v)).otherwise(F.lit(-1)).alias("block"), F.when(inside, v).alias("v"))
+        cells.append(F.when(v <= F.lit(hi), cell))
+    counted = materialize(df.select(F.explode(F.array(*cells)).alias("x")).where("x IS NOT NULL")
+                          .groupBy("x.c", "x.block", "x.v").agg(F.count(F.lit(1)).alias("n")), "table")
+    wanted = F.create_map(*[x for c in brackets for x in (F.lit(c), F.array(*map(F.lit, _ranks(sizes[c]))))])[F.col("c")]
+    before = Window.partitionBy("c").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (counted.groupBy("c", "block").agg(F.sum("n").alias("m"))
+              .withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0))).withColumn("rank", F.explode(wanted))
+              .where("block >= 0 AND rank > before AND rank <= before + m").select("c", "block", "rank", "before"))
+    inside = Window.partitionBy("c", "block", "rank").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    rows = (counted.join(blocks, ["c", "block"]).withColumn("upto", F.col("before") + F.sum("n").over(inside))
+            .where("rank <= upto AND rank > upto - n").select("c", "rank", "v").collect())
+    got = {}
+    for r in sorted(rows, key=lambda r: r["rank"]):
+        got.setdefault(r["c"], []).append(r["v"])
+    return {c: v for c, v in got.items() if len(v) == len(_ranks(sizes[c]))}
+
+
+def exact_medians(df: DataFrame, cols: list[str]) -> dict:
+    """{column: exact (interpolating) median of its non-null values, None where it has none}: three jobs."""
+    if not cols:
+        return {}
+    eps = 2.0 / _ACCURACY
+    marks = F.array(F.lit(max(0.0, 0.5 - eps)), F.lit(0.5 + eps))
+    row = df.agg(*[F.count(_value(c)).alias(f"n{i}") for i, c in enumerate(cols)],
+                 *[F.percentile_approx(_value(c), marks, _ACCURACY).alias(f"b{i}") for i, c in enumerate(cols)]).first()
+    sizes = {c: row[f"n{i}"] for i, c in enumerate(cols)}
+    out = {c: None for c in cols}
+    brackets = {c: tuple(row[f"b{i}"]) for i, c in enumerate(cols) if sizes[c]}
+    while brackets:
+        for c, v in _found(df, sizes, brackets).items():
+            out[c] = v[0] if len(v) == 1 else (v[0] + v[1]) / 2.0
+            del brackets[c]
+        # beyond the error bound, or for ranks at its edge: everything is the bracket
+        brackets = {c: (float("-inf"), float("inf")) for c in brackets}
     return out
 
 
-def exact_median(df: DataFrame, col: str, n: int | None = None) -> float | None:
+def exact_median(df: DataFrame, col: str) -> float | None:
     """Exact (interpolating) median of the non-null values; None when there are none."""
-    if n is None:
-        n = df.where(F.col(col).isNotNull()).count()
-    if n == 0:
-        return None
-    if n % 2 == 1:
-        k = (n + 1) // 2
-        return exact_quantile_ranks(df, col, [k], n)[0]
-    a, b = exact_quantile_ranks(df, col, [n // 2, n // 2 + 1], n)
-    return (a + b) / 2.0
+    return exact_medians(df, [col])[col]
 
 
 def modes(df: DataFrame, cols: list[str]) -> dict:

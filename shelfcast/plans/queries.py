@@ -259,7 +259,30 @@ def q_clean_rows(spark, sf_dir):
 
 @register("missing_profile", sr.MISSING_PROFILE_SQL)
 def q_missing_profile(spark, sf_dir):
-    return clean_view(spark, sf_dir, "retail_dirty").missing.where(F.col("stage") == "before")
+    return clean_view(spark, sf_dir, "retail_dirty").missing
+
+
+def _dated_rows(raw: DataFrame) -> DataFrame:
+    """Rows, sum and range of the analysis date per month of a cleaned view."""
+    rows = clean(raw, detect_roles(raw)).frame
+    seen = lambda f: F.date_format(f("analysis_date"), "yyyy-MM-dd HH:mm:ss.SSS")
+    return rows.groupBy(F.trunc("analysis_date", "month").alias("date")).agg(
+        F.count(F.lit(1)).alias("row_count"), F.sum("retail_sales").alias("target"), seen(F.min).alias("first_seen"), seen(F.max).alias("last_seen"))
+
+
+@register("dates_with_zone", sr.dated_rows_sql(fx.RETAIL_STAMPS_SQL))
+def q_dates_with_zone(spark, sf_dir):
+    return _dated_rows(fx.retail_stamps(spark, sf_dir))
+
+
+@register("dates_with_time", sr.dated_rows_sql(fx.RETAIL_TIMED_SQL))
+def q_dates_with_time(spark, sf_dir):
+    return _dated_rows(fx.retail_timed(spark, sf_dir))
+
+
+@register("dates_from_year_month", sr.dated_rows_sql(fx.RETAIL_YEAR_MONTH_SQL))
+def q_dates_from_year_month(spark, sf_dir):
+    return _dated_rows(fx.retail_year_month(spark, sf_dir))
 
 
 def _map_text(c):
@@ -444,7 +467,7 @@ def _dirty_csv(spark, sf_dir) -> str:
 
     from shelfcast.session import ensure_checkpoint_dir
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv/{uuid.uuid4().hex}"
-    fx.retail_dirty(spark, sf_dir).write.option("header", True).csv(path)
+    fx.retail_dirty(spark, sf_dir).write.options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, escape='"').csv(path)
     return path
 
 

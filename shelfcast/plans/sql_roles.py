@@ -124,7 +124,15 @@ MISSING_PROFILE_SQL = "WITH " + CLEAN_CTES.strip() + f""",
 nc AS (
 {chr(10).join(("  " if i == 0 else "  UNION ALL ") + f"SELECT '{c}' AS column_name, COUNT(*) - COUNT({c}) AS missing FROM valid" for i, c in enumerate(_DIRTY_COLS))}
 )
-SELECT 'before' AS stage, column_name, missing FROM nc WHERE missing > 0"""
+SELECT 'before' AS stage, column_name, missing FROM nc WHERE missing > 0
+UNION ALL
+SELECT 'after', column_name, missing FROM (
+  SELECT 'item_type' AS column_name, COUNT(*) FILTER (COALESCE(item_type, (SELECT type_mode FROM fill)) IS NULL) AS missing FROM valid
+  UNION ALL SELECT 'warehouse_sales', COUNT(*) FILTER (COALESCE(warehouse_sales, (SELECT wh_med FROM fill)) IS NULL) FROM valid)
+WHERE missing > 0"""
+
+# The text columns whose values change when they are trimmed.
+_TRIMMED = " || ".join(f"(CASE WHEN EXISTS (SELECT 1 FROM dd WHERE {c} <> {_trim(c)}) THEN ',{c}' ELSE '' END)" for c in _DIRTY_COLS)
 
 CLEANING_SUMMARY_SQL = "WITH " + CLEAN_CTES.strip() + f""",
 nc AS (
@@ -136,12 +144,13 @@ SELECT
   (SELECT COUNT(*) FROM retail_dirty) - (SELECT COUNT(*) FROM dd) AS duplicates_removed,
   (SELECT COUNT(*) FROM co WHERE analysis_date IS NULL) AS invalid_dates_removed,
   (SELECT COUNT(*) FROM co WHERE analysis_date IS NOT NULL AND retail_sales IS NULL) AS target_values_removed,
-  '' AS trimmed_text_columns,
+  ltrim({_TRIMMED}, ',') AS trimmed_text_columns,
   (SELECT string_agg(column_name || '=' || CAST(missing AS VARCHAR), ',' ORDER BY column_name) FROM nc WHERE missing > 0) AS missing_values_before,
-  '' AS missing_values_after,
+  CASE WHEN (SELECT type_mode FROM fill) IS NULL OR (SELECT wh_med FROM fill) IS NULL THEN 'some' ELSE '' END AS missing_values_after,
   'warehouse_sales=' || CAST(ROUND((SELECT wh_med FROM fill), 4) AS VARCHAR) AS filled_numeric_columns,
   'item_type=' || (SELECT type_mode FROM fill) AS filled_categorical_columns,
-  TRUE AS cleaning_applied"""
+  (SELECT COUNT(*) FROM retail_dirty) > (SELECT COUNT(*) FROM valid) OR {_TRIMMED} <> ''
+  OR EXISTS (SELECT 1 FROM nc WHERE missing > 0) AS cleaning_applied"""
 
 
 def cleaning_report_sql() -> str:
@@ -164,13 +173,21 @@ UNION ALL SELECT 3, 'Duplicates removed', {fmt('dups')} FROM s
 UNION ALL SELECT 4, 'Invalid dates removed', {fmt('bad_dates')} FROM s
 UNION ALL SELECT 5, 'Invalid target rows removed', {fmt('bad_targets')} FROM s
 UNION ALL SELECT 6, 'Monthly gaps handled', {fmt('mmf')} || ' (' || CASE WHEN mmf > 0 THEN 'linear interpolation' ELSE 'not needed' END || ')' FROM s
-UNION ALL SELECT 7, 'Trimmed text columns', 'None' FROM s"""
+UNION ALL SELECT 7, 'Trimmed text columns', COALESCE(NULLIF(replace(ltrim({_TRIMMED}, ','), ',', ', '), ''), 'None') FROM s"""
 
 
 # retail_dirty after a CSV round trip: NA tokens null, all-numeric columns typed.
 CSV_SCAN_SQL = "WITH " + RETAIL_DIRTY_SQL.strip() + """
 SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
        CAST(l_partkey AS BIGINT) AS l_partkey, CAST(l_suppkey AS BIGINT) AS l_suppkey,
-       sale_date, retail_sales, CAST(item_code AS BIGINT) AS item_code, item_type,
+       sale_date, retail_sales, CAST(item_code AS BIGINT) AS item_code, NULLIF(item_type, 'nan') AS item_type,
        CAST(warehouse_sales AS DOUBLE) AS warehouse_sales
 FROM retail_dirty"""
+
+
+def dated_rows_sql(view: str) -> str:
+    """Rows, sum and range of the analysis date per month, over a view with the CTE ``dated``."""
+    return f"""WITH {view.strip()}
+SELECT CAST(date_trunc('month', analysis_date) AS DATE) AS date, COUNT(*) AS row_count, SUM(retail_sales) AS target,
+       strftime(MIN(analysis_date), '%Y-%m-%d %H:%M:%S.%g') AS first_seen, strftime(MAX(analysis_date), '%Y-%m-%d %H:%M:%S.%g') AS last_seen
+FROM dated WHERE analysis_date IS NOT NULL GROUP BY 1"""

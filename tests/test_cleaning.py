@@ -1,5 +1,8 @@
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from shelfcast.operators import stats
 from shelfcast.operators.cleaning import clean, drop_all_null_columns
 from shelfcast.operators.roles import detect_roles
 from shelfcast.operators.stats import exact_median, modes
@@ -62,20 +65,33 @@ def test_drop_all_null_columns(spark):
     assert drop_all_null_columns(df).columns == ["a"]
 
 
-def test_exact_median_bracketing(spark, monkeypatch):
-    import numpy as np
-
-    import shelfcast.operators.stats as st
+@pytest.mark.parametrize("accuracy,blocks", [(100_000, 1024), (50, 4), (1000, 1)])
+def test_exact_medians_of_many_columns(spark, monkeypatch, accuracy, blocks):
+    monkeypatch.setattr(stats, "_ACCURACY", accuracy)
+    monkeypatch.setattr(stats, "_BLOCKS", blocks)
     rng = np.random.default_rng(7)
-    vals = np.concatenate([rng.normal(size=3001), np.full(1500, 0.25)])
-    df = spark.createDataFrame([(float(v),) for v in vals], "v double")
-    monkeypatch.setattr(st, "_FINAL_LIMIT", 50)
-    monkeypatch.setattr(st, "_ACCURACY", 1000)
-    assert exact_median(df, "v") == float(np.median(vals))
-    even = df.limit(4000)
-    got = exact_median(even, "v")
-    want = float(np.median([r["v"] for r in even.collect()]))
-    assert abs(got - want) < 1e-12
+    n = 3001
+    columns = {"normal": rng.normal(size=n), "hot": np.where(rng.random(n) < 0.5, 0.25, rng.normal(size=n)), "whole": rng.integers(0, 9, n),
+               "wide": rng.choice([-1e300, -1.0, 0.0, 2.0, 1e300, np.inf, -np.inf], n), "one.dot": np.full(n, 3.0)}
+    rows = [[None if (i * 7 + j) % 5 == 0 else float(v[i]) for j, v in enumerate(columns.values())] + [None] for i in range(n)]
+    df = spark.createDataFrame(rows, ", ".join(f"`{c}` double" for c in [*columns, "empty"])).repartition(5)
+    got = stats.exact_medians(df, [*columns, "empty"])
+    for j, c in enumerate(columns):
+        assert got[c] == pytest.approx(np.median([r[j] for r in rows if r[j] is not None]), rel=1e-12), c
+    assert got["empty"] is None and exact_median(df.where("whole = 3"), "whole") == 3.0 and stats.exact_medians(df, []) == {}
+
+
+def test_medians_take_three_jobs(spark):
+    df = spark.range(4000).selectExpr(*[f"cast(id * {i} % 97 as double) AS c{i}" for i in range(1, 12)])
+    spark.sparkContext.setJobGroup("medians", "medians")
+    stats.exact_medians(df, df.columns)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("medians")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    single = len(jobs)
+    spark.sparkContext.setJobGroup("median", "median")
+    stats.exact_medians(df, df.columns[:1])
+    assert single == len(spark.sparkContext.statusTracker().getJobIdsForGroup("median"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_modes_tie_smallest(spark):
@@ -83,18 +99,6 @@ def test_modes_tie_smallest(spark):
     assert modes(df, ["c1", "c2"]) == {"c1": "a", "c2": "x"}
 
 
-def test_exact_median_range_fallback(spark, monkeypatch):
-    import numpy as np
-
-    import shelfcast.operators.stats as st
-    rng = np.random.default_rng(11)
-    vals = rng.normal(size=2000)
-    df = spark.createDataFrame([(float(v),) for v in vals], "v double")
-    monkeypatch.setattr(st, "_FINAL_LIMIT", 40)
-    monkeypatch.setattr(st, "_ROUNDS", 0)
-    assert abs(exact_median(df, "v") - float(np.median(vals))) < 1e-12
-
-
 def test_date_plus_time(spark):
     rows = [("2024-01-05", "10:30:00", "1"), ("2024-01-06", None, "2"), ("2024-01-07", "25:99:00", "3"),
             ("2024-01-08", "08:00:00", "4")]
@@ -104,8 +108,48 @@ def test_date_plus_time(spark):
     assert r.stats["invalid_dates_removed"] == 2
 
 
+@pytest.mark.parametrize("texts,want", [
+    (["2024-01-05 10:30:00.125", "2024-01-06 11:00:00", "2024-01-07T11:00:00"], ["2024-01-05 10:30:00.125000", "2024-01-06 11:00:00"]),
+    (["2024-01-05T23:30:00Z", "2024-01-06T23:30:00.5+05:30", "2024-01-07T01:00:00-0800", "2024-01-08T01:00:00 UTC"],
+     ["2024-01-05 23:30:00", "2024-01-06 23:30:00.500000", "2024-01-07 01:00:00", "2024-01-08 01:00:00"]),
+    (["1/15/2024 2:05 PM", "1/6/2024 12:00 am", "1/7/2024"], ["2024-01-06 00:00:00", "2024-01-15 14:05:00"]),
+    (["2024-01-05", "2024-01-06", "x"], ["2024-01-05 00:00:00", "2024-01-06 00:00:00"]),
+    (["31.12.2023 7:08", "1.1.2024 23:59"], ["2023-12-31 07:08:00", "2024-01-01 23:59:00"]),
+])
+def test_common_time_stamps(spark, texts, want):
+    r = run(spark, [(t, 1.0) for t in texts], "sale_date string, sales double")
+    assert sorted(str(x["analysis_date"]) for x in r.frame.collect()) == want
+
+
+@pytest.mark.parametrize("kind", ["date", "timestamp", "timestamp_ntz"])
+def test_typed_date_plus_time(spark, kind):
+    df = spark.createDataFrame([("2024-01-05", "10:30:00", 1.0), ("2024-01-06", "9:15", 2.0), ("2024-01-07", "08:00:01.5", 3.0), ("2024-01-08", None, 4.0)],
+                               "sale_date string, sale_time string, sales double").withColumn("sale_date", F.col("sale_date").cast(kind))
+    r = clean(df, detect_roles(df))
+    assert sorted(str(x["analysis_date"]) for x in r.frame.collect()) == ["2024-01-05 10:30:00", "2024-01-07 08:00:01.500000"]
+
+
+def test_headers_with_dots_and_large_totals(spark):
+    from shelfcast.functions.exprs import compact_number, round_half_up
+    from shelfcast.operators import insights as ins
+    from shelfcast.operators.roles import normalize_columns
+    raw = spark.createDataFrame([("2024-01-05", "a", 1e30, None), ("2024-01-06", "b", 1e30, None), ("2024-01-07", "c", float("inf"), None)],
+                                "`Sale.Date` string, `item.name` string, sales double, `no``thing.` string")
+    kept = drop_all_null_columns(raw)
+    assert kept.columns == ["Sale.Date", "item.name", "sales"]
+    df = normalize_columns(kept)
+    schema = detect_roles(df, "sale_date", "sales", "item_name")
+    rows = clean(df, schema).frame
+    finite = rows.where("sales < 1e31")
+    assert ins.overview(finite, schema, "sales").first()["target_sum"] == 2e30
+    assert ins.overview(rows, schema, "sales").first()["target_sum"] == float("inf")
+    assert [tuple(r) for r in ins.top_segments(rows, schema, "sales", 1).collect()] == [("c", float("inf"))]
+    values = spark.createDataFrame([(2.345,), (1e15,), (float("-inf"),), (None,), (1e29,), (999999.0,)], "v double")
+    assert [r[0] for r in values.select(round_half_up(F.col("v"))).collect()] == [2.35, 1e15, float("-inf"), None, 1e29, 999999.0]
+    assert [r[0] for r in values.select(compact_number(F.col("v"))).collect()] == ["2.35", "1000T", "-Infinity", None, "1.0E29", "1M"]
+
+
 def test_empty_input_guard(spark):
-    import pytest
 
     from shelfcast.operators.cleaning import require_rows
     with pytest.raises(ValueError):
