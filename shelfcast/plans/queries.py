@@ -223,33 +223,50 @@ from shelfcast.plans import sql_roles as sr  # noqa: E402
 
 
 def _catalog(spark, sf_dir):
+    """The column catalog of the driver's tables, and the profile of their rows."""
     frames = {t: fx.table(spark, sf_dir, t) for t in fx.TABLES}
-    return ro.catalog_from_frames(spark, frames)
+    return ro.catalog_from_frames(spark, frames), ro.column_profile(frames)
 
 
 @register("normalized_columns", sr.NORMALIZED_SQL)
 def q_normalized_columns(spark, sf_dir):
-    return ro.normalized_catalog(_catalog(spark, sf_dir))
+    catalog, profile = _catalog(spark, sf_dir)
+    return ro.normalized_catalog(catalog).join(profile, ["table_name", "column_name"])
+
+
+def _profiled(df, profile, column, **values):
+    """Columns of the profile of the (normalised) column that ``column`` names, under other names."""
+    p = profile.select(F.col("table_name").alias("__t"), ro.normalize_name_expr(F.col("column_name")).alias("__c"), *[F.col(v).alias(k) for k, v in values.items()])
+    return df.join(p, (F.col("table_name") == F.col("__t")) & (F.col(column) == F.col("__c")), "left").drop("__t", "__c")
 
 
 @register("role_scores", sr.ROLE_SCORES_SQL)
 def q_role_scores(spark, sf_dir):
-    return ro.role_scores(_catalog(spark, sf_dir))
+    catalog, profile = _catalog(spark, sf_dir)
+    return _profiled(ro.role_scores(catalog), profile, "column_name", non_null="non_null", distinct_values="distinct_values")
 
 
 @register("role_detection", sr.ROLE_DETECTION_SQL)
 def q_role_detection(spark, sf_dir):
-    d = ro.detect_roles_catalog(_catalog(spark, sf_dir))
+    from shelfcast.session import materialize
+    catalog, profile = _catalog(spark, sf_dir)
+    profile = materialize(profile, "table")
+    d = ro.detect_roles_catalog(catalog)
     lists = ["sales_columns", "date_candidates", "target_candidates", "item_candidates"]
-    return d.select("table_name", "date_column", "year_column", "month_column", "time_column", "target_column",
-                    "item_column", "item_group_column", *[F.array_join(c, ",").alias(c) for c in lists],
-                    "can_auto_detect")
+    d = d.select("table_name", "date_column", "year_column", "month_column", "time_column", "target_column",
+                 "item_column", "item_group_column", *[F.array_join(c, ",").alias(c) for c in lists],
+                 "can_auto_detect")
+    for column, new, value in (("date_column", "date_values", "non_null"), ("target_column", "target_values", "non_null"),
+                               ("item_column", "distinct_items", "distinct_values"), ("item_group_column", "distinct_groups", "distinct_values")):
+        d = _profiled(d, profile, column, **{new: value}).withColumn(new, F.coalesce(F.col(new), F.lit(0)))
+    return d
 
 
 @register("context_columns", sr.CONTEXT_SQL)
 def q_context_columns(spark, sf_dir):
-    return ro.context_columns(_catalog(spark, sf_dir)).select(
-        "table_name", "tag", "tag_order", F.array_join("columns", ",").alias("columns"))
+    catalog, profile = _catalog(spark, sf_dir)
+    rows = ro.context_columns(catalog).select("table_name", "tag", "tag_order", F.explode("columns").alias("c"), F.array_join("columns", ",").alias("columns"))
+    return _profiled(rows, profile, "c", n="non_null").groupBy("table_name", "tag", "tag_order", "columns").agg(F.sum("n").alias("non_null"))
 
 
 @register("clean_rows", sr.CLEAN_ROWS_SQL)

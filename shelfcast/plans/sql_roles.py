@@ -2,9 +2,55 @@
 
 from __future__ import annotations
 
-from shelfcast.operators import roles as R
 from shelfcast.plans.fixtures import RETAIL_DIRTY_SQL, TABLES
 
+# Names, tokens and weights of the role rules, written out here a second time so that
+# a change of the library's own tables shows.
+DATE_WEIGHTS = {'date': 3.0, 'day': 1.5, 'time': 1.0, 'timestamp': 2.5, 'order': 1.0, 'invoice': 1.0, 'bill': 1.0, 'transaction': 1.0, 'period': 1.0}
+TARGET_WEIGHTS = {'sales': 3.0,
+ 'sale': 2.5,
+ 'amount': 2.5,
+ 'revenue': 2.5,
+ 'qty': 2.0,
+ 'quantity': 2.5,
+ 'demand': 2.0,
+ 'units': 2.0,
+ 'total': 1.0,
+ 'net': 1.0}
+ITEM_WEIGHTS = {'item': 3.0, 'product': 3.0, 'category': 2.5, 'supplier': 2.0, 'sku': 3.0, 'brand': 1.5, 'department': 1.5, 'segment': 1.5}
+GROUP_WEIGHTS = {'category': 3.0, 'type': 2.0, 'department': 2.0, 'supplier': 2.0, 'store': 2.0, 'branch': 2.0, 'region': 1.5}
+TARGET_EXCLUDE = ['date', 'time', 'day', 'timestamp', 'id']
+ITEM_EXCLUDE = ['date', 'sales', 'amount', 'revenue']
+EXCLUSION_PENALTY = 2.5
+DATE_NAMES = ['date', 'sale_date', 'transaction_date', 'invoice_date', 'order_date']
+TARGET_NAMES = ['retail_sales', 'total_sale', 'total_amount', 'sales', 'sales_amount', 'quantity', 'quantiy', 'warehouse_sales']
+ITEM_NAMES = ['item_description', 'product_category', 'category', 'item_code', 'product_id', 'product', 'item', 'supplier']
+GROUP_NAMES = ['item_type', 'product_category', 'category', 'supplier']
+SALES_TOKENS = ['sales', 'sale', 'amount', 'quantity', 'revenue', 'demand', 'units']
+DATE_CANDIDATE_TOKENS = ['date', 'day', 'time', 'timestamp', 'period']
+ITEM_CANDIDATE_TOKENS = ['item', 'product', 'category', 'supplier', 'sku', 'brand', 'department']
+CONTEXT_TAGS = {'promotion': ['promo', 'promotion', 'discount', 'offer'],
+ 'holiday': ['holiday', 'festival'],
+ 'store': ['store', 'branch', 'location'],
+ 'category': ['category', 'type', 'segment']}
+
+# Columns of the driver's tables.
+TABLE_COLUMNS = {'region': ['r_regionkey', 'r_name'],
+ 'nation': ['n_nationkey', 'n_name', 'n_regionkey'],
+ 'customer': ['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment'],
+ 'supplier': ['s_suppkey', 's_name', 's_nationkey', 's_acctbal'],
+ 'part': ['p_partkey', 'p_name', 'p_brand', 'p_type', 'p_size', 'p_retailprice'],
+ 'orders': ['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority'],
+ 'lineitem': ['l_orderkey', 'l_partkey', 'l_suppkey', 'l_linenumber', 'l_quantity', 'l_extendedprice', 'l_discount', 'l_tax',
+              'l_returnflag', 'l_linestatus', 'l_shipdate'],
+ 'events': ['event_id', 'ts', 'user_id', 'event_type', 'value', 'props'],
+ 'documents': ['doc_id', 'text', 'lang', 'source', 'n_chars'],
+ 'embeddings': ['vec_id', 'embedding', 'label'],
+ 'pages': ['page_id', 'url', 'html'],
+ 'benchmark': ['item_id', 'text'],
+ 'labels': ['doc_id', 'quality', 'toxic'],
+ 'conversations': ['conv_id', 'turn', 'role', 'text']}
+
 
 def _lst(xs):
     return "[" + ", ".join(f"'{x}'" for x in xs) + "]"
@@ -13,7 +59,7 @@ def _lst(xs):
 def _score(weights, excl=()):
     s = " + ".join(f"(CASE WHEN contains(n, '{t}') THEN {w} ELSE 0.0 END)" for t, w in weights.items())
     if excl:
-        s = f"({s}) - (CASE WHEN {_any(excl)} THEN {R.EXCLUSION_PENALTY} ELSE 0.0 END)"
+        s = f"({s}) - (CASE WHEN {_any(excl)} THEN {EXCLUSION_PENALTY} ELSE 0.0 END)"
     return f"({s})"
 
 
@@ -29,16 +75,25 @@ cat AS (
   WHERE table_name IN ({", ".join(f"'{t}'" for t in TABLES)})
 )"""
 
-NORMALIZED_SQL = f"WITH {CATALOG_CTE.strip()}\nSELECT table_name, ordinal, column_name, n AS normalized_name FROM cat"
+# Per column: non-null and distinct values.
+PROFILE_CTE = "prof AS (\n  " + "\n  UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS name, COUNT({c}) AS non_null, COUNT(DISTINCT {c}) AS distinct_values FROM {t}"
+    for t, columns in TABLE_COLUMNS.items() for c in columns) + ")"
+
+NORMALIZED_SQL = f"""WITH {CATALOG_CTE.strip()},
+{PROFILE_CTE}
+SELECT table_name, ordinal, column_name, n AS normalized_name, non_null, distinct_values
+FROM cat JOIN prof USING (table_name) WHERE column_name = name"""
 
 ROLE_SCORES_SQL = f"""WITH {CATALOG_CTE.strip()},
+{PROFILE_CTE},
 s AS (
-  SELECT table_name, ordinal, n AS column_name, 'date' AS role, {_score(R.DATE_WEIGHTS)} AS score FROM cat
-  UNION ALL SELECT table_name, ordinal, n, 'target', {_score(R.TARGET_WEIGHTS, R.TARGET_EXCLUDE)} FROM cat
-  UNION ALL SELECT table_name, ordinal, n, 'item', {_score(R.ITEM_WEIGHTS, R.ITEM_EXCLUDE)} FROM cat
-  UNION ALL SELECT table_name, ordinal, n, 'group', {_score(R.GROUP_WEIGHTS, R.ITEM_EXCLUDE)} FROM cat
+  SELECT table_name, ordinal, n AS column_name, 'date' AS role, {_score(DATE_WEIGHTS)} AS score FROM cat
+  UNION ALL SELECT table_name, ordinal, n, 'target', {_score(TARGET_WEIGHTS, TARGET_EXCLUDE)} FROM cat
+  UNION ALL SELECT table_name, ordinal, n, 'item', {_score(ITEM_WEIGHTS, ITEM_EXCLUDE)} FROM cat
+  UNION ALL SELECT table_name, ordinal, n, 'group', {_score(GROUP_WEIGHTS, ITEM_EXCLUDE)} FROM cat
 )
-SELECT * FROM s WHERE score > 0"""
+SELECT s.*, non_null, distinct_values FROM s JOIN prof p ON p.table_name = s.table_name AND p.name = s.column_name WHERE score > 0"""
 
 
 def _exact(names):
@@ -54,31 +109,36 @@ def _names(cond):
     return f"COALESCE(string_agg(n, ',' ORDER BY ordinal) FILTER (WHERE {cond}), '')"
 
 
-_SALES = f"({_any(R.SALES_TOKENS)} AND NOT {_any(R.TARGET_EXCLUDE)})"
+_SALES = f"({_any(SALES_TOKENS)} AND NOT {_any(TARGET_EXCLUDE)})"
 
 ROLE_DETECTION_SQL = f"""WITH {CATALOG_CTE.strip()},
+{PROFILE_CTE},
 d AS (
   SELECT table_name,
-    COALESCE({_exact(R.DATE_NAMES)}, {_best(R.DATE_WEIGHTS)}) AS date_column,
+    COALESCE({_exact(DATE_NAMES)}, {_best(DATE_WEIGHTS)}) AS date_column,
     MAX(CASE WHEN n = 'year' THEN n END) AS year_column,
     MAX(CASE WHEN n = 'month' THEN n END) AS month_column,
     MAX(CASE WHEN n = 'sale_time' THEN n END) AS time_column,
-    COALESCE({_exact(R.TARGET_NAMES)}, {_best(R.TARGET_WEIGHTS, R.TARGET_EXCLUDE)}) AS target_column,
-    COALESCE({_exact(R.ITEM_NAMES)}, {_best(R.ITEM_WEIGHTS, R.ITEM_EXCLUDE)}) AS item_column,
-    COALESCE({_exact(R.GROUP_NAMES)}, {_best(R.GROUP_WEIGHTS, R.ITEM_EXCLUDE)}) AS item_group_column,
+    COALESCE({_exact(TARGET_NAMES)}, {_best(TARGET_WEIGHTS, TARGET_EXCLUDE)}) AS target_column,
+    COALESCE({_exact(ITEM_NAMES)}, {_best(ITEM_WEIGHTS, ITEM_EXCLUDE)}) AS item_column,
+    COALESCE({_exact(GROUP_NAMES)}, {_best(GROUP_WEIGHTS, ITEM_EXCLUDE)}) AS item_group_column,
     {_names(_SALES)} AS sales_columns,
-    {_names(_any(R.DATE_CANDIDATE_TOKENS))} AS date_candidates,
+    {_names(_any(DATE_CANDIDATE_TOKENS))} AS date_candidates,
     {_names(_SALES)} AS target_candidates,
-    {_names(_any(R.ITEM_CANDIDATE_TOKENS))} AS item_candidates
+    {_names(_any(ITEM_CANDIDATE_TOKENS))} AS item_candidates
   FROM cat GROUP BY table_name
 )
-SELECT *, (target_column IS NOT NULL AND (date_column IS NOT NULL OR (year_column IS NOT NULL AND month_column IS NOT NULL))) AS can_auto_detect
+SELECT d.*, (target_column IS NOT NULL AND (date_column IS NOT NULL OR (year_column IS NOT NULL AND month_column IS NOT NULL))) AS can_auto_detect,
+  COALESCE((SELECT non_null FROM prof p WHERE p.table_name = d.table_name AND name = date_column), 0) AS date_values,
+  COALESCE((SELECT non_null FROM prof p WHERE p.table_name = d.table_name AND name = target_column), 0) AS target_values,
+  COALESCE((SELECT distinct_values FROM prof p WHERE p.table_name = d.table_name AND name = item_column), 0) AS distinct_items,
+  COALESCE((SELECT distinct_values FROM prof p WHERE p.table_name = d.table_name AND name = item_group_column), 0) AS distinct_groups
 FROM d"""
 
-CONTEXT_SQL = f"WITH {CATALOG_CTE.strip()}\n" + "\nUNION ALL\n".join(
-    f"SELECT table_name, '{tag}' AS tag, {i} AS tag_order, string_agg(n, ',' ORDER BY ordinal) AS columns "
-    f"FROM cat WHERE {_any(toks)} GROUP BY table_name"
-    for i, (tag, toks) in enumerate(R.CONTEXT_TAGS.items()))
+CONTEXT_SQL = f"WITH {CATALOG_CTE.strip()},\n{PROFILE_CTE}\n" + "\nUNION ALL\n".join(
+    f"SELECT table_name, '{tag}' AS tag, {i} AS tag_order, string_agg(n, ',' ORDER BY ordinal) AS columns, "
+    f"SUM(non_null)::BIGINT AS non_null FROM cat JOIN prof USING (table_name) WHERE column_name = name AND {_any(toks)} GROUP BY table_name"
+    for i, (tag, toks) in enumerate(CONTEXT_TAGS.items()))
 
 
 # ---------------------------------------------------------------- cleaning on retail_dirty
