@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfcast.operators import monthly as mo
 from shelfcast.operators.cleaning import CleanResult, clean
@@ -484,10 +485,50 @@ def _dirty_csv(spark, sf_dir) -> str:
 
     from shelfcast.session import ensure_checkpoint_dir
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv/{uuid.uuid4().hex}"
-    fx.retail_dirty(spark, sf_dir).write.options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, escape='"').csv(path)
+    note = F.concat(F.lit('5" ('), "l_partkey", F.lit('),\n"'), "item_code", F.lit('",'))
+    fx.retail_dirty(spark, sf_dir).withColumn("note", note).write.options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, escape='"').csv(path)
     return path
 
 
 @register("csv_scan", sr.CSV_SCAN_SQL)
 def q_csv_scan(spark, sf_dir):
     return read_csv(spark, _dirty_csv(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- S5-S7: a run stored and looked up
+from shelfcast.sources import runs as ru  # noqa: E402
+
+
+def _run_parts(spark, sf_dir, view: str) -> DataFrame:
+    """(part, name, value) of a run: overview, segments, seasonality, baseline forecast, and values JSON has no numbers for."""
+    c = clean_view(spark, sf_dir, view)
+    target = c.schema.target_column
+    series = mo.monthly_series(c.frame, target)
+    piece = lambda df, part, name, value: df.select(F.lit(part).alias("part"), name.cast("string").alias("name"), value.cast("double").alias("value"))
+    over = ins.overview(c.frame, c.schema, target).select(F.explode(F.create_map(
+        *[x for k in ("row_count", "target_sum", "target_mean", "item_count") for x in (F.lit(k), F.col(k).cast("double"))])))
+    odd = c.frame.agg(F.avg(target).alias("mean"), (F.max(target) * float("inf")).alias("inf"), (F.max(target) * float("nan")).alias("nan"))
+    odd = odd.select(F.explode(F.create_map(*[x for k in ("mean", "inf", "nan") for x in (F.lit(k), F.col(k))])))
+    parts = [piece(over, "overview", F.col("key"), F.col("value")),
+             piece(ins.top_segments(c.frame, c.schema, target), "segment", F.col("name"), F.col("value")),
+             piece(ins.seasonal_pattern(series), "seasonal", F.col("month_num"), F.col("target")),
+             piece(ev.baseline_forecast(series.select("date", "target")), "forecast", F.date_format("date", "yyyy-MM"), F.col("value")),
+             piece(odd, "odd", F.col("key"), F.col("value"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("run_store_roundtrip", sq.run_store_sql())
+def q_run_store(spark, sf_dir):
+    import uuid
+
+    from shelfcast.session import ensure_checkpoint_dir
+    store = f"{ensure_checkpoint_dir(spark).rstrip('/')}/runs/{uuid.uuid4().hex}"
+    for run_id, view in (("whole", "retail"), ("gaps", "retail_gaps")):
+        parts = _run_parts(spark, sf_dir, view).withColumn("run_id", F.lit(run_id))
+        ru.save_run(parts.groupBy("run_id").agg(F.collect_list(F.struct("part", "name", "value")).alias("parts")), store)
+    kept = "run_id string, parts array<struct<part:string,name:string,value:double>>"
+    loaded = [ru.load_run(spark, store, r, T._parse_datatype_string(kept)).select("run_id", F.inline("parts")) for r in ("whole", "gaps")]
+    return loaded[0].unionByName(loaded[1])

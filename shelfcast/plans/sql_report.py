@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from shelfcast.plans import sql_features as sf_
 from shelfcast.plans import sql_insights as si
-from shelfcast.plans.sql_monthly import monthly_dense_sql, monthly_meta_sql
+from shelfcast.plans.fixtures import RETAIL_GAPS_SQL, RETAIL_SQL
+from shelfcast.plans.sql_monthly import clean_cte, dense_ctes, monthly_dense_sql, monthly_meta_sql, totals_ctes, with_ctes
 
 
 # Words of the question rules, in the order in which the rules are tried.
@@ -136,3 +137,27 @@ SELECT item_type, label,
   beats AS beats_baseline, is_base AS selected_is_baseline, baseline_model, baseline_rmse, rmse AS best_model_rmse,
   r2 AS best_model_r2, mape AS best_model_mape, sparse AS sparse_series
 FROM conf"""
+
+
+def run_store_sql() -> str:
+    """What comes back from the run store: values at four digits, none for NaN and infinities."""
+    ahead = sf_.baseline_forecast_sql().removeprefix(sf_._monthly())
+    ctes, forecast = ahead.rsplit("\nSELECT ", 1)
+    runs = []
+    for run_id, view, sources in (("whole", "retail", [RETAIL_SQL]), ("gaps", "retail_gaps", [RETAIL_SQL, RETAIL_GAPS_SQL])):
+        two = lambda x: f"ROUND(CAST({x} AS DECIMAL(38,10)), 2)"
+        runs.append("SELECT * FROM (" + with_ctes(*sources, clean_cte(view), totals_ctes(), dense_ctes()) + ctes + f"""
+, bfc AS (SELECT {forecast}),
+seg AS (SELECT item_type AS name, SUM(retail_sales) AS value FROM clean GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 6),
+parts AS (
+  SELECT 'overview' AS part, 'row_count' AS name, COUNT(*)::DOUBLE AS value FROM clean
+  UNION ALL SELECT 'overview', 'target_sum', {two('SUM(retail_sales)')} FROM clean
+  UNION ALL SELECT 'overview', 'target_mean', {two('AVG(retail_sales)')} FROM clean
+  UNION ALL SELECT 'overview', 'item_count', COUNT(DISTINCT item_code) FROM clean
+  UNION ALL SELECT 'segment', name, {two('value')} FROM seg
+  UNION ALL SELECT 'seasonal', CAST(month(date) AS VARCHAR), AVG(target) FROM dense GROUP BY month(date)
+  UNION ALL SELECT 'forecast', strftime(date, '%Y-%m'), value FROM bfc
+  UNION ALL SELECT 'odd', 'mean', AVG(retail_sales) FROM clean
+  UNION ALL SELECT 'odd', 'inf', NULL UNION ALL SELECT 'odd', 'nan', NULL)
+SELECT '{run_id}' AS run_id, part, name, {sf_.rd('value', 4)} AS value FROM parts)""")
+    return "\nUNION ALL\n".join(runs)

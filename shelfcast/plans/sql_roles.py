@@ -241,7 +241,7 @@ CSV_SCAN_SQL = "WITH " + RETAIL_DIRTY_SQL.strip() + """
 SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
        CAST(l_partkey AS BIGINT) AS l_partkey, CAST(l_suppkey AS BIGINT) AS l_suppkey,
        sale_date, retail_sales, CAST(item_code AS BIGINT) AS item_code, NULLIF(item_type, 'nan') AS item_type,
-       CAST(warehouse_sales AS DOUBLE) AS warehouse_sales
+       CAST(warehouse_sales AS DOUBLE) AS warehouse_sales, '5" (' || l_partkey || '),' || chr(10) || '"' || item_code || '",' AS note
 FROM retail_dirty"""
 
 

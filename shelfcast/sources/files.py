@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.functions.exprs import NA_TOKENS, na_to_null, to_double
 from shelfcast.session import materialize
+from shelfcast.sources.records import parse, records
 
 
 def infer_numeric(df: DataFrame) -> DataFrame:
@@ -50,17 +51,19 @@ def infer_numeric(df: DataFrame) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, infer: bool = True, multi_line: bool = True) -> DataFrame:
     """Header row, missing-value tokens -> null, columns typed.
 
-    Quoted fields may hold commas, doubled quotes and line breaks.  Files with line breaks in
-    fields are read one per task, in one pass: the parsed rows are written once as Parquet, from
-    which types are inferred and rows read.  ``multi_line=False`` splits large files where fields
-    have none.
-    Each file's header must name the columns in the same order.
+    Quoted fields may hold commas, doubled quotes and line breaks; large files are read in splits
+    all the same (see ``records``).  The parsed rows are written once as Parquet, from which types
+    are inferred and rows read.  ``multi_line=False`` leaves the files to the plain scan, where no
+    field has a line break.  Each file's header must name the columns in the same order.
     """
-    raw = (spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False)
-           .option("escape", '"').option("multiLine", multi_line).option("mode", "PERMISSIVE").csv(path))
-    raw = raw.select(*[na_to_null(F.col(f"`{c}`"), NA_TOKENS).alias(c) for c in raw.columns])
-    if multi_line:
-        # by position: Parquet is written under plain names
-        names = raw.columns
-        raw = materialize(raw.toDF(*[f"c{i}" for i in range(len(names))]), "table").toDF(*names)
-    return infer_numeric(raw) if infer else raw
+    scan = (spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False)
+            .option("escape", '"').option("mode", "PERMISSIVE"))
+    if not multi_line:
+        raw = scan.csv(path)
+        raw = raw.select(*[na_to_null(F.col(f"`{c}`"), NA_TOKENS).alias(c) for c in raw.columns])
+        return infer_numeric(raw) if infer else raw
+    names = scan.option("multiLine", True).csv(path).columns  # reads a header, not the files
+    rows = parse(records(spark, path, names), names)
+    # by position: Parquet is written under plain names
+    rows = materialize(rows.select(*[na_to_null(F.col(c), NA_TOKENS).alias(c) for c in rows.columns]), "table").toDF(*names)
+    return infer_numeric(rows) if infer else rows
