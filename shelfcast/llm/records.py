@@ -15,6 +15,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -88,6 +89,7 @@ class LibraryEncoder:
         special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special = re.compile(f"({'|'.join(map(re.escape, special))})") if special else None
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.kind = "H" if self.dtype.itemsize == 2 else "I"
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -99,18 +101,20 @@ class LibraryEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
-        known, older, cut = self.known, self.older, [self.cut(t) for t in texts]
-        missing = set().union(*cut).difference(known)
+        known, older, cuts = self.known, self.older, [self.cut(t) for t in texts]
+        found = [list(map(known.get, cut)) for cut in cuts]
+        gaps = [[i for i, ids in enumerate(ids_of) if ids is None] if None in ids_of else () for ids_of in found]
+        missing = {cut[i] for cut, gap in zip(cuts, gaps) for i in gap}
         again = missing & older.keys()
-        known.update((m, older[m]) for m in again)
+        fresh = {m: older[m] for m in again}
         missing = list(missing - again)
-        encoded = self.tokenizer.encode_batch(missing, add_special_tokens=False)
-        known.update((m, np.array(e.ids, self.dtype).tobytes()) for m, e in zip(missing, encoded))
-        out = [b"".join(map(known.__getitem__, c)) for c in cut]
-        for m in missing:
-            if len(m) > REMEMBERED_CHARS:
-                del known[m]
-        return out
+        for m, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
+            fresh[m] = array(self.kind, e.ids).tobytes()
+        for cut, ids_of, gap in zip(cuts, found, gaps):
+            for i in gap:
+                ids_of[i] = fresh[cut[i]]
+        known.update((m, ids) for m, ids in fresh.items() if len(m) <= REMEMBERED_CHARS)
+        return [b"".join(ids_of) for ids_of in found]
 
 
 @lru_cache(maxsize=2)
