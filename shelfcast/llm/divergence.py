@@ -17,7 +17,7 @@ MIN_DOCS = 10
 TOP = 10
 SCALE = 10 ** 9
 #: Distinct (group, term) pairs a task counts before it hands them on.
-HELD_TERMS = 200_000
+HELD_TERMS = 500_000
 #: Shares (sources x terms) in the table of one block of terms.
 BLOCK_CELLS = 1 << 16
 #: Rows of a group that a task holds before it reduces them to their skyband.
