@@ -19,3 +19,20 @@ def test_cheap_queries_return_rows_at_smoke_scale(spark):
     for name in ["monthly_sales", "overview", "recommendations", "features", "baseline_eval", "role_detection",
                  "answer_intents", "cleaning_summary"]:
         assert q[name](spark, SF001).count() > 0, name
+
+
+def test_registry_without_the_pipeline_operators(tmp_path):
+    """The other queries stay registered where the subpackage is gone, or only its empty folder is left."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{root}/shelfcast", tmp_path / "shelfcast", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as E; from shelfcast.plans.queries import QUERIES, ORACLE_SQL; assert E.queries().keys() == QUERIES.keys() and E.oracle_sql() == ORACLE_SQL; print(len(QUERIES))"
+    for left in (False, True):
+        if left:
+            (tmp_path / "shelfcast" / "llm").mkdir()
+        run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": ""})
+        assert run.returncode == 0 and int(run.stdout) >= 60, run.stderr
