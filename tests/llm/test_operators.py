@@ -68,6 +68,22 @@ def test_jump_hash_moves_only_into_the_new_shard():
         assert ((a == b) | (b == n)).all() and abs((b == n).mean() - 1 / (n + 1)) < 0.02
 
 
+def scalar_jump(key, n):
+    """The published loop, one key at a time."""
+    b, j = -1, 0
+    while j < n:
+        b = j
+        key = (key * 2862933555777941757 + 1) % 2 ** 64
+        j = int((b + 1) * (2 ** 31 / ((key >> 33) + 1)))
+    return b
+
+
+def test_jump_hash_equals_the_scalar_loop():
+    keys = np.random.default_rng(8).integers(0, 2 ** 64, 3000, dtype=np.uint64)
+    for n in (1, 2, 39, 40, 41, 1000):
+        assert sharding.jump_hash(keys, n).tolist() == [scalar_jump(int(k), n) for k in keys]
+
+
 def fold(t):
     return (t or "").encode().translate(near_dedup.FOLD)
 
