@@ -39,12 +39,17 @@ BROADCAST_IDS = 1_000_000
 #: Pairs whose sketches agree in fewer positions are not compared on their sets: five standard
 #: deviations below the threshold (0.8 of 64 positions, deviation 3.2), a loss of 1.2 in a million.
 LEAST_AGREEING = 35
-#: The longer sketches of documents in nodes that do not split, and their least agreement: a loss of
-#: 0.5 in a million.
-WIDE, LEAST_WIDE = 256, 172
+#: One-bit minwise values of documents in nodes that do not split, and their least agreement: at the
+#: threshold a bit agrees with probability 0.9, so that 4 pairs in ten million are missed.
+WIDE, LEAST_WIDE = 1024, 872
+#: Documents and shingles of a block of such a node.
+BLOCK, BLOCK_ITEMS = 4096, 2_000_000
+#: Shingles that are looked up in one set at once.
+LOOKUP_ITEMS = 1 << 18
 FOLD = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 _SEEDS = mix64(np.arange(1, 2 * SKETCH + 1, dtype=np.uint64))
 _MULTIPLY, _ADD = _SEEDS[:SKETCH] | np.uint64(1), _SEEDS[SKETCH:]
+_WIDE = mix64(np.arange(1000, 1000 + WIDE, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingle_set(text: bytes, k: int, known: WordHashes) -> np.ndarray:
@@ -168,33 +173,78 @@ def similar_units(frame: DataFrame) -> DataFrame:
     return by_node(frame.select("node", "cls", "comp", "sketch", "n"), "node").mapInArrow(run, "unit bigint, cls bigint, comp bigint").distinct()
 
 
-def similar_stars(frame: DataFrame) -> DataFrame:
-    """(node, cls, comp, wide, n, odd) -> distinct (unit, cls, comp), for nodes that do not split.
+def similar_pairs(frame: DataFrame) -> DataFrame:
+    """(pair, node, cls, comp, odd, own, other, n, wide, nodes) -> (pair, cls, comp, partners), of nodes that do not split.
 
-    Pairs of different components, one of them odd, make a unit named by the odd document and a part
-    of the hash of the other: a pair met in many nodes counts once, and a document that is similar to
-    very many has a unit for every part.
+    Documents of the block marked ``own`` are compared with those marked ``other`` by their bits.  A
+    pair met in several nodes counts in the smallest of them.  A row with ``partners`` lists a
+    document's partners; each document of a listed pair has one row without.
     """
 
     def run(batches):
-        for group in groups(batches, "node"):
-            sketch = np.frombuffer(b"".join(group.column("wide").to_pylist()), np.uint16).reshape(-1, WIDE)
-            cls, comp, size, odd = (group.column(c).to_numpy() for c in ("cls", "comp", "n", "odd"))
-            parts = mix64(cls.view(np.uint64)) >> np.uint64(58)
-            found = []
-            for i in np.flatnonzero(odd).tolist():
-                near = np.count_nonzero(sketch == sketch[i], axis=1) >= LEAST_WIDE
-                near &= (100 * np.minimum(size, size[i]) >= THRESHOLD_PERCENT * np.maximum(size, size[i])) & (comp != comp[i])
-                j = np.flatnonzero(near & (~odd | (cls > cls[i])))
-                if len(j):
-                    unit = mix64(np.full(len(j), cls[i]).view(np.uint64) ^ mix64(parts[j] + np.uint64(1)))
-                    own = np.unique(unit)
-                    found += [(unit, cls[j], comp[j]), (own, np.full(len(own), cls[i]), np.full(len(own), comp[i]))]
+        for group in groups(batches, "pair"):
+            cls, comp, size, odd, own, other = (group.column(c).to_numpy() for c in ("cls", "comp", "n", "odd", "own", "other"))
+            bits = np.frombuffer(b"".join(group.column("wide").to_pylist()), np.uint64).reshape(-1, WIDE // 64)
+            pair, node = group.column("pair")[0].as_py(), group.column("node")[0].as_py()
+            earlier = [{x for x in nodes if x < node} for nodes in group.column("nodes").to_pylist()]
+            others, found, met = np.flatnonzero(other), [], set()
+            for i in np.flatnonzero(own).tolist():
+                n = size[others]
+                j = others[(comp[others] != comp[i]) & (~odd[others] | (cls[others] > cls[i]))
+                           & (100 * np.minimum(n, size[i]) >= THRESHOLD_PERCENT * np.maximum(n, size[i]))]
+                j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64) <= WIDE - LEAST_WIDE].tolist()
+                j = [x for x in j if earlier[i].isdisjoint(earlier[x])]
+                if j:
+                    found.append((cls[i], comp[i], cls[j].tobytes()))
+                    met.update(j, [i])
+            found += [(cls[i], comp[i], None) for i in met]
             if found:
-                unit, c, p = map(np.concatenate, zip(*found))
-                yield pa.RecordBatch.from_arrays([pa.array(unit.view(np.int64)), pa.array(c), pa.array(p)], ["unit", "cls", "comp"])
+                c, p, partners = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array([pair] * len(c), pa.int64()), pa.array(c, pa.int64()), pa.array(p, pa.int64()),
+                                                  pa.array(partners, pa.binary())], ["pair", "cls", "comp", "partners"])
+
+    return by_node(frame, "pair").mapInArrow(run, "pair bigint, cls bigint, comp bigint, partners binary")
+
+
+def confirmed_pairs(found: DataFrame, classes: DataFrame, docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """(a, b): the links among the pairs of ``similar_pairs``, confirmed on the full shingle sets.
+
+    A task holds the sets of two blocks at most.  Pairs that confirmed links of the same blocks
+    already connect are not compared.
+    """
+    met = found.where("partners IS NULL").select("pair", "cls", "comp")
+    items = class_sets(met, classes, docs, k, id_col, text_col, np.ndarray.tobytes)
+    rows = (met.join(items, "cls").select("pair", "cls", "comp", "items", F.lit(None).cast("binary").alias("partners"))
+            .unionByName(found.where("partners IS NOT NULL").withColumn("items", F.lit(None).cast("binary"))))
+
+    def confirm(batches):
+        for group in groups(batches, "pair"):
+            sets, lists, first, at = {}, [], {}, {}
+            for c, p, x, partners in zip(*(group.column(n).to_pylist() for n in ("cls", "comp", "items", "partners"))):
+                if partners is not None:
+                    lists.append((c, np.frombuffer(partners, np.int64).tolist()))
+                elif c not in sets:
+                    sets[c] = np.frombuffer(x, np.uint64)
+                    at[c] = first.setdefault(p, len(first))
+            forest, out = Forest(len(first)), []
+            for a, partners in lists:
+                x = sets[a]
+                step = max(1, LOOKUP_ITEMS // (2 * len(x)))  # a partner has at most 1.25 times the shingles
+                for s in range(0, len(partners), step):
+                    todo = [b for b in partners[s:s + step] if forest.find(at[a]) != forest.find(at[b])]
+                    if not todo:
+                        continue
+                    sizes = np.array([len(sets[b]) for b in todo])
+                    flat = np.concatenate([sets[b] for b in todo])
+                    hit = x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat
+                    both = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
+                    for i in np.flatnonzero(100 * both >= THRESHOLD_PERCENT * (len(x) + sizes - both)).tolist():
+                        if forest.join(at[a], at[todo[i]]):
+                            out.append((a, todo[i]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in zip(*out)], ["a", "b"])
 
-    return by_node(frame.select("node", "cls", "comp", "wide", "n", "odd"), "node").mapInArrow(run, "unit bigint, cls bigint, comp bigint").distinct()
+    return by_node(rows, "pair").mapInArrow(confirm, "a bigint, b bigint")
 
 
 def class_sets(named: DataFrame, classes: DataFrame, docs: DataFrame, k: int, id_col: str, text_col: str, make) -> DataFrame:
@@ -221,11 +271,11 @@ def class_sets(named: DataFrame, classes: DataFrame, docs: DataFrame, k: int, id
 
 
 def wide_sketch(items: np.ndarray) -> bytes:
-    """``WIDE`` minwise tokens of 16 bits."""
-    out = np.empty(WIDE, np.uint16)
-    for i, seed in enumerate(mix64(np.arange(1000, 1000 + WIDE, dtype=np.uint64)) | np.uint64(1)):
-        out[i] = int((items * seed).min()) >> 16 & 0xFFFF if len(items) else 0
-    return out.tobytes()
+    """One bit of each of ``WIDE`` minwise values."""
+    least = np.full(WIDE, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(items), 256):
+        np.minimum(least, (items[at:at + 256, None] * _WIDE).min(axis=0), out=least)
+    return np.packbits((least >> np.uint64(24)).astype(np.uint8) & 1).tobytes()
 
 
 def exact_links(units: DataFrame, classes: DataFrame, docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
@@ -297,27 +347,30 @@ def in_chunks(large: DataFrame, limit: int) -> DataFrame:
     return large.select(F.xxhash64("node", F.pmod(F.xxhash64("cls", F.lit(7)), chunks)).alias("node"), "cls", "comp").unionByName(first).distinct()
 
 
-def across_blocks(large: DataFrame, limit: int) -> DataFrame:
-    """What is left of nodes that do not split: every pair of different components, block by block.
+def across_blocks(rest: DataFrame, block: int) -> DataFrame:
+    """(node, cls, comp, n) of nodes that do not split -> every pair of different components, block by block.
 
-    The node's largest component is not compared with itself: each block of the other documents
-    meets every block of the node, so all pairs that could still join two components are compared.
+    The node's largest component is not compared with itself: each block that has other documents,
+    marked ``odd``, meets every block of the node, so all pairs that could still join two
+    components are compared.  Rows of a pair of blocks share ``pair``; ``own`` marks the odd
+    documents of the first block and ``other`` all documents of the second.
     """
-    counts = large.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n"))
-    main = counts.groupBy("node").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-    rows = large.join(main, "node").withColumn("block", F.pmod(F.xxhash64("cls", F.lit(11)), F.ceil(F.col("size") / F.lit(limit))))
-    others = rows.where("comp <> main")
-    blocks = rows.select("node", "block").distinct()
-    odd = others.select("node", F.col("block").alias("odd")).distinct()
-    pair = F.xxhash64("node", "odd", "block").alias("node")
-    side_a = rows.join(odd, "node").select(pair, "cls", "comp", (F.col("comp") != F.col("main")).alias("odd"))
-    side_b = others.select("node", F.col("block").alias("odd"), "cls", "comp").join(blocks, "node").select(pair, "cls", "comp", F.lit(True).alias("odd"))
-    return side_a.unionByName(side_b).distinct()
+    counts = rest.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("items"))
+    blocks = F.ceil(F.greatest(F.sum("m") / F.lit(block), F.sum("items") / F.lit(BLOCK_ITEMS)))
+    nodes = counts.groupBy("node").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), blocks.alias("blocks"))
+    rows = store(rest.join(nodes, "node").select(
+        "node", "cls", "comp", "n", "blocks", F.pmod(F.xxhash64("cls", F.lit(11)), "blocks").alias("block"), (F.col("comp") != F.col("main")).alias("odd")))
+    first = rows.where("odd").select("node", F.col("block").alias("first")).distinct()
+    pair = F.xxhash64("node", "first", "block").alias("pair")
+    same = (F.col("first") == F.col("block")) & F.col("odd")
+    second = rows.join(first, "node").select(pair, "node", "cls", "comp", "n", "odd", same.alias("own"), F.lit(True).alias("other"))
+    rows = rows.where("odd AND blocks > 1").withColumnRenamed("block", "first").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return second.unionByName(rows.where("block <> first").select(pair, "node", "cls", "comp", "n", "odd", F.lit(True).alias("own"), F.lit(False).alias("other")))
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text",
                     limit: int = NODE_LIMIT, passes: tuple[tuple[int, int], ...] = PASSES,
-                    keyed: bool = False) -> DataFrame:
+                    keyed: bool = False, block: int = BLOCK) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept; if ``keyed``, text_key too.
 
     Words are runs of characters other than space and control white space, A-Z lower-cased.  Texts
@@ -339,17 +392,18 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", t
         done += n
         if large is not None:
             compare.append(in_chunks(large, limit))
-            rest = large.select("node", "cls", "size")
+            rest = large.select("node", "cls")
         links, comps = join_up(compare, classes, docs, k, id_col, text_col, links, comps)
     if rest is not None:
         rest = store(with_component(rest, comps))
         mixed = rest.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("node")
-        rest = rest.join(mixed, "node")
+        rest = store(rest.join(mixed, "node").join(classes.select("cls", "n"), "cls"))
         if not rest.isEmpty():
+            nodes = rest.groupBy("cls").agg(F.collect_set("node").alias("nodes"))
             wide = store(class_sets(rest, classes, docs, k, id_col, text_col, wide_sketch).dropDuplicates(["cls"])
-                         .select("cls", F.col("items").alias("wide")).join(classes.select("cls", "n"), "cls"))
-            units = store(similar_stars(across_blocks(rest, 8 * limit).join(wide, "cls")))
-            links, comps = confirmed(units, classes, docs, k, id_col, text_col, links)
+                         .select("cls", F.col("items").alias("wide")).join(nodes, "cls"))
+            pairs = store(similar_pairs(across_blocks(rest, block).join(wide, "cls")))
+            links, comps = joined(confirmed_pairs(pairs, classes, docs, k, id_col, text_col), links)
     named = with_component(classes.select("cls", "rep"), comps)
     names = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = named.join(names.hint("merge"), "comp").select("cls", "component_id")
@@ -365,11 +419,11 @@ def join_up(compare, classes, docs, k, id_col, text_col, links, comps):
     for part in compare[1:]:
         frame = frame.unionByName(part)
     units = store(similar_units(frame.join(classes.select("cls", "sketch", "n"), "cls")))
-    return confirmed(units, classes, docs, k, id_col, text_col, links)
+    return joined(exact_links(units, classes, docs, k, id_col, text_col), links)
 
 
-def confirmed(units, classes, docs, k, id_col, text_col, links):
-    new = store(exact_links(units, classes, docs, k, id_col, text_col).distinct())
+def joined(new, links):
+    new = store(new.distinct())
     links = new if links is None else links.unionByName(new)
     return links, store(components(links, "a", "b").select(F.col("node").alias("cls"), F.col("component").alias("comp")))
 

@@ -127,9 +127,9 @@ def near_brute(rows, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("limit,passes", [(128, near_dedup.PASSES), (3, ((2, 1), (20, 2)))])
-def test_near_dedup(docs, empty, rows, limit, passes):
-    got = near_dedup.near_duplicates(docs, 4, limit=limit, passes=passes)
+@pytest.mark.parametrize("limit,passes,block", [(128, near_dedup.PASSES, 4096), (3, ((2, 1), (20, 2)), 4096), (2, ((2, 1), (20, 1)), 2)])
+def test_near_dedup(docs, empty, rows, limit, passes, block):
+    got = near_dedup.near_duplicates(docs, 4, limit=limit, passes=passes, block=block)
     assert sorted(map(repr, map(tuple, got.collect()))) == near_brute(rows, 4)
     if limit == 128:
         assert near_dedup.near_duplicates(empty).count() == 0
@@ -140,10 +140,19 @@ def test_near_dedup_compares_pairs_whose_sketches_agree_less(spark):
     b[35:] += 1000
     pair = spark.createDataFrame([(1, c, c, bytearray(x.tobytes()), 10) for c, x in ((1, a), (2, b))], "node long, cls long, comp long, sketch binary, n long")
     assert sorted(r.cls for r in near_dedup.similar_units(pair).collect()) == [1, 2]
-    a, b = np.arange(near_dedup.WIDE, dtype=np.uint16), np.arange(near_dedup.WIDE, dtype=np.uint16)
-    b[172:] += 1000
-    pair = spark.createDataFrame([(1, c, c, bytearray(x.tobytes()), 10, c == 1) for c, x in ((1, a), (2, b))], "node long, cls long, comp long, wide binary, n long, odd boolean")
-    assert sorted(r.cls for r in near_dedup.similar_stars(pair).collect()) == [1, 2]
+    bits = np.zeros((3, near_dedup.WIDE), np.uint8)
+    bits[1, :near_dedup.WIDE - near_dedup.LEAST_WIDE] = 1
+    bits[2, :near_dedup.WIDE - near_dedup.LEAST_WIDE + 1] = 1
+    schema = "pair long, node long, cls long, comp long, odd boolean, own boolean, other boolean, n long, wide binary, nodes array<long>"
+
+    def found(nodes):
+        rows = [(1, 5, c, c, c == 0, c == 0, True, 10, bytearray(np.packbits(x).tobytes()), n) for c, (x, n) in enumerate(zip(bits, nodes))]
+        got = near_dedup.similar_pairs(spark.createDataFrame(rows, schema)).collect()
+        return ([(r.cls, np.frombuffer(r.partners, np.int64).tolist()) for r in got if r.partners], sorted(r.cls for r in got if not r.partners))
+
+    assert found([[5], [5], [5]]) == ([(0, [1])], [0, 1])
+    assert found([[3, 5], [4, 5, 6], [5]]) == ([(0, [1])], [0, 1])
+    assert found([[3, 5], [3, 5], [5]]) == ([], [])  # met in node 3
 
 
 def test_components_of_a_long_chain(spark):
