@@ -2,8 +2,7 @@
 
 ``analyze`` returns lazy DataFrames for every part of the result plus a
 one-row run document.  With ``series_keys`` every monthly-level table carries
-the keys and models are pooled per length class; the run document is built
-for the single-series case (one per upload, like the reference).
+the keys, and there is one run document per series (else one per upload).
 """
 
 from __future__ import annotations
@@ -11,10 +10,12 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from shelfcast.functions.exprs import float_text
 from shelfcast.operators import evaluate as ev
@@ -149,16 +150,32 @@ def run_row(a: Analysis, keys: Sequence[str] | None = None) -> DataFrame:
     return out
 
 
-def run_document(a: Analysis, file_name: str = "", size_bytes: int = 0) -> DataFrame:
-    """The nested run result (one row), ready for :func:`shelfcast.sources.save_run`."""
-    rid = a.run_id
-    sc = a.schema
+def _assembled(pieces: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """One row per ``keys`` (one row without keys) that holds the column of every piece."""
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), pieces)
+    first = [F.first(c, ignorenulls=True).alias(c) for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(*first)
+
+
+def _record(df: DataFrame, name: str, keys: Sequence[str] = (), *more) -> DataFrame:
+    return df.select(*keys, F.struct(*[F.col(c) for c in df.columns if c not in keys], *more).alias(name))
+
 
-    def arr(df: DataFrame, name: str, order: list[str]):
-        cols = [c for c in df.columns]
-        return _one(df.agg(F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order + [c for c in cols if c not in order]])))
-                           .alias(name)), rid)
+def _records(df: DataFrame, name: str, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    cols = [*order, *[c for c in df.columns if c not in (*order, *keys)]]
+    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
 
+
+def run_document(a: Analysis, file_name: str = "", size_bytes: int = 0, keys: Sequence[str] | None = None) -> DataFrame:
+    """The nested run result, ready for :func:`shelfcast.sources.save_run`: one row, or one per
+    series when ``keys`` are given.
+
+    The parts of a series are united and grouped once by the keys.  What describes the whole run
+    (roles, cleaning, overview, the first 12 rows, the top lists) is one small row; it is fetched
+    and stands in every document.
+    """
+    keys = list(keys or [])
+    sc = a.schema
     schema_row = a.cleaning.summary.sparkSession.createDataFrame(
         [(sc.date_column, sc.year_column, sc.month_column, sc.time_column, sc.target_column, sc.item_column,
           sc.item_group_column, list(sc.sales_columns), list(sc.date_candidates), list(sc.target_candidates),
@@ -166,34 +183,37 @@ def run_document(a: Analysis, file_name: str = "", size_bytes: int = 0) -> DataF
         "date_column string, year_column string, month_column string, time_column string, target_column string, "
         "item_column string, item_group_column string, sales_columns array<string>, date_candidates array<string>, "
         "target_candidates array<string>, item_candidates array<string>, can_auto_detect boolean")
+    context = a.cleaning.summary.sparkSession.createDataFrame(
+        [([(t, list(c)) for t, c in sc.context_columns],)], "context_columns array<struct<type: string, columns: array<string>>>")
+    columns = F.array(*[F.lit(c) for c in a.cleaning.frame.columns]).alias("columns")
+    rank = F.monotonically_increasing_id().alias("rank")
+    whole = _assembled([
+        _record(schema_row, "schema"), context, _record(a.cleaning.summary, "cleaning_summary"),
+        _record(a.overview.drop("columns"), "overview", (), columns),
+        _records(ins.preview(a.cleaning.frame).select(rank, F.struct("*").alias("row")), "preview_rows", ["rank"])
+        .select(F.transform("preview_rows", lambda r: r["row"]).alias("preview_rows")),
+        _records(a.recommendations.select(rank, "*"), "recommendations", ["rank"]),
+        _records(a.top_segments.select(rank, "*"), "top_segments", ["rank"])], [])
+    dated = F.date_format("date", "yyyy-MM-dd").alias("date")
+    order = F.array_position(F.array(*[F.lit(m) for m in fc.MODEL_ORDER]), F.col("model")).alias("o")
     pieces = [
-        _one(schema_row.select(F.struct("*").alias("schema")), rid),
-        _one(a.cleaning.summary.select(F.struct("*").alias("cleaning_summary")), rid),
-        _one(a.overview.select(F.struct("*").alias("overview")), rid),
-        _one(a.meta.select(F.struct("*").alias("monthly_meta")), rid),
-        _one(a.confidence.select(F.struct("*").alias("confidence_summary")), rid),
-        arr(a.monthly.select(F.date_format("date", "yyyy-MM-dd").alias("date"), F.col("target").alias("value")),
-            "monthly_series", ["date"]),
-        arr(a.results.withColumn("o", F.array_position(F.array(*[F.lit(m) for m in fc.MODEL_ORDER]), F.col("model")))
-            .select("o", "model", "mae", "rmse", "mape", "r2", "status", "reason"), "model_results", ["o"]),
-        _one(a.best.select(F.struct("*").alias("best_model")), rid),
-        arr(a.forecast_summary.select(F.date_format("date", "yyyy-MM-dd").alias("date"), "value"),
-            "forecast_summary", ["date"]),
-        arr(a.forecasts.select("model", F.date_format("date", "yyyy-MM-dd").alias("date"), "value"),
-            "forecasts", ["model", "date"]),
-        arr(a.recommendations.select(F.monotonically_increasing_id().alias("rank"), "*"), "recommendations", ["rank"]),
-        arr(a.top_segments.select(F.monotonically_increasing_id().alias("rank"), "*"), "top_segments", ["rank"]),
-        _one(a.trend.select(F.struct("*").alias("trend")), rid),
-        _one(a.anomalies.select(F.struct("*").alias("anomalies")), rid),
-        _one(a.peak_low.select(F.struct("*").alias("peak_low")), rid),
-        arr(a.seasonal, "seasonal_pattern", ["month_num"]),
-    ]
-    doc = pieces[0]
-    for p in pieces[1:]:
-        doc = doc.join(p, "run_id", "left")
+        _record(a.meta, "monthly_meta", keys), _record(a.confidence, "confidence_summary", keys),
+        _records(a.monthly.select(*keys, dated, F.col("target").alias("value")), "monthly_series", ["date"], keys),
+        _records(a.results.select(*keys, order, "model", "mae", "rmse", "mape", "r2", "status", "reason"), "model_results", ["o"], keys),
+        _record(a.best, "best_model", keys),
+        _records(a.forecast_summary.select(*keys, dated, "value"), "forecast_summary", ["date"], keys),
+        _records(a.forecasts.select(*keys, "model", dated, "value"), "forecasts", ["model", "date"], keys),
+        _record(a.trend, "trend", keys), _record(a.anomalies, "anomalies", keys), _record(a.peak_low, "peak_low", keys),
+        _records(a.seasonal, "seasonal_pattern", ["month_num"], keys)]
     now = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S") + "Z"
-    return doc.select("run_id", F.struct(F.lit(file_name).alias("name"), F.lit(size_bytes).alias("size_bytes")).alias("file"),
-                      *[c for c in doc.columns if c != "run_id"], F.lit(now).alias("generated_at"))
+    text = whole.select(F.to_json(F.struct("*")).alias("j")).first()["j"]
+    run = F.from_json(F.lit(text), whole.schema)
+    series = _assembled(pieces, keys)
+    parts = [F.coalesce(F.col(f.name), F.array().cast(f.dataType)).alias(f.name) if isinstance(f.dataType, ArrayType) else F.col(f.name)
+             for f in series.schema.fields if f.name not in keys]
+    return series.select(F.lit(a.run_id).alias("run_id"), *keys,
+                         F.struct(F.lit(file_name).alias("name"), F.lit(size_bytes).alias("size_bytes")).alias("file"),
+                         *[run[c].alias(c) for c in whole.columns], *parts, F.lit(now).alias("generated_at"))
 
 
 def chat(a_run: DataFrame, questions: DataFrame, message_col: str = "message",

@@ -28,6 +28,14 @@ def test_analyze_end_to_end(spark):
     assert ans["hello"].startswith("This run used")
     doc = run_document(a, "retail.csv", 123)
     assert doc.count() == 1 and "monthly_series" in doc.columns
+    row, frame = doc.first(), a.cleaning.frame
+    assert len(row["preview_rows"]) == 12 and list(row["preview_rows"][0].asDict()) == frame.columns
+    assert row["overview"]["columns"] == frame.columns and row["overview"]["row_count"] == frame.count()
+    assert row["overview"]["target_sum"] == a.overview.first()["target_sum"]
+    assert [(c["type"], tuple(c["columns"])) for c in row["context_columns"]] == [(t, tuple(c)) for t, c in a.schema.context_columns]
+    assert row["cleaning_summary"]["duplicates_removed"] == a.cleaning.summary.first()["duplicates_removed"]
+    assert [r["item"] for r in row["recommendations"]] == [r["item"] for r in a.recommendations.collect()]
+    assert row["file"]["name"] == "retail.csv" and row["best_model"]["model"] == best["model"]
 
 
 def test_analyze_with_series_keys(spark):
@@ -43,3 +51,10 @@ def test_analyze_with_series_keys(spark):
     qs = run.select("run_id", "item_type", F.lit("What is the forecast?").alias("message"))
     ans = chat(run, qs, on=["run_id", "item_type"]).collect()
     assert len(ans) == n_types and all(r["answer"].startswith("The current 3-month forecast") for r in ans)
+    docs = run_document(a, "retail.csv", 123, ["item_type"])
+    docs = docs.collect()
+    assert len(docs) == n_types and len({r["item_type"] for r in docs}) == n_types
+    assert all(len(r["model_results"]) == 4 and len(r["forecast_summary"]) == 3 and r["best_model"]["model"] for r in docs)
+    assert all(r["preview_rows"] == docs[0]["preview_rows"] and len(r["preview_rows"]) == 12 for r in docs)
+    months = {r["item_type"]: r["n"] for r in a.monthly.groupBy("item_type").agg(F.count("*").alias("n")).collect()}
+    assert all(len(r["monthly_series"]) == months[r["item_type"]] for r in docs)
