@@ -57,7 +57,8 @@ def exact_duplicates(docs: DataFrame, keep: str = "largest", id_col: str = "doc_
     ``FAN_IN`` times as many slices, so that no round, not even the last, passes a run through one
     task.  Each level keeps the smallest or largest id of a key and its number of rows; a text
     that fills a third of the corpus is one entry per run.  Entries are equal only if SHA-256, an
-    independent 64-bit hash and the length agree.
+    independent 64-bit hash and the length agree.  One round is always made, as the part of a run
+    that a large file's split begins is merged apart; after the last, a key stands once.
 
     A null text is empty; a null id is never kept before another id, and a group of null ids only
     keeps all its rows.  Rows that repeat id and text are all marked alike.
@@ -72,15 +73,16 @@ def exact_duplicates(docs: DataFrame, keep: str = "largest", id_col: str = "doc_
     merge = merge_run(keep)
     entries = rows.select("run", F.lit(0).alias("slice"), *KEY, F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n"))
     level = entries.sortWithinPartitions("run", *KEY).mapInArrow(merge, schema)
-    slices = 1
-    while runs > 1:
+    prefix, slices = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long"), 1
+    while True:
         runs, slices = -(-runs // FAN_IN), slices * FAN_IN
-        prefix = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long")
         level = (level.withColumn("run", F.floor(F.col("run") / FAN_IN).cast("int"))
                  .withColumn("slice", F.floor(prefix * F.lit(slices) / F.lit(1 << 32)).cast("int"))
                  .repartition("run", "slice").sortWithinPartitions("run", "slice", *KEY)
                  .mapInArrow(merge, schema))
-    winners = level.groupBy(*KEY).agg((F.min if keep == "smallest" else F.max)("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
+        if runs == 1:
+            break
+    winners = level.select(*KEY, "keep_id", F.col("n").alias("group_size"))
     return rows.join(winners.hint("merge"), KEY).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"))

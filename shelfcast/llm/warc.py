@@ -24,6 +24,8 @@ FRAME_BYTES = 1 << 20
 #: A task begins a new bundle after so many bytes before compression.
 BUNDLE_BYTES = 1 << 30
 LEVEL = 3
+#: Neighbouring frames that one task reads, and such stretches to a task in a large archive.
+STRETCH, STRETCHES = 64, 4
 #: Fixed values of the seekable format: magic of the skippable frame and of its footer.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -66,14 +68,14 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
 class BundleWriter:
     """Writes records into frames; knows the place of each."""
 
-    def __init__(self, stream):
-        self.stream, self.compress = stream, zstandard.ZstdCompressor(level=LEVEL, write_content_size=True).compress
+    def __init__(self, stream, frame_bytes: int = FRAME_BYTES):
+        self.frame_bytes, self.stream, self.compress = frame_bytes, stream, zstandard.ZstdCompressor(level=LEVEL, write_content_size=True).compress
         self.frames: list[tuple[int, int]] = []
         self.held: list[bytes] = []
         self.size = self.total = 0
 
     def add(self, record: bytes) -> tuple[int, int]:
-        if self.size and self.size + len(record) > FRAME_BYTES:
+        if self.size and self.size + len(record) > self.frame_bytes:
             self.flush()
         place = len(self.frames), self.size
         self.held.append(record)
@@ -129,7 +131,7 @@ def read_record(folder: str, bundle: str, frame: int, offset: int) -> dict:
         return parse_record(BundleReader(f).frame(frame), offset)[0]
 
 
-def write_bundles(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
+def write_bundles(pages: DataFrame, folder: str, least: int = 0, frame_bytes: int = FRAME_BYTES) -> DataFrame:
     """Write all pages; return the stored index: record_id, page_id, bundle, frame, offset.
 
     Of records with equal payloads of at least ``least`` bytes (equal SHA-1 and length), that of the
@@ -165,7 +167,7 @@ def write_bundles(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
                 if writer is None:
                     system.create_dir(path, recursive=True)
                     name = f"bundle-{uuid.uuid4().hex}.warc.zst"
-                    writer = BundleWriter(system.open_output_stream(f"{path}/{name}", compression=None))
+                    writer = BundleWriter(system.open_output_stream(f"{path}/{name}", compression=None), frame_bytes)
                 digest = base64.b32encode(bytes.fromhex(page["sha1"])).decode()
                 place = writer.add(warc_record(page["page_id"], page["url"], page["html"] or b"", page["size"], digest, page["refers_to"]))
                 out.append((record_id(page["page_id"]), page["page_id"], name, *place))
@@ -182,8 +184,9 @@ def read_bundles(index: DataFrame, folder: str) -> DataFrame:
     """Read all records of the index back from the bundles, frame by frame.
 
     One row per record: page_id, payload_bytes, payload_digest, record_type, refers_to, from the
-    record's own header; payloads of responses are checked against their digest.  The frames of a
-    bundle are dealt out, so one large bundle is not one task's.
+    record's own header; payloads of responses are checked against their digest.  Stretches of
+    neighbouring frames are dealt out to tasks whose number follows the frames, so one large bundle
+    is not one task's, nor a whole archive that has a small index.
     """
     def run(batches):
         system, path = file_system(folder)
@@ -214,7 +217,11 @@ def read_bundles(index: DataFrame, folder: str) -> DataFrame:
         if source is not None:
             source.close()
 
-    frames = index.groupBy("bundle", "frame").agg(F.collect_list("offset").alias("offsets"))  # a frame holds a bounded number of records
+    dealt = index.select("bundle", F.floor(F.col("frame") / F.lit(STRETCH)).alias("stretch"), "frame", "offset")
+    stretches = dealt.select("bundle", "stretch").distinct().count()
+    tasks = max(1, -(-stretches // STRETCHES), min(stretches, index.sparkSession.sparkContext.defaultParallelism))
+    frames = (dealt.repartition(tasks, "bundle", "stretch").groupBy("bundle", "stretch", "frame")
+              .agg(F.collect_list("offset").alias("offsets")))  # a frame holds a bounded number of records
     return frames.sortWithinPartitions("bundle", "frame").mapInArrow(
         run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 

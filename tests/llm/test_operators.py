@@ -204,10 +204,11 @@ def test_warc_round_trip(spark, monkeypatch):
     prepare(spark)
     html = ["<p>a</p>", "", None, "<p>a</p>", "é" * 4000, "<p>a</p>", "tail\r\n\r\nWARC/1.1"]
     data = [(i, None if i % 5 == 0 else f"http://x/{i}\r\n", html[i % len(html)], "clash") for i in range(60)] + [(None, "u", "<p>a</p>", "c"), (None, "u", "alone", "c")]
+    data += [(3, "again", "<p>a</p>", "c"), (3, "again", "<p>a</p>", "c"), (59, "again", "<p>a</p>", "c"), (3, "again", "other", "c")]
     pages = spark.createDataFrame(data, "page_id long, url string, html string, size string").repartition(3)
-    monkeypatch.setattr(warc, "FRAME_BYTES", 5000)
     folder = shared_folder(spark, "warc")
-    index = warc.write_bundles(pages, folder)
+    index = warc.write_bundles(pages, folder, frame_bytes=5000)
+    assert index.agg(F.max("frame")).first()[0] > 2
     largest = {}
     for i, _, h, _ in data:
         largest[h or ""] = max(largest.get(h or "", -1), -1 if i is None else i)
@@ -217,6 +218,8 @@ def test_warc_round_trip(spark, monkeypatch):
         revisit = top >= 0 and i != top
         want.append(repr((i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "revisit" if revisit else "response", top if revisit else None)))
     assert sorted(map(repr, map(tuple, warc.read_bundles(index, folder).collect()))) == sorted(want)
+    monkeypatch.setattr(warc, "STRETCH", 1)
+    assert warc.read_bundles(index, folder).select(F.spark_partition_id()).distinct().count() > 1
     place = index.where("page_id = 53").first()
     assert warc.read_record(folder, place.bundle, place.frame, place.offset)["Page-Id"] == "53"
     empty = warc.write_bundles(pages.limit(0), folder)
@@ -334,6 +337,33 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_embedding_dedup_with_several_vectors_of_one_id(spark):
+    rng = np.random.default_rng(5)
+    a, b, c = rng.normal(size=(3, 16))
+    data = [(5, a.tolist()), (5, b.tolist()), (5, b.tolist()), (9, (a + 0.05 * c).tolist()), (9, (b + 0.05 * c).tolist()), (2, (b - 0.05 * a).tolist()), (7, c.tolist())]
+    got = embedding_dedup.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == sorted(brute_links(data))
+
+
+@pytest.mark.parametrize("functions", [2, 3])
+def test_embedding_recall_where_a_table_joins_several_functions(spark, monkeypatch, functions):
+    dims, pairs = 64, 400
+    rng = np.random.default_rng(functions)
+    x, z = rng.normal(size=(2, pairs, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    y = 0.905 * x + math.sqrt(1 - 0.905 ** 2) * z
+    data = [(2 * i, v.tolist()) for i, v in enumerate(x)] + [(2 * i + 1, v.tolist()) for i, v in enumerate(y)]
+    monkeypatch.setattr(embedding_dedup, "PER_BUCKET", 2 * pairs / 128.0 ** functions)
+    seen, real = [], embedding_dedup.bucket_rows
+    monkeypatch.setattr(embedding_dedup, "bucket_rows", lambda v, t, f, a: seen.append(f) or real(v, t, f, a))
+    got = embedding_dedup.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()
+    linked = [r.vec_id for r in got if r.n_links]
+    assert seen == [functions] and len(linked) >= 0.9 * 2 * pairs
+    assert all(r.component_id == r.vec_id // 2 * 2 for r in got if r.n_links)
+
+
 def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 4)
     rng = np.random.default_rng(3)
