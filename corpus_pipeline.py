@@ -18,14 +18,21 @@ from shelfcast.llm.toxicity import score_column, train
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below one half; the score reads the text alone."""
+    """Documents whose toxicity score is below one half; the score reads the text alone.
+
+    Null and empty texts score like one empty window.  Repeated rows and null ids are scored each for
+    themselves; without labels of both classes every row stays.
+    """
     prepare(spark)
     model = train(docs, table(spark, sf_dir, "labels"))
     return docs.withColumn("__score", score_column(model, text_bytes("text"))).where("__score < 0.5").select(docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id; of rows that repeat id and text, one."""
+    """Of equal texts the document with the largest id; of rows that repeat id and text, one.
+
+    A null text equals an empty one.  A null id stays only where no other id has the text, and then once.
+    """
     def key(digest):
         return F.concat_ws(":", digest, F.col("doc_id").cast("string"))
 
@@ -37,7 +44,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8 or more).
 
-    Where an id carries several texts, only those that are near copies go.
+    Where an id carries several texts, only those that are near copies go.  Texts without words and
+    rows of a null id stay; rows that repeat id and text stay or go together.
     """
     dropped = near_duplicates(docs, keyed=True).where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
     return docs.join(dropped, (F.col("doc_id") == F.col("__id")) & (text_key("text") == F.col("__key")), "left_anti").select(docs.columns)
@@ -46,7 +54,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: a document stands as often as the mix takes it, perhaps never.
 
-    Rows of one id (there is one, unless an id carries several texts) are taken equally often.
+    Rows of one id (there is one, unless an id carries several texts) are taken equally often, those
+    of the null id too.  Null and blank texts have no words to take: they stand as often as whole passes
+    over their source, and once more where they come before the end of the last part.  A null source
+    is a source of its own.
     """
     passes = mix(docs, table(spark, sf_dir, "labels").select("doc_id", "quality")).groupBy("doc_id").agg(F.max("passes").alias("__passes"))
     rows = docs.join(passes.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")))
@@ -54,7 +65,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text of the mix, with their number and digests."""
+    """Token ids of every text of the mix, with their number and digests.
+
+    One row per input row, repeated rows and null ids included; null and empty texts have no ids.
+    """
     return encode_decode(docs, with_ids=True)
 
 
