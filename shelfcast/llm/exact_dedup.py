@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import string
 
 import pyarrow as pa
@@ -41,8 +42,9 @@ def merge_run(keep: str):
                 rows = pa.concat_tables([held, rows])
             merged = rows.group_by(by, use_threads=False).aggregate([("keep_id", pick), ("n", "sum")])
             merged = merged.rename_columns([*by, "keep_id", "n"]).select(rows.column_names).cast(rows.schema)
-            held = merged.slice(merged.num_rows - 1)
-            yield from merged.slice(0, merged.num_rows - 1).combine_chunks().to_batches()
+            last = functools.reduce(pc.and_, (pc.equal(merged[c], rows[c][-1]) for c in by))  # groups come in any order
+            held = merged.filter(last)
+            yield from merged.filter(pc.invert(last)).combine_chunks().to_batches()
         if held is not None:
             yield from held.combine_chunks().to_batches()
 

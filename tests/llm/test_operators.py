@@ -104,6 +104,17 @@ def test_exact_dedup(docs, empty, rows, keep, monkeypatch):
     assert exact_dedup.exact_duplicates(empty).count() == 0
 
 
+def test_merged_runs_hold_a_key_once():
+    rng = random.Random(9)
+    keys = sorted(hashlib.sha256(str(rng.randint(0, 4000)).encode()).digest() for _ in range(9000))
+    rows = [{"run": 0, "slice": 0, "digest": k, "check": k[0], "bytes": 3, "keep_id": i, "n": 1} for i, k in enumerate(keys)]
+    schema = exact_dedup.pa.schema([("run", "int32"), ("slice", "int32"), ("digest", "binary"), ("check", "int64"), ("bytes", "int64"), ("keep_id", "int64"), ("n", "int64")])
+    for size in (1, 7, 1500, 2000):
+        batches = exact_dedup.pa.Table.from_pylist(rows, schema).to_batches(max_chunksize=size)
+        got = [(r["digest"], r["keep_id"], r["n"]) for b in exact_dedup.merge_run("largest")(batches) for r in b.to_pylist()]
+        assert sorted(got) == sorted((k, keys.index(k) + keys.count(k) - 1, keys.count(k)) for k in set(keys))
+
+
 def near_brute(rows, k):
     def shingles(t):
         w = fold(t).split()
