@@ -151,13 +151,14 @@ def far_terms(kept: DataFrame, sizes: DataFrame, top: int) -> DataFrame:
 def pair_sums(batches):
     """Sums over the terms of a block, per unordered pair of sources, of the divergence of their shares.
 
-    A block's rows with an empty ``term`` hold a source's share of a term it does not have.
+    A block's rows with an empty ``term`` hold a source's share of a term it does not have.  ``a`` is
+    the earlier source of a pair in every block, whatever order the rows come in.
     """
     t = pa.Table.from_batches(list(batches))
     lang, terms, shares = t.column("lang")[0].as_py(), t.column("term").combine_chunks(), t.column("p").to_numpy()
     is_source = pc.is_null(terms).to_numpy(zero_copy_only=False)
-    sources = t.column("source").combine_chunks().dictionary_encode()
-    names, at = sources.dictionary.to_pylist(), sources.indices.to_numpy()
+    sources = pc.unique(t.column("source")).sort()
+    names, at = sources.to_pylist(), pc.index_in(t.column("source"), value_set=sources).to_numpy()
     column = terms.filter(pa.array(~is_source)).dictionary_encode()
     grid = np.zeros((len(names), len(column.dictionary)), np.int64)
     grid[at[is_source]] = shares[is_source][:, None]

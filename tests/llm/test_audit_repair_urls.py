@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +94,18 @@ def test_skyband(seed):
     assert len(divergence.skyband([], n[:0], lang_n[:0], 3)) == 0
 
 
+def test_pairs_of_blocks_that_meet_the_sources_in_another_order():
+    sources = ["s0", "é", "𝄞", "a"]
+    rows = [("en", s, None, 10 + i) for i, s in enumerate(sources)] + [("en", s, t, 100 * i + j) for j, t in enumerate(["t", "u"]) for i, s in enumerate(sources)]
+    columns = ["lang", "source", "term", "p"]
+
+    def sums(order):
+        t = divergence._pair_table(pa.table(dict(zip(columns, map(list, zip(*order))))))
+        return sorted(zip(*(t.column(c).to_pylist() for c in ("lang", "a", "b", "value"))))
+    assert sums(rows) == sums(rows[::-1]) == sums(rows[2:] + rows[:2])
+    assert len({frozenset(r[1:3]) for r in sums(rows)}) == len(sums(rows)) == 6
+
+
 def test_share_does_not_overflow(spark):
     n, total, kept = 4 * 10 ** 12, 9 * 10 ** 13, 10 ** 9
     row = spark.createDataFrame([(n, total, kept)], "n long, total long, kept long").select(divergence.share("n", "total", "kept")).first()
