@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from shelfcast.functions.exprs import BLANK_TOKENS, has_edge_ws, parse_timestamp, strip_ws, to_double
 from shelfcast.operators.roles import RoleSchema, normalize_columns
 from shelfcast.operators.stats import exact_medians, modes
-from shelfcast.session import materialize
+from shelfcast.session import compiled_projections, materialize
 
 # Extra columns always coerced to numbers when present.
 EXTRA_NUMERIC = ["price_per_unit", "cogs", "age"]
@@ -117,6 +117,7 @@ def clean(raw: DataFrame, schema: RoleSchema, date_format: str | None = None,
           materialize_how: str = "table") -> CleanResult:
     """C1-C14 on a frame whose columns are already normalised."""
     spark: SparkSession = raw.sparkSession
+    compiled_projections(spark)
     original_columns = list(raw.columns)
     df = normalize_columns(raw)
     target = schema.target_column

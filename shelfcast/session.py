@@ -57,6 +57,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def compiled_projections(spark: SparkSession) -> None:
+    """Keep generated methods within what the JVM compiles.
+
+    It interprets methods of more than 8,000 bytes.  Wide projections and aggregates beyond that run
+    as operators of their own instead, whose code Spark cuts into small methods.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 #: Folders of tables that this process has written, by application.
 _WRITTEN: dict[str, list[str]] = {}
 

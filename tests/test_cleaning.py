@@ -154,3 +154,52 @@ def test_empty_input_guard(spark):
     from shelfcast.operators.cleaning import require_rows
     with pytest.raises(ValueError):
         require_rows(spark.createDataFrame([], "a string"))
+
+
+def test_strip_is_that_of_python(spark):
+    from shelfcast.functions.exprs import WHITESPACE, has_edge_ws, strip_ws
+    texts = [None, "", "a", "​x", "\x7f", "é"] + [a + m + b for a in [*WHITESPACE, "é", ""] for m in ("", "x y", "日本", "\x7f") for b in ("", *WHITESPACE[:3], "　", "​")]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", strip_ws(F.col("t")).alias("s"), has_edge_ws(F.col("t")).alias("edge")).collect()
+    assert all((r.s, r.edge) == ((None, None) if r.t is None else (r.t.strip(), r.t != r.t.strip())) for r in rows)
+
+
+def test_no_generated_method_is_too_long_for_the_jvm_to_compile(spark, monkeypatch):
+    import re
+
+    from shelfcast.operators import cleaning
+    sizes = []
+
+    def seen(df, how="table"):
+        plan = df._jdf.queryExecution().executedPlan()
+        text = spark.sparkContext._jvm.org.apache.spark.sql.execution.debug.package.codegenString(plan)
+        sizes.extend(int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", text))
+        # whole-stage code above the limit is not used
+        assert all(x <= 8000 or int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000 for x in sizes)
+        return how_it_was(df, how)
+    how_it_was = cleaning.materialize
+    monkeypatch.setattr(cleaning, "materialize", seen)
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        raw = spark.createDataFrame([(f"2020-01-{1 + i % 9:02d}", " 1.5 ", "x", "a ", "b", "c", "d") for i in range(20)],
+                                    "sale_date string, retail_sales string, item_code string, item_type string, e string, f string, g string")
+        cleaning.clean(raw, detect_roles(raw))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sizes
+
+
+def test_text_that_is_no_number_is_told_before_the_cast(spark):
+    import itertools
+
+    from shelfcast.functions.exprs import to_double
+    texts = ["".join(t) for n in range(5) for t in itertools.product("1.eE+-dfx \t", repeat=n)]
+    texts += ["inf", "-INF", " +Infinity\t", "nan", "NaN", "0x1p3", "-0X.8P1", "0x1p3d", "\t1d", "1\n", "\x001", "1_0", "١", "1,0", "2020-01-02", "infinit", "é", "1e400", "."]
+    s = F.trim("t")
+    v = F.when(~s.rlike(r"(?i)^[+-]?[0-9.]+(e[+-]?[0-9]+)?[df]$"), s.try_cast("double"))
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", to_double(F.col("t")).alias("got"), F.when(~F.isnan(v), v).alias("want"))
+    assert rows.where(~F.col("got").eqNullSafe(F.col("want"))).collect() == []
+    assert rows.where("want IS NOT NULL").count() > 100
+    # of what the guard lets through, only hexadecimal look-alikes may fail to parse
+    from shelfcast.functions.exprs import _MAYBE_NUMBER
+    assert {r.t.strip() for r in rows.where(F.col("t").rlike(_MAYBE_NUMBER) & F.col("t").try_cast("double").isNull()).collect()} <= {"1e400", *[t for t in texts if "x" in t.lower()]}
