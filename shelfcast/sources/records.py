@@ -12,7 +12,9 @@ from __future__ import annotations
 import csv
 import re
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,10 +42,10 @@ def ends_inside(line: str, inside: bool) -> bool:
                 return True
             at = field.end() + 1
         else:
-            comma = line.find(",", at)
-            if comma < 0:
+            opens = line.find(',"', at)  # the next field that begins with a quote
+            if opens < 0:
                 return False
-            at = comma + 1
+            at = opens + 1
     return False
 
 
@@ -53,23 +55,29 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
 
 
-def _by_split(batches):
-    """(file, start, lines) per split, its lines as an iterator."""
-    held = None
+def _runs(batches):
+    """((file, start), lines) per run of lines of one split in a batch."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        file, start, value = (batch.column(c) for c in ("file", "start", "value"))
+        moved = pc.or_(pc.not_equal(file[1:], file[:-1]), pc.not_equal(start[1:], start[:-1]))
+        cuts = [0, *(np.flatnonzero(moved.to_numpy(zero_copy_only=False)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            yield (file[a].as_py(), start[a].as_py()), value.slice(a, b - a).to_pylist()
 
-    def rows():
-        for batch in batches:
-            yield from zip(*(batch.column(c).to_pylist() for c in ("file", "start", "value")))
 
-    stream = rows()
+def _by_split(batches):
+    """(file, start, lines) per split, its lines as an iterator."""
+    stream = _runs(batches)
     held = next(stream, None)
     while held is not None:
-        key = held[:2]
+        key = held[0]
 
         def lines():
             nonlocal held
-            while held is not None and held[:2] == key:
-                yield held[2]
+            while held is not None and held[0] == key:
+                yield from held[1]
                 held = next(stream, None)
         yield (*key, lines())
 
@@ -82,7 +90,8 @@ def split_states(lines: DataFrame) -> DataFrame:
             ends = [False, True]
             for line in rows:
                 if '"' in line:
-                    ends = [ends_inside(line, e) for e in ends]
+                    # once both states have met, they stay the same
+                    ends = [ends_inside(line, ends[0])] * 2 if ends[0] == ends[1] else [ends_inside(line, e) for e in ends]
             yield pa.RecordBatch.from_pydict({"file": [file], "start": pa.array([start], pa.int64()), "ends": pa.array([ends], pa.list_(pa.bool_()))})
 
     found = lines.mapInArrow(effects, "file string, start long, ends array<boolean>")

@@ -67,3 +67,45 @@ def test_other_headers_are_an_error(spark, tmp_path):
 def test_header_only(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id,text\n")
     assert read_csv(spark, str(tmp_path)).count() == 0
+
+
+def test_line_states_against_a_scan_by_characters():
+    import itertools
+
+    from shelfcast.sources.records import ends_inside
+
+    def scan(line, inside):
+        begins, i = not inside, 0
+        while i < len(line):
+            if inside:
+                if line[i] == '"' and line[i + 1:i + 2] == '"':
+                    i += 1
+                elif line[i] == '"':
+                    inside = False
+            elif line[i] == '"' and begins:
+                inside = True
+            begins = not inside and line[i] == ","
+            i += 1
+        return inside
+    for n in range(7):
+        for cells in itertools.product('a,"', repeat=n):
+            line = "".join(cells)
+            assert [ends_inside(line, e) for e in (False, True)] == [scan(line, e) for e in (False, True)], line
+
+
+def test_runs_of_lines_are_those_of_their_splits():
+    import pyarrow as pa
+
+    from shelfcast.sources.records import _by_split
+    rows = [("f", 0, "a"), ("f", 0, "b"), ("f", 9, "c"), ("g", 9, "d"), ("g", 9, "e"), ("g", 20, "f")]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("file", "start", "value"), r)) for r in part],
+                                          schema=pa.schema([("file", pa.string()), ("start", pa.int64()), ("value", pa.string())])) for part in (rows[:1], [], rows[1:4], rows[4:])]
+    assert [(f, s, list(v)) for f, s, v in _by_split(iter(batches))] == [("f", 0, ["a", "b"]), ("f", 9, ["c"]), ("g", 9, ["d", "e"]), ("g", 20, ["f"])]
+
+
+def test_types_are_inferred_in_code_that_the_jvm_compiles(spark, tmp_path):
+    from shelfcast.sources.files import read_csv
+    (tmp_path / "x.csv").write_text("a,b\n1,x\n2,\"y\nz\"\n")
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    assert sorted(map(tuple, read_csv(spark, str(tmp_path)).collect())) == [(1, "x"), (2, "y\nz")]
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
