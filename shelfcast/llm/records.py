@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfcast.llm.bpe import chunks
+from shelfcast.llm.bpe import LATIN, chunks
 from shelfcast.llm.common import file_system, prepare, shared_folder, store, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -33,6 +33,18 @@ END_ID = 2
 REMEMBERED, REMEMBERED_CHARS = 400_000, 64
 INDEX = np.dtype([("offset", "<u8"), ("length", "<u8"), ("doc_id", "<i8"), ("has_id", "<u8")])
 MASK = 0xA282EAD8
+#: Letters alone, with the one space before them: one piece of the byte-level splitting pattern.
+plain_word = re.compile(f" ?[{LATIN}]+").fullmatch
+
+
+def _letters() -> dict[int, str]:
+    """The space and the letters of ``LATIN`` beyond ASCII by the letters that stand for their UTF-8 bytes in a byte-level vocabulary."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letter = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*shown}))}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in (32, *range(0xC0, 0x250))}
+
+
+LETTERS = _letters()
 
 
 def masked(data: bytes) -> int:
@@ -78,7 +90,9 @@ class LibraryEncoder:
     The library's byte-level pre-tokenizer never joins text across the borders of ``chunks`` and
     keeps no state, so the ids of a text are those of its chunks in a row; each distinct chunk is
     encoded once as long as it is remembered.  The strings of added tokens in a text are their ids,
-    as in the library's plain call: texts are cut around them first.
+    as in the library's plain call: texts are cut around them first.  A chunk of letters alone is one
+    piece for the pre-tokenizer, so it goes to the library's model directly, its bytes written as the
+    letters that stand for them.
     """
 
     def __init__(self, name: str):
@@ -90,6 +104,7 @@ class LibraryEncoder:
         self.special = re.compile(f"({'|'.join(map(re.escape, special))})") if special else None
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.kind = "H" if self.dtype.itemsize == 2 else "I"
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -98,6 +113,19 @@ class LibraryEncoder:
             return chunks(text)
         return [c for i, part in enumerate(parts) for c in ([part] if i % 2 else chunks(part))]
 
+    def fresh(self, missing: list[str]) -> dict[str, bytes]:
+        """The ids of chunks by the library."""
+        kind, model, out, rest = self.kind, self.model.tokenize, {}, []
+        for m in missing:
+            if plain_word(m):
+                word = m.replace(" ", "\u0120") if m.isascii() else m.translate(LETTERS)
+                out[m] = array(kind, [t.id for t in model(word)]).tobytes()
+            else:
+                rest.append(m)
+        for m, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            out[m] = array(kind, e.ids).tobytes()
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
@@ -107,9 +135,7 @@ class LibraryEncoder:
         missing = {cut[i] for cut, gap in zip(cuts, gaps) for i in gap}
         again = missing & older.keys()
         fresh = {m: older[m] for m in again}
-        missing = list(missing - again)
-        for m, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-            fresh[m] = array(self.kind, e.ids).tobytes()
+        fresh.update(self.fresh(list(missing - again)))
         for cut, ids_of, gap in zip(cuts, found, gaps):
             for i in gap:
                 ids_of[i] = fresh[cut[i]]
