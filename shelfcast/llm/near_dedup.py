@@ -17,7 +17,7 @@ import string
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast.llm.common import (WordHashes, components, groups, mix64, prepare, store, table, text_bytes,
@@ -44,6 +44,9 @@ LEAST_AGREEING = 35
 WIDE, LEAST_WIDE = 1024, 872
 #: Documents and shingles of a block of such a node.
 BLOCK, BLOCK_ITEMS = 4096, 2_000_000
+#: Units that share documents are confirmed as one group up to so many documents (and ``BLOCK_ITEMS``
+#: shingles), found by so many rounds of passing on the smallest document.
+GROUP_LIMIT, ROUNDS = 512, 2
 #: Shingles that are looked up in one set at once.
 LOOKUP_ITEMS = 1 << 18
 FOLD = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
@@ -141,7 +144,7 @@ class Forest:
 
 
 def similar_units(frame: DataFrame) -> DataFrame:
-    """(node, cls, comp, sketch, n) -> distinct (unit, cls, comp).
+    """(node, cls, comp, sketch, n) -> distinct (unit, cls, comp, n).
 
     Compares all documents of a node by their sketches, but for pairs that are in one component
     already; each connected part of what may be similar becomes a unit.  A unit is named by its
@@ -167,10 +170,39 @@ def similar_units(frame: DataFrame) -> DataFrame:
             for r in np.unique(root[root != np.arange(len(cls))]):
                 members, at = np.unique(cls[root == r], return_index=True)
                 unit = int.from_bytes(hashlib.blake2b(members.tobytes(), digest_size=8).digest(), "little", signed=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(members), unit)), pa.array(members), pa.array(comp[root == r][at])],
-                                                 ["unit", "cls", "comp"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(members), unit)), pa.array(members), pa.array(comp[root == r][at]), pa.array(size[root == r][at])],
+                                                 ["unit", "cls", "comp", "n"])
 
-    return by_node(frame.select("node", "cls", "comp", "sketch", "n"), "node").mapInArrow(run, "unit bigint, cls bigint, comp bigint").distinct()
+    return by_node(frame.select("node", "cls", "comp", "sketch", "n"), "node").mapInArrow(run, "unit bigint, cls bigint, comp bigint, n bigint").distinct()
+
+
+def unseen_units(units: DataFrame, seen: DataFrame) -> DataFrame:
+    """The units but for those whose documents were all confirmed in one group (cls, seen) before."""
+    marks = units.join(seen, "cls", "left").groupBy("unit").agg(
+        F.count(F.lit(1)).alias("all"), F.count("seen").alias("marked"), F.min("seen").alias("lo"), F.max("seen").alias("hi"))
+    return units.join(marks.where("NOT (all = marked AND lo = hi)").select("unit"), "unit")
+
+
+def merged_units(units: DataFrame, mark: int) -> tuple[DataFrame, DataFrame]:
+    """(unit, cls, comp) with units that share documents merged, and (cls, seen): the merged ones.
+
+    All pairs of a unit are compared, so a group of units stands for all of them and each of its
+    documents travels once.  A group above the limits, or a unit that the rounds have not brought
+    into one group, stays as it is.  ``mark`` tells the groups of different calls apart.
+    """
+    label = units.withColumn("label", F.col("cls"))
+    for _ in range(ROUNDS):
+        for key in ("unit", "cls"):
+            label = label.withColumn("label", F.min("label").over(Window.partitionBy(key)))
+    label = store(label)
+    groups = label.select("label", "cls", "comp", "n").distinct()
+    small = groups.groupBy("label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("items")).where(
+        (F.col("m") <= GROUP_LIMIT) & (F.col("items") <= BLOCK_ITEMS)).select("label")
+    inside = label.groupBy("unit").agg(F.min("label").alias("label"), F.max("label").alias("hi")).where("label = hi").join(small, "label").select("unit", "label")
+    merged = groups.join(inside.select("label").distinct(), "label").select(F.xxhash64("label", F.lit(mark)).alias("unit"), "cls", "comp")
+    merged = store(merged)
+    rest = units.join(inside.select("unit"), "unit", "left_anti").select("unit", "cls", "comp")
+    return merged.unionByName(rest), merged.select("cls", F.col("unit").alias("seen"))
 
 
 def similar_pairs(frame: DataFrame) -> DataFrame:
@@ -385,7 +417,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", t
     rows = store(signatures(docs, k, id_col, text_col).withColumn(
         "cls", F.when(F.col("doc_id").isNotNull(), F.xxhash64("digest"))).withColumn("cls", F.when(F.col("digest").isNotNull(), F.col("cls"))))
     classes = store(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("digest").alias("digest"), F.min("sketch").alias("sketch"), F.min("n_shingles").alias("n")))
-    links, comps, done = None, None, 0
+    links, comps, seen, done = None, None, None, 0
     for n, depth in passes:
         rest = None
         compare, large = tree_nodes(classes, comps, range(done + 1, done + n + 1), depth, limit)
@@ -393,7 +425,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", t
         if large is not None:
             compare.append(in_chunks(large, limit))
             rest = large.select("node", "cls")
-        links, comps = join_up(compare, classes, docs, k, id_col, text_col, links, comps)
+        links, comps, seen = join_up(compare, classes, docs, k, id_col, text_col, links, seen, done)
     if rest is not None:
         rest = store(with_component(rest, comps))
         mixed = rest.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("node")
@@ -413,13 +445,19 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", t
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
-def join_up(compare, classes, docs, k, id_col, text_col, links, comps):
-    """Links confirmed so far with those of the nodes in ``compare``, and the components of them all."""
+def join_up(compare, classes, docs, k, id_col, text_col, links, seen, mark):
+    """Links confirmed so far with those of the nodes in ``compare``, the components of them all, and the groups confirmed so far."""
     frame = compare[0]
     for part in compare[1:]:
         frame = frame.unionByName(part)
     units = store(similar_units(frame.join(classes.select("cls", "sketch", "n"), "cls")))
-    return joined(exact_links(units, classes, docs, k, id_col, text_col), links)
+    if seen is not None:
+        units = store(unseen_units(units, seen))
+    units, groups = merged_units(units, mark)
+    units = store(units)
+    if seen is not None:  # a document counts in its last group
+        groups = store(groups.unionByName(seen.join(groups, "cls", "left_anti")))
+    return *joined(exact_links(units, classes, docs, k, id_col, text_col), links), groups
 
 
 def joined(new, links):
