@@ -179,15 +179,60 @@ def blocked_prefix(df: DataFrame, group: list[str], block: str, order: list[str]
 
 # ------------------------------------------------------------------ connected components
 
+#: Edges that one task joins in its memory, about 16 bytes and two nodes each.
+EDGES_IN_TASK = 200_000
+
+
+def stars(edges: DataFrame) -> DataFrame:
+    """(u, v) -> (u, v): every node with the smallest node that its task's edges connect it with, itself if it is that one.
+
+    A task takes ``EDGES_IN_TASK`` edges at a time.
+    """
+    limit = EDGES_IN_TASK
+
+    def joined(batches):
+        edges = pa.Table.from_batches(batches)
+        nodes, at = np.unique(np.concatenate([edges.column("u").to_numpy(), edges.column("v").to_numpy()]), return_inverse=True)
+        up, n = list(range(len(nodes))), edges.num_rows
+        for a, b in zip(at[:n].tolist(), at[n:].tolist()):
+            while up[a] != a:
+                up[a] = a = up[up[a]]
+            while up[b] != b:
+                up[b] = b = up[up[b]]
+            up[max(a, b)] = min(a, b)
+        for i, x in enumerate(up):
+            up[i] = up[x]  # x is i or comes before it
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[up])], ["u", "v"])
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            if held and rows + batch.num_rows > limit:
+                yield joined(held)
+                held, rows = [], 0
+            if batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
+        if held:
+            yield joined(held)
+
+    return edges.mapInArrow(run, "u bigint, v bigint")
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for every node of the undirected edges; component is the smallest node.
 
-    Alternates the large-star and small-star steps until the edge set no longer changes: each
-    node's smallest neighbour comes from a map-side combined aggregate and is joined back, so a
+    Edges that fit one task (``EDGES_IN_TASK``) are joined there.  Of more, each task joins its own
+    first; then the large-star and small-star steps alternate until the edge set no longer changes:
+    each node's smallest neighbour comes from a map-side combined aggregate and is joined back, so a
     node of very many edges is neither collected nor held in one task.
     """
-    cur = store(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-                .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    cur = store(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v"))
+    tasks = -(-cur.count() // EDGES_IN_TASK)
+    near = stars(cur.coalesce(max(1, tasks)))
+    if tasks <= 1:
+        return near.toDF("node", "component")
+    cur = store(near.where("u <> v").distinct())
     seen = None
     while True:
         mark = cur.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()

@@ -34,7 +34,7 @@ PASSES = ((2, 1), (4, 1), (14, 3))
 #: trees but for 3 in 100,000.
 SHARED_CHILDREN = 1.25
 NODE_LIMIT = 128
-#: Documents to confirm up to which their ids are broadcast, to shuffle only their texts.
+#: Rows of ids up to which they are broadcast, so that only the other side's rows travel, if any.
 BROADCAST_IDS = 1_000_000
 #: Pairs whose sketches agree in fewer positions are not compared on their sets: five standard
 #: deviations below the threshold (0.8 of 64 positions, deviation 3.2), a loss of 1.2 in a million.
@@ -104,7 +104,7 @@ def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame
 
 
 def branch(frame: DataFrame) -> DataFrame:
-    """(node, cls, sketch) -> (node, cls): each document's children of the node."""
+    """(node, cls, comp, sketch) -> (node, cls, comp): each document's children of the node."""
 
     def run(batches):
         chance = np.uint64(int(2.0 ** 64 * SHARED_CHILDREN * 100 / (THRESHOLD_PERCENT * SKETCH)))
@@ -117,9 +117,10 @@ def branch(frame: DataFrame) -> DataFrame:
             token = mix64(position[None, :] + sketch.astype(np.uint64))
             row, at = np.nonzero(mix64(node[:, None] ^ token) < chance)
             child = mix64(node[row] * np.uint64(3) + token[row, at])
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column("cls").take(pa.array(row))], ["node", "cls"])
+            row = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column("cls").take(row), batch.column("comp").take(row)], ["node", "cls", "comp"])
 
-    return frame.select("node", "cls", "sketch").mapInArrow(run, "node bigint, cls bigint")
+    return frame.select("node", "cls", "comp", "sketch").mapInArrow(run, "node bigint, cls bigint, comp bigint")
 
 
 def by_node(frame: DataFrame, key: str) -> DataFrame:
@@ -173,14 +174,16 @@ def similar_units(frame: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(members), unit)), pa.array(members), pa.array(comp[root == r][at]), pa.array(size[root == r][at])],
                                                  ["unit", "cls", "comp", "n"])
 
-    return by_node(frame.select("node", "cls", "comp", "sketch", "n"), "node").mapInArrow(run, "unit bigint, cls bigint, comp bigint, n bigint").distinct()
+    return by_node(frame.select("node", "cls", "comp", "sketch", "n"), "node").mapInArrow(
+        run, "unit bigint, cls bigint, comp bigint, n bigint").repartition("unit").distinct()
 
 
 def unseen_units(units: DataFrame, seen: DataFrame) -> DataFrame:
     """The units but for those whose documents were all confirmed in one group (cls, seen) before."""
-    marks = units.join(seen, "cls", "left").groupBy("unit").agg(
-        F.count(F.lit(1)).alias("all"), F.count("seen").alias("marked"), F.min("seen").alias("lo"), F.max("seen").alias("hi"))
-    return units.join(marks.where("NOT (all = marked AND lo = hi)").select("unit"), "unit")
+    unit = Window.partitionBy("unit")
+    marks = units.join(seen, "cls", "left").withColumns({
+        "all": F.count(F.lit(1)).over(unit), "marked": F.count("seen").over(unit), "lo": F.min("seen").over(unit), "hi": F.max("seen").over(unit)})
+    return marks.where("marked < all OR lo <> hi").select(units.columns)
 
 
 def merged_units(units: DataFrame, mark: int) -> tuple[DataFrame, DataFrame]:
@@ -194,15 +197,15 @@ def merged_units(units: DataFrame, mark: int) -> tuple[DataFrame, DataFrame]:
     for _ in range(ROUNDS):
         for key in ("unit", "cls"):
             label = label.withColumn("label", F.min("label").over(Window.partitionBy(key)))
-    label = store(label)
-    groups = label.select("label", "cls", "comp", "n").distinct()
-    small = groups.groupBy("label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("items")).where(
-        (F.col("m") <= GROUP_LIMIT) & (F.col("items") <= BLOCK_ITEMS)).select("label")
-    inside = label.groupBy("unit").agg(F.min("label").alias("label"), F.max("label").alias("hi")).where("label = hi").join(small, "label").select("unit", "label")
-    merged = groups.join(inside.select("label").distinct(), "label").select(F.xxhash64("label", F.lit(mark)).alias("unit"), "cls", "comp")
-    merged = store(merged)
-    rest = units.join(inside.select("unit"), "unit", "left_anti").select("unit", "cls", "comp")
-    return merged.unionByName(rest), merged.select("cls", F.col("unit").alias("seen"))
+    unit = Window.partitionBy("unit")
+    label = store(label.withColumn("whole", F.min("label").over(unit) == F.max("label").over(unit)))
+    groups = label.groupBy("label", "cls").agg(F.min("comp").alias("comp"), F.min("n").alias("n"), F.max("whole").alias("whole"))
+    small = few(store(groups.groupBy("label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("items"), F.max("whole").alias("whole")).where(
+        (F.col("m") <= GROUP_LIMIT) & (F.col("items") <= BLOCK_ITEMS) & F.col("whole")).select("label", "whole")))
+    merged = groups.join(small.select("label"), "label").select(F.xxhash64("label", F.lit(mark)).alias("unit"), "cls", "comp", F.lit(True).alias("merged"))
+    rest = label.join(small, ["label", "whole"], "left_anti").select("unit", "cls", "comp", F.lit(False).alias("merged"))
+    found = store(merged.unionByName(rest))
+    return found.select("unit", "cls", "comp"), found.where("merged").select("cls", F.col("unit").alias("seen"))
 
 
 def similar_pairs(frame: DataFrame) -> DataFrame:
@@ -279,16 +282,18 @@ def confirmed_pairs(found: DataFrame, classes: DataFrame, docs: DataFrame, k: in
     return by_node(rows, "pair").mapInArrow(confirm, "a bigint, b bigint")
 
 
-def class_sets(named: DataFrame, classes: DataFrame, docs: DataFrame, k: int, id_col: str, text_col: str, make) -> DataFrame:
+def class_sets(named: DataFrame, classes: DataFrame, docs: DataFrame, k: int, id_col: str, text_col: str, make, along: str | None = None) -> DataFrame:
     """(cls, items): ``make`` of the full shingle set, for the classes in ``named``.
 
+    With ``along``, a column of 64-bit numbers, (cls, along, items): a row for each of a class's
+    numbers, so that the sets travel once, straight to where they are grouped by them.
+
     Only texts of their documents travel: the ids are broadcast if there are few of them (they are
     counted first), else the texts are joined by a shuffle.  Where rows repeat an id with other
     texts, the digest tells which text is the class's.
     """
-    wanted = store(named.select("cls").distinct().join(classes.select("cls", "rep", "digest"), "cls"))
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
+    named = named.groupBy("cls").agg(F.collect_set(along).alias("along")) if along else named.select("cls", F.array().cast("array<bigint>").alias("along")).distinct()
+    wanted = few(store(named.join(classes.select("cls", "rep", "digest"), "cls")))
 
     def sets(batches):
         known = WordHashes()
@@ -296,10 +301,12 @@ def class_sets(named: DataFrame, classes: DataFrame, docs: DataFrame, k: int, id
             sets = [shingle_set(t, k, known) for t in batch.column("text").to_pylist()]
             own = [set_digest(s) == d for s, d in zip(sets, batch.column("digest").to_pylist())]
             found = [make(s) for s, o in zip(sets, own) if o]
-            yield pa.RecordBatch.from_arrays([batch.column("cls").filter(pa.array(own, pa.bool_())), pa.array(found, pa.binary())], ["cls", "items"])
+            own = pa.array(own, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("cls").filter(own), batch.column("along").filter(own), pa.array(found, pa.binary())], ["cls", "along", "items"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), text_bytes(text_col).alias("text")).join(wanted, "rep").select("cls", "digest", "text")
-    return texts.mapInArrow(sets, "cls bigint, items binary")
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), text_bytes(text_col).alias("text")).join(wanted, "rep").select("cls", "along", "digest", "text")
+    items = texts.mapInArrow(sets, "cls bigint, along array<bigint>, items binary")
+    return items.select("cls", F.explode("along").alias(along), "items") if along else items.select("cls", "items")
 
 
 def wide_sketch(items: np.ndarray) -> bytes:
@@ -316,14 +323,18 @@ def exact_links(units: DataFrame, classes: DataFrame, docs: DataFrame, k: int, i
     Within a unit, a pair that confirmed links already connect is not compared again, so a unit
     of n components gives n - 1 links at most.
     """
-    items = class_sets(units, classes, docs, k, id_col, text_col, np.ndarray.tobytes)
+    items = class_sets(units, classes, docs, k, id_col, text_col, np.ndarray.tobytes, "unit")
+    comps = units.select("unit", "cls", "comp", F.lit(None).cast("binary").alias("items"))
+    rows = items.select("unit", "cls", F.lit(None).cast("long").alias("comp"), "items").unionByName(comps)
 
     def confirm(batches):
         for group in groups(batches, "unit"):
             at, comp = {}, {}
             for c, p, x in zip(*(group.column(n).to_pylist() for n in ("cls", "comp", "items"))):
-                at.setdefault(c, np.frombuffer(x, np.uint64))
-                comp[c] = p
+                if x is None:
+                    comp[c] = p
+                else:
+                    at.setdefault(c, np.frombuffer(x, np.uint64))
             cls = sorted(at, key=lambda c: (-len(at[c]), c))
             forest, out, first = Forest(len(cls)), [], {}
             for i, c in enumerate(cls):
@@ -342,23 +353,27 @@ def exact_links(units: DataFrame, classes: DataFrame, docs: DataFrame, k: int, i
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in zip(*out)], ["a", "b"])
 
-    return by_node(units.join(items, "cls"), "unit").mapInArrow(confirm, "a bigint, b bigint")
+    return by_node(rows, "unit").mapInArrow(confirm, "a bigint, b bigint")
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """A stored frame of ids, broadcast if it has few rows."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
 def with_component(frame: DataFrame, comps: DataFrame | None) -> DataFrame:
     if comps is None:
         return frame.withColumn("comp", F.col("cls"))
-    return frame.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    return frame.join(few(comps), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
 
 
-def tree_nodes(classes: DataFrame, comps: DataFrame | None, seeds: range, max_depth: int, limit: int) -> tuple[list[DataFrame], DataFrame | None]:
-    """Nodes to compare, as (node, cls, comp) frames, and those still above ``limit`` at the last depth."""
-    sketch = classes.select("cls", "sketch")
+def tree_nodes(sketch: DataFrame, seeds: range, max_depth: int, limit: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """Nodes of (cls, comp, sketch) to compare, as (node, cls, comp) frames, and those still above ``limit`` at the last depth."""
     roots = F.array(*[F.lit(int(s)) for s in mix64(np.array(seeds, np.uint64)).view(np.int64)])
     frame = sketch.withColumn("node", F.explode(roots))
     compare = []
     for _ in range(max_depth):
-        level = store(with_component(branch(frame), comps))
+        level = store(branch(frame))
         # nodes of one component have nothing left to find
         sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("size > 1 AND lo <> hi")
         level = store(level.join(sizes.select("node", "size"), "node"))
@@ -417,15 +432,17 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", t
     rows = store(signatures(docs, k, id_col, text_col).withColumn(
         "cls", F.when(F.col("doc_id").isNotNull(), F.xxhash64("digest"))).withColumn("cls", F.when(F.col("digest").isNotNull(), F.col("cls"))))
     classes = store(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("digest").alias("digest"), F.min("sketch").alias("sketch"), F.min("n_shingles").alias("n")))
-    links, comps, seen, done = None, None, None, 0
+    comps, seen, done = None, None, 0
     for n, depth in passes:
         rest = None
-        compare, large = tree_nodes(classes, comps, range(done + 1, done + n + 1), depth, limit)
+        named = with_component(classes.select("cls", "sketch", "n"), comps)
+        named = named if comps is None else store(named)  # read once for every depth
+        compare, large = tree_nodes(named, range(done + 1, done + n + 1), depth, limit)
         done += n
         if large is not None:
             compare.append(in_chunks(large, limit))
             rest = large.select("node", "cls")
-        links, comps, seen = join_up(compare, classes, docs, k, id_col, text_col, links, seen, done)
+        comps, seen = join_up(compare, classes, docs, k, id_col, text_col, comps, seen, done)
     if rest is not None:
         rest = store(with_component(rest, comps))
         mixed = rest.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("node")
@@ -435,7 +452,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", t
             wide = store(class_sets(rest, classes, docs, k, id_col, text_col, wide_sketch).dropDuplicates(["cls"])
                          .select("cls", F.col("items").alias("wide")).join(nodes, "cls"))
             pairs = store(similar_pairs(across_blocks(rest, block).join(wide, "cls")))
-            links, comps = joined(confirmed_pairs(pairs, classes, docs, k, id_col, text_col), links)
+            comps = joined(confirmed_pairs(pairs, classes, docs, k, id_col, text_col), comps)
     named = with_component(classes.select("cls", "rep"), comps)
     names = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = named.join(names.hint("merge"), "comp").select("cls", "component_id")
@@ -445,25 +462,22 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", t
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
-def join_up(compare, classes, docs, k, id_col, text_col, links, seen, mark):
-    """Links confirmed so far with those of the nodes in ``compare``, the components of them all, and the groups confirmed so far."""
+def join_up(compare, classes, docs, k, id_col, text_col, comps, seen, mark):
+    """The components so far with the links of the nodes in ``compare``, and the groups confirmed so far."""
     frame = compare[0]
     for part in compare[1:]:
         frame = frame.unionByName(part)
-    units = store(similar_units(frame.join(classes.select("cls", "sketch", "n"), "cls")))
-    if seen is not None:
-        units = store(unseen_units(units, seen))
-    units, groups = merged_units(units, mark)
-    units = store(units)
+    units = similar_units(frame.join(classes.select("cls", "sketch", "n"), "cls"))
+    units, groups = merged_units(units if seen is None else unseen_units(units, few(seen)), mark)
     if seen is not None:  # a document counts in its last group
-        groups = store(groups.unionByName(seen.join(groups, "cls", "left_anti")))
-    return *joined(exact_links(units, classes, docs, k, id_col, text_col), links), groups
+        groups = store(groups.unionByName(seen.join(few(groups.select("cls")), "cls", "left_anti")))
+    return joined(exact_links(units, classes, docs, k, id_col, text_col), comps), groups
 
 
-def joined(new, links):
-    new = store(new.distinct())
-    links = new if links is None else links.unionByName(new)
-    return links, store(components(links, "a", "b").select(F.col("node").alias("cls"), F.col("component").alias("comp")))
+def joined(new, comps):
+    """(cls, comp): the components so far and new links (a, b) as one."""
+    links = new if comps is None else new.unionByName(comps.select(F.col("cls").alias("a"), F.col("comp").alias("b")))
+    return store(components(links, "a", "b").toDF("cls", "comp"))
 
 
 def op2_near_dedup(spark, sf_dir: str) -> DataFrame:
