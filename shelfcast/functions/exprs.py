@@ -77,12 +77,20 @@ def strip_ws(c: Column) -> Column:
 _MAYBE_NUMBER = r"(?i)^[\x00-\x20]*[+-]?(?:[0-9]+\.?[0-9]*(?:e[+-]?[0-9]+)?[df]?|\.[0-9]+(?:e[+-]?[0-9]+)?[df]?|0x.*|inf|infinity|nan)[\x00-\x20]*$"
 
 
-def to_double(c: Column) -> Column:
+#: Types whose values a cast to double takes over just as the way through their text does.
+_TYPED_NUMBERS = ("double", "tinyint", "smallint", "int", "bigint")
+
+
+def to_double(c: Column, dtype: str | None = None) -> Column:
     """Lenient numeric coercion: unparsable -> null, NaN -> null.
 
     ``try_cast`` alone accepts Java float suffixes ('1d', '2f'); those are
     rejected here so that only plain decimal/scientific text and inf parse.
+    ``dtype``, where known, spares numbers the way through text and its patterns.
     """
+    if dtype in _TYPED_NUMBERS:
+        v = c.cast("double")
+        return F.when(~F.isnan(v), v) if dtype == "double" else v
     s = F.trim(c.cast("string"))
     ok = s.rlike(_MAYBE_NUMBER) & ~s.rlike(r"(?i)^[+-]?[0-9.]+(e[+-]?[0-9]+)?[df]$")
     v = F.when(ok, s.try_cast("double"))

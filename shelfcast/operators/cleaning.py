@@ -97,8 +97,8 @@ def analysis_date_expr(df: DataFrame, schema: RoleSchema, date_format: str | Non
         fmt = date_format or choose_date_format(probe, text, layouts)
         return parse_timestamp(text, fmt) if fmt else F.lit(None).cast("timestamp_ntz")
     if schema.year_column and schema.month_column:
-        y = F.coalesce(to_double(F.col(schema.year_column)), F.lit(0.0)).cast("long")
-        m = F.coalesce(to_double(F.col(schema.month_column)), F.lit(1.0)).cast("long")
+        y = F.coalesce(to_double(F.col(schema.year_column), dtypes[schema.year_column]), F.lit(0.0)).cast("long")
+        m = F.coalesce(to_double(F.col(schema.month_column), dtypes[schema.month_column]), F.lit(1.0)).cast("long")
         return parse_timestamp(F.format_string("%d-%d-01", y, m), "yyyy-M-dd")
     return F.lit(None).cast("timestamp_ntz")
 
@@ -145,7 +145,7 @@ def clean(raw: DataFrame, schema: RoleSchema, date_format: str | None = None,
     numeric = [c for c in dict.fromkeys([target, *schema.sales_columns, *EXTRA_NUMERIC])
                if c and c in trimmed.columns]
     coerced = trimmed.select(*[
-        (to_double(F.col(c)) if c in numeric else F.col(c)).alias(c) for c in trimmed.columns])
+        (to_double(F.col(c), dtypes.get(c)) if c in numeric else F.col(c)).alias(c) for c in trimmed.columns])
     data_cols = [c for c in coerced.columns if c not in flag_cols]
 
     # Analysis date.

@@ -1,11 +1,15 @@
+import datetime as dt
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfcast.operators import stats
+from shelfcast.functions.exprs import to_double
+from shelfcast.operators import cleaning, stats
 from shelfcast.operators.cleaning import clean, drop_all_null_columns
 from shelfcast.operators.roles import detect_roles
 from shelfcast.operators.stats import exact_median, modes
+from shelfcast.session import materialize
 
 
 def run(spark, rows, schema):
@@ -32,6 +36,29 @@ def test_blanks_and_numbers(spark):
     assert r.stats["target_values_removed"] == 3
 
 
+@pytest.mark.parametrize("dtype,values", [
+    ("double", [0.1, -0.0, 5e-324, 1.7976931348623157e308, 1e7, 12345678.9, float("inf"), float("-inf"), float("nan"), None]),
+    ("bigint", [0, -1, 2**53 + 1, 2**63 - 1, -2**63, None]), ("int", [2**31 - 1, -2**31, None]), ("smallint", [-7, None]), ("tinyint", [7, None])])
+def test_typed_numbers_are_those_of_their_text(spark, dtype, values):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, v {dtype}")
+    rows = df.select(to_double(F.col("v")).alias("text"), to_double(F.col("v"), dtype).alias("typed"), "i").orderBy("i").collect()
+    assert [repr(r["typed"]) for r in rows] == [repr(r["text"]) for r in rows]
+
+
+def test_typed_numbers_are_not_read_as_text(spark, capsys):
+    rows = [(dt.date(2024, 1, 5), 1.5, 2), (dt.date(2024, 1, 6), float("nan"), 3), (dt.date(2024, 1, 7), None, 4)]
+    df = spark.createDataFrame(rows, "date date, sales double, amount int")
+    plans = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(cleaning, "materialize", lambda d, how="table": (plans.append(d), materialize(d, how))[1])
+        r = clean(df, detect_roles(df))
+    plans[0].explain(extended=True)
+    plan = capsys.readouterr().out
+    assert "Project" in plan and "rlike" not in plan.lower()
+    assert r.stats["target_values_removed"] == 2 and [x["sales"] for x in r.frame.collect()] == [1.5]
+    assert dict(r.frame.dtypes)["amount"] == "double"
+
+
 def test_bad_dates_pick_majority_layout(spark):
     rows = [("2024-01-02", "1"), ("2024-01-03", "1"), ("01/02/2024", "1"), ("2024-02-30", "1"),
             ("20240102", "1"), (None, "1")]
